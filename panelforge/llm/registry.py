@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from panelforge.llm import quality
+from panelforge.llm import dedup, grammar, quality, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op5_repair_shards": grammar.op5_repair_shards,
+        "op6_warc": warc.op6_warc,
         "op7_quality_llr": quality.op7_quality_llr,
+        "op9_exact_dedup": dedup.op9_exact_dedup,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_exact_dedup": dedup.SQL,
+    }
