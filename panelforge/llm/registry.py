@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import dedup, grammar, quality, url_filter, warc
+from panelforge.llm import dedup, grammar, jaccard, quality, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_repair_shards": grammar.op5_repair_shards,
         "op6_warc": warc.op6_warc,
         "op7_quality_llr": quality.op7_quality_llr,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_exact_dedup": dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
     }
