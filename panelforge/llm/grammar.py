@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.llm.common import Scratch, parallelism, ship
-from panelforge.llm.tokens import blocks, encoder, vocabulary
+from panelforge.llm.tokens import tokenised, vocabulary
 from panelforge.llm.warc import filesystem
 
 END_ID = 2
@@ -176,21 +176,6 @@ class Shard:
         return part[start - int(self.marks[k]) : stop - int(self.marks[k])]
 
 
-def tokenised(docs: DataFrame, vocab: str, keeps_space: bool, end: int) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit, with the end id), n."""
-
-    def run(batches):
-        enc = encoder(vocab, keeps_space)
-        tail = np.array([end], "<u2").tobytes()
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for a, b in blocks(texts):
-                ids = [x + tail for x in enc.encode(texts[a:b])]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "ids": ids, "n": [len(x) // 2 for x in ids]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary, n long")
-
-
 def write(docs: DataFrame, vocab: str, scratch: Scratch, end: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write the shard files; returns the manifest: file, base (ids before it), docs, ids, bytes."""
     ship(docs.sparkSession)
