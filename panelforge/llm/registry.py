@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelforge.llm import dedup, grammar, html_extract, jaccard, packing, quality, url_filter, warc
+from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, packing, quality, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op2_retrieval_packing": packing.op2_retrieval_packing,
         "op3_html_extract": html_extract.op3_html_extract,
+        "op4_hmm_score": hmm.op4_hmm_score,
         "op5_repair_shards": grammar.op5_repair_shards,
         "op6_warc": warc.op6_warc,
         "op7_quality_llr": quality.op7_quality_llr,
