@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, packing, quality, url_filter, warc
+from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, packing, quality, sentencepieces, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op2_retrieval_packing": packing.op2_retrieval_packing,
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_hmm_score": hmm.op4_hmm_score,
