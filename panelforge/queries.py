@@ -134,9 +134,9 @@ FORMULAS: dict[str, tuple] = {
     "ts12_ts_corr": (f"ts_corr({P}, {V}, 20)", f"case when count(x) over {frame(20)} = 20 and stddev_samp(x) over {frame(20)} > 0 and stddev_samp(y) over {frame(20)} > 0 then covar_samp(x, y) over {frame(20)} / (stddev_samp(x) over {frame(20)} * stddev_samp(y) over {frame(20)}) end"),
     "ts13_ts_cov": (f"ts_cov({P}, {V}, 20)", full("covar_samp(x, y)", 20)),
     "ts14_decay_linear": (f"decay_linear({P}, 10)", decay(10)),
-    "ts15_product": (f"product({P} / 1000, 5)", full("product(x / 1000)", 5)),
+    "ts15_product": (f"product({P} / 100000, 5)", full("product(x / 100000)", 5)),
     "ts16_ts_av_diff": (f"ts_av_diff({P}, 20)", "x - " + f"({full('avg(x)', 20)})"),
-    "ts17_ts_zscore": (f"ts_zscore({P} + {V}, 20)", f"case when count(x) over {frame(20)} = 20 then (x + y - avg(x + y) over {frame(20)}) / (stddev_samp(x + y) over {frame(20)} + 1e-9) end"),
+    "ts17_ts_zscore": (f"ts_zscore({V}, 20)", f"case when count(y) over {frame(20)} = 20 then (y - avg(y) over {frame(20)}) / (stddev_samp(y) over {frame(20)} + 1e-9) end"),
     "ta01_ema": (f"ema({P}, 10)", ema_sql("x", 10), FIRST, "q"),
     "ta02_sma": (f"sma({V}, 20)", full("avg(y)", 20, "y")),
     "ta03_wma": (f"wma({P}, 10)", decay(10)),
@@ -145,7 +145,7 @@ FORMULAS: dict[str, tuple] = {
     "ta06_boll_upper": (f"boll_upper({P}, 20)", f"case when count(x) over {frame(20)} = 20 then avg(x) over {frame(20)} + 2 * stddev_samp(x) over {frame(20)} end"),
     "ta07_boll_lower": (f"boll_lower({P}, 20)", f"case when count(x) over {frame(20)} = 20 then avg(x) over {frame(20)} - 2 * stddev_samp(x) over {frame(20)} end"),
     "ta08_boll_mid": (f"boll_mid({P}, 20)", full("avg(x)", 20)),
-    "ex01_arithmetic": ("-(REVENUE_LTM - COGS_LTM) / INCOME_TAX_LTM + SHARES_BASIC ** 2 / 1000", "case when tax <> 0 then -(rev - cogs) / tax + sh * sh / 1000 end"),
+    "ex01_arithmetic": ("-(REVENUE_LTM - COGS_LTM) / (INCOME_TAX_LTM + 1000) + SHARES_BASIC ** 2 / 1000", "-(rev - cogs) / (tax + 1000) + sh * sh / 1000"),
     "ex02_comparisons": (f"where(({P} > 1000) & ~({V} < 30) | (SHARES_BASIC != 5), 1, 0)", "case when (coalesce(x > 1000, false) and not coalesce(y < 30, false)) or coalesce(sh <> 5, true) then 1.0 else 0.0 end"),
     "ex03_inline_methods": (f"{P}.diff(2) + {P}.shift(1) + {P}.rolling(5).mean() + {P}.pct_change()", f"x - lag(x, 2) over ({WT}) + lag(x, 1) over ({WT}) + ({full('avg(x)', 5)}) + x / lag(x) over ({WT}) - 1"),
     "ex04_inline_whitelist": (f"{V}.rolling(10).std().abs().clip(1, 9)", f"least(greatest(abs({full('stddev_samp(y)', 10, 'y')}), case when count(y) over {frame(10)} = 10 then 1.0 end), case when count(y) over {frame(10)} = 10 then 9.0 end)"),
