@@ -115,9 +115,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, labels).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
     """The documents that pass, with their own columns."""
-    judged = judge(docs, labels, counts=False)
+    judged = judge(docs, labels, prior=prior, counts=False)
     # the row number is not deterministic for Catalyst, so the filter stays above: pushed down, it would repeat the whole computation
     return judged.withColumn("nr", F.monotonically_increasing_id()).where("kept and nr >= 0").select("row.*")
 
