@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+JOINED = 64
+PUNCTUATION = ".,!?;:"
 #: Unicode's White_Space, which the tokenizers' \s means.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -32,9 +34,14 @@ class Encoder:
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids must fit in 16 bits")
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by piece
+        self.stems: dict[str, bytes] = {}  # by piece without the punctuation that follows it
         self.unsafe = re.compile(f"[{SPACE}] [{SPACE}]|  ")
+        self.has_space = re.compile(f"[{SPACE}]").search
         self.split = re.compile(f"[{SPACE}]+").split
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.edge = np.zeros(65536, bool)  # ids that begin (or, with word ends, end) a joined piece
+        self.edge[[i for t, i in names.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -48,17 +55,48 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def joins(self, stem: str) -> bool:
+        """Whether the stem may stand among others in one text and be told apart in its ids."""
+        if self.keeps_space:
+            return stem[:1] == " " and len(stem) > 1 and not self.has_space(stem, 1)
+        return stem.isalpha()
+
+    def learn(self, stems: list[str]) -> None:
+        """Encode stems: JOINED at a time where they can be told apart, else each alone."""
+        alone = [x for x in stems if not self.joins(x)]
+        many = [x for x in stems if self.joins(x)]
+        groups = [many[a : a + JOINED] for a in range(0, len(many), JOINED)]
+        gap = "" if self.keeps_space else " "
+        for group, coded in zip(groups, self.whole([gap.join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(coded, "<u2")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(group):
+                alone += group
+                continue
+            cuts = [*edges, len(ids)] if self.keeps_space else [0, *(edges + 1)]
+            self.stems.update((x, coded[2 * a : 2 * b]) for x, a, b in zip(group, cuts[:-1], cuts[1:], strict=True))
+        self.stems.update(zip(alone, self.whole(alone), strict=True))
+
+    def parts(self, piece: str) -> tuple[str, str]:
+        """The piece as stem and punctuation: both tokenizers cut between a letter and punctuation."""
+        stem = piece.rstrip(PUNCTUATION)
+        if not stem or not stem[-1].lower().isalpha():  # a capital may become a letter and a mark
+            stem = piece
+        tail = piece[len(stem) :]
+        return (stem.lower() if not self.keeps_space and stem.isascii() else stem), tail
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        new = list(dict.fromkeys(p for c in cut if c for p in c if p not in self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(p for c in cut if c for p in c))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update(zip(part, self.whole(part), strict=True))
-        found = self.known.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join(map(found, c)) for t, c in zip(texts, cut, strict=True)]
+        known = self.known
+        new = {p for c in cut if c for p in c if p not in known}
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            self.stems.clear()
+            new = {p for c in cut if c for p in c}
+        split = {p: self.parts(p) for p in new}
+        self.learn(list({x for pair in split.values() for x in pair if x not in self.stems}))
+        known.update((p, self.stems[a] + self.stems[b]) for p, (a, b) in split.items())
+        return [self.whole([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
