@@ -8,10 +8,12 @@
    Shingles that the sketch shows to be in more than ``HOT`` documents go as rows instead and meet in partial sums.
 3. An owner keeps the shingles which two groups post. Their member lists ("runs", equal lists once) are all that remains
    of the table; groups are then expanded to classes, and a group of several classes is a run too.
-4. Rounds: in every run that still spans two components, each class of another component is paired with the run's leader
-   of this round (a hash minimum), sizes permitting; pairs are verified on whole sets, and links contract components.
-   When the pairs left are few against the runs, all of them are verified. So no link between components is lost, and
-   a run of m near copies costs about m pairs, not m squared.
+4. Runs of at most ``SHORT`` classes give all their pairs. In longer runs that still span two components, rounds pair each
+   class with the run's leader of this round (a hash minimum) if that is of another component; links contract components.
+   What is left across components is compared in blocks of at most about two times ``BLOCK`` classes, on parity bitmaps,
+   and only pairs that may link leave a block. So no link between components is lost, and a run of m near copies costs
+   about m pairs, not m squared.
+5. A pair is tested on parity bitmaps first, which can only overrate a pair, then on whole sets.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing (component_id is their own
 doc_id). Repeated rows share a class. A null doc_id takes part but names no component: the smallest other doc_id does,
@@ -35,7 +37,10 @@ SKETCH_BITS = 21
 CHUNK = 65_536
 OWNER_POSTINGS = 2_000_000
 HOT = 200_000
-ROUNDS = 8
+SHORT = 16
+ROUNDS = 3
+BLOCK = 2_000
+ONE_TASK_EDGES = 200_000
 _P = np.array([pow(0x9E3779B97F4A7C15, K - 1 - i, 1 << 64) for i in range(K)], np.uint64)
 
 
@@ -172,7 +177,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 at.append(np.full(len(head), len(gids), np.int64))
                 gids.append(gid)
                 sizes.append(n)
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "cls", "gid"]).astype({"doc_id": "Int64", "gid": "Int64"})
+            ids, ns, classes, of = zip(*rows, strict=True) if rows else ((), (), (), ())
+            out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "cls": classes, "gid": pd.array(of, "Int64")})  # never through floats
             yield out.assign(kind=0, owner=0, token=pd.NA, blob=None)[COLUMNS]
             if hots:
                 hot_rows = pd.DataFrame(hots, columns=["token", "gid", "n"])
@@ -190,6 +196,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "kind int, doc_id long, n int, cls binary, gid long, owner int, token long, blob binary")
 
 
+SETS = ["cls", "members", "n", "bits"]
 COLUMNS = ["kind", "doc_id", "n", "cls", "gid", "owner", "token", "blob"]
 
 
@@ -225,17 +232,49 @@ def _verify(batches):
 
 
 def _sets(batches):
+    """Each text's class, whole set, size and parity bitmap (2 to 4 bits a shingle)."""
     import xxhash
 
+    rows: list = []
+    size = 0
     for pdf in batches:
         for text in pdf["text"]:
             s = shingles(text)
             if len(s):
-                yield pd.DataFrame({"cls": [xxhash.xxh3_128_digest(s.tobytes())], "members": [s.astype("<u8").tobytes()]})
+                bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+                parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), s.astype("<u8").tobytes(), len(s), np.packbits(parity.astype(np.uint8)).tobytes()))
+                size += len(s)
+            if size >= 500_000:
+                yield pd.DataFrame(rows, columns=SETS)
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=SETS)
+
+
+def _union(pdf: pd.DataFrame) -> pd.DataFrame:
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        a, b = find(bytes(a)), find(bytes(b))
+        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"v": list(parent), "l": [find(x) for x in parent]}, columns=["v", "l"])
 
 
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(v, l): the smallest key of each vertex's component, for the vertices of (a, b). Labels spread and jump, log-many times."""
+    """(v, l): the smallest key of each vertex's component, for the vertices of (a, b).
+
+    At most ONE_TASK_EDGES links, by count, are joined up in one task; beyond that, labels spread and jump, log-many times.
+    """
+    if edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return scratch.table(edges.groupBy(F.lit(0).alias("one")).applyInPandas(_union, "v binary, l binary"), f"{name}-0")
     both = scratch.table(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("l")), f"{name}-0")
     step = 0
@@ -252,39 +291,108 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def _may_link(batches):
+    """Pairs whose parity bitmaps allow a link. A bit that differs is a shingle that only one set holds, so none is lost."""
+    for pdf in batches:
+        ok = []
+        for x, y, n, m in zip(pdf["ba"], pdf["bb"], pdf["na"], pdf["nb"], strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            ok.append(7 * int(np.bitwise_count(x ^ y).sum()) <= n + m)
+        yield pdf.loc[ok, ["a", "b"]]
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: by bitmap first, then on whole sets."""
+
+    def side(k: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(k), *[F.col(c).alias(c[0] + k) for c in columns])
+
+    maps = pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b").select("a", "b", "ba", "bb", "na", "nb")
+    left = maps.mapInPandas(_may_link, "a binary, b binary")
+    return left.join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", F.col("ma").alias("sa"), F.col("mb").alias("sb")).mapInPandas(_verify, "a binary, b binary")
+
+
 def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(cls, comp) of the classes that have links. members: run, cls, n."""
+    fits = "4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
+    sized = members.join(members.groupBy("run").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "run")
+    sized = scratch.table(sized.select("run", "cls", "n", "m"), "sized")
+    short, long = sized.where(F.col("m") <= SHORT), sized.where(F.col("m") > SHORT)
+    pairs = short.alias("x").join(short.alias("y"), "run").where(f"x.cls < y.cls and {fits}").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    edges = scratch.table(checked(pairs.distinct(), sets), "links-short")
     comp = None
-    edges = None
     for turn in range(ROUNDS + 1):
-        now = members.withColumn("comp", F.col("cls")) if comp is None else members.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        whole = now.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("run", "m")
-        now = scratch.table(now.join(whole, "run"), f"open-{turn}")
-        size = now.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("square")).first()
-        if not size.rows:
-            break
-        last = turn == ROUNDS or size.square <= 8 * size.rows
-        fits = "4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.comp != y.comp"
-        if last:  # short runs, or the end of the rounds: all pairs across components
-            pairs = now.alias("x").join(now.alias("y"), "run").where(f"x.cls < y.cls and {fits}").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        else:
-            rank = F.xxhash64("cls", F.lit(turn))
-            lead = now.withColumn("rank", rank).groupBy("run").agg(F.min("rank").alias("rank"))
-            lead = now.withColumn("rank", rank).join(lead, ["run", "rank"])
-            pairs = now.alias("x").join(lead.alias("y"), "run").where(f"x.cls != y.cls and {fits}").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        pairs = pairs.distinct()
-        left, right = sets.select(F.col("cls").alias("a"), F.col("members").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("members").alias("sb"))
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(_verify, "a binary, b binary")
-        found = scratch.table(found, f"links-{turn}")
-        edges = found if edges is None else edges.union(found)
-        if not last and not found.limit(1).count() and turn:  # leaders link no more: settle the rest
-            members = now.select("run", "cls", "n")
-        comp = connected(edges, scratch, f"comp-{turn}").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
-        if last:
+        if turn or edges.limit(1).count():
+            comp = connected(edges, scratch, f"comp-{turn}").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
+        now = long.withColumn("comp", F.col("cls")) if comp is None else long.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        spans = now.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("run")
+        now = scratch.table(now.join(spans, "run", "left_semi"), f"open-{turn}")
+        if not now.limit(1).count():
+            return comp
+        rank = F.xxhash64("cls", F.lit(turn))
+        lead = now.groupBy("run").agg(F.min(rank).alias("rank"))
+        lead = now.withColumn("rank", rank).join(lead, ["run", "rank"])
+        pairs = now.alias("x").join(lead.alias("y"), "run").where(f"x.comp != y.comp and {fits}").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        found = scratch.table(checked(pairs.distinct(), sets), f"links-{turn}")
+        edges = edges.union(found)
+        if turn == ROUNDS - 1 or not found.limit(1).count():
             break
+    # leaders link no more: what is left across components is compared in blocks, which pass on only pairs that may link
+    if found.limit(1).count():
+        comp = connected(edges, scratch, "comp-rest").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
+        now = now.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    found = scratch.table(checked(in_blocks(now, sets).distinct(), sets), "links-rest")
+    if found.limit(1).count():
+        comp = connected(edges.union(found), scratch, "comp-all").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
     return comp
 
 
+def _fold(maps: list[bytes], size: int) -> np.ndarray:
+    """Parity bitmaps folded to `size` bytes, a row each."""
+    out = np.zeros((len(maps), size), np.uint8)
+    for i, x in enumerate(maps):
+        for part in np.frombuffer(x, np.uint8).reshape(-1, size):
+            out[i] ^= part
+    return out
+
+
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block across components whose sizes and bitmaps allow a link."""
+    same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+    pdf = pdf.sort_values("n", kind="stable", ignore_index=True)
+    n, side = pdf["n"].to_numpy(np.int64), (pdf["chunk"] == pdf["i"]).to_numpy()
+    comp, cls = np.unique([bytes(x) for x in pdf["comp"]], return_inverse=True)[1], [bytes(x) for x in pdf["cls"]]
+    bits = [bytes(x) for x in pdf["bits"]]
+    width = np.array([len(x) for x in bits])
+    at = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    pairs: list[tuple[bytes, bytes]] = []
+    for w in at:
+        near = np.flatnonzero((width == w) | (width == 2 * w))
+        folded = _fold([bits[k] for k in near], int(w))
+        place = {int(k): r for r, k in enumerate(near)}
+        for x in at[w]:
+            fit = (4 * n[x] >= 3 * n[near]) & (4 * n[near] >= 3 * n[x]) & (comp[near] != comp[x]) & ((width[near] > w) | (near > x))
+            if not same:
+                fit &= side[near] != side[x]
+            some = np.flatnonzero(fit)
+            if len(some):
+                apart = np.bitwise_count(folded[some] ^ folded[place[int(x)]]).sum(axis=1, dtype=np.int64)
+                pairs += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in near[some[7 * apart <= n[near[some]] + n[x]]]]
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def in_blocks(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of runs that still span components, each run cut to chunks of about BLOCK classes, each pair of chunks a task's group."""
+    rows = now.select("run", "cls", "n", "comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")).join(sets.select("cls", "bits"), "cls")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("run", "cls", "n", "comp", "bits", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return rows.groupBy("run", "i", "j").applyInPandas(_block, "a binary, b binary")
+
+
 def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -294,7 +402,7 @@ def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     counts, total = sketch(docs)
     owners = max(8, total // 4 // OWNER_POSTINGS + 1)
     posted = scratch.table(prefixes(docs, counts, owners), "posted")
-    rows = posted.where("kind = 0").select("doc_id", "n", "cls", "gid")
+    rows = scratch.table(posted.where("kind = 0").select("doc_id", "n", "cls", "gid"), "rows")
     named = rows.where("n > 0").withColumn("salt", salt_of("doc_id"))
 
     cool = posted.where("kind = 1").select("owner", "blob").groupBy("owner").applyInPandas(_runs, "run long, gid long")
@@ -304,10 +412,11 @@ def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     inner = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gid", F.col("gid").alias("run"))
     runs = runs.union(inner.select("run", "gid"))
     members = scratch.table(runs.join(classes, "gid").select("run", "cls", "n", "rep"), "members")
+    scratch.drop("posted")
 
     wanted = checked_broadcast(members.select("rep").distinct())
     texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "rep", "left_semi")
-    found = texts.select("text").mapInPandas(_sets, "cls binary, members binary")
+    found = texts.select("text").mapInPandas(_sets, "cls binary, members binary, n int, bits binary")
     needed = members.select("cls").distinct()
     sets = scratch.table(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     comp = links(members.select("run", "cls", "n"), sets, scratch)

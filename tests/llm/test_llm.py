@@ -159,6 +159,7 @@ def brute_components(texts):
 def test_jaccard(docs, texts, monkeypatch, short, hot):
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", 5 if short == 2 else 2_000)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()), key=str)
     assert got == brute_components(texts)
 
