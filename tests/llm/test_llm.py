@@ -282,6 +282,19 @@ def test_wrapper_drops_template_and_keeps_varying_text():
     assert copies == ["copy"] * 5
 
 
+def test_template_decides_inside_articles_too():
+    box = "<div class=box>Our letter comes each week</div>"
+    page = "<article><h1>Title {0}</h1>" + box + "<p>Long body {0} of a text that differs</p></article>"
+    got = html_extract.induce([html_extract.parse(page.format(i)) for i in range(6)])
+    assert got == [f"Title {i} Long body {i} of a text that differs" for i in range(6)]
+    page = "<main><h1>Title {0}</h1><p>Body {0} beside a teaser</p><article>Teaser {0}</article></main>"
+    got = html_extract.induce([html_extract.parse(page.format(i)) for i in range(6)])
+    assert got == [f"Title {i} Body {i} beside a teaser Teaser {i}" for i in range(6)]
+    body = "<article><h1>Same title</h1><p>Same long body on each page of the host</p><p>{0}</p></article>"
+    got = html_extract.induce([html_extract.parse(body.format(i)) for i in range(6)])
+    assert got == [f"Same title Same long body on each page of the host {i}" for i in range(6)]
+
+
 def test_html_table(spark):
     rows = [(i, f"http://h{i % 2}.com/{i}", f"<article>text {i}</article>") for i in range(70)] + [(None, None, None), (5, "http://h.com", "")]
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
