@@ -295,6 +295,19 @@ def test_template_decides_inside_articles_too():
     assert got == [f"Same title Same long body on each page of the host {i}" for i in range(6)]
 
 
+def test_headline_beside_a_long_body_stays():
+    page = "<div id=menu>Same menu</div><div id=b><h1>Title {0}</h1>" + "<p>Paragraph {0} of a long body</p>" * 40 + "<table><tr><td>Cell {0}</table><h2>Late {0}</h2><p>End {0}</p></div>"
+    got = html_extract.induce([html_extract.parse(page.format(i)) for i in range(6)])
+    assert got == [" ".join([f"Title {i}", *[f"Paragraph {i} of a long body"] * 40, f"Cell {i} Late {i} End {i}"]) for i in range(6)]
+
+
+@pytest.mark.parametrize("n", [33, 34, 65, 130])
+def test_last_pages_of_a_host_know_the_template(spark, n):
+    rows = [(i, f"http://h.com/{i}", f"<div id=m>Plain menu</div><div id=b>text {i}</div>") for i in range(n)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"text {i}") for i in range(n)]
+
+
 def test_html_table(spark):
     rows = [(i, f"http://h{i % 2}.com/{i}", f"<article>text {i}</article>") for i in range(70)] + [(None, None, None), (5, "http://h.com", "")]
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
