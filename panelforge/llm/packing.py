@@ -1,8 +1,10 @@
 """Packing (2): lexical retrieval packing of documents into fixed windows.
 
-Documents become token ids once, are dealt to shards of about ``SHARD_IDS`` ids by hash, and every shard builds a BM25
-inverted index over token ids. Document frequencies and the mean length are those of all documents, not of the shard. A
-window starts with a seed document; the index returns the seed's best neighbours that no window has used, which fill the
+Documents become token ids once, are dealt to shards of about ``SHARD_IDS`` ids by lexical likeness, and every shard builds
+a BM25 inverted index over token ids. Likeness is that of hashed BM25 vectors: a tree of cuts along main directions, grown
+on a sample that grows with the number of shards, leads like documents to one leaf; a leaf of too many ids is dealt on by hash.
+Document frequencies and the mean length are those of all documents, not of the shard. A seed asks its own shard with all its
+terms, so neighbours in other leaves are not found (README: recall against all documents). A window starts with a seed document; the index returns the seed's best neighbours that no window has used, which fill the
 window greedily, the last one cut where the window ends. Its rest seeds the next window. So only the last window of a
 shard is padded.
 
@@ -27,9 +29,72 @@ WINDOW = 1024
 END_ID = 0
 SHARD_IDS = 2_000_000
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
 NEIGHBOURS = 32
 VOCABULARY = 65_536
+WIDTH = 128
+SAMPLE_LEAF, SAMPLE_LEAST = 16, 4_000
+
+
+def weighed(x: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms and their BM25 weights."""
+    t, tf = np.unique(x, return_counts=True)
+    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean_length))
+
+
+def vectors(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 vectors of length 1, terms hashed to ``WIDTH`` signed places."""
+    mixed = np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    place, sign = (mixed % np.uint64(WIDTH)).astype(np.int64), np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
+    out = np.zeros((len(ids), WIDTH), np.float32)
+    for i, x in enumerate(ids):
+        t, w = weighed(x, idf, mean_length)
+        out[i] = np.bincount(place[t], w * sign[t], WIDTH)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+class Tree:
+    """Leads vectors to one of so many leaves of about as many ids; like ones mostly to the same."""
+
+    def __init__(self, sample: np.ndarray, sizes: np.ndarray, leaves: int):
+        self.nodes: list = []  # (direction, cut, node below, node above), or (None, leaf, 0, 0)
+        self.leaves = 0
+        self._grow(sample, sizes, leaves)
+
+    def _grow(self, x: np.ndarray, sizes: np.ndarray, leaves: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append((None, self.leaves, 0, 0))
+        along = None
+        if leaves > 1 and len(x) > 1:
+            off = x - x.mean(0)
+            along = np.linalg.eigh(off.T @ off)[1][:, -1].astype(np.float32)
+            v = x @ along
+            order = np.argsort(v, kind="stable")
+            v, sums = v[order], np.cumsum(sizes[order])
+            a, b = np.searchsorted(sums, sums[-1] * (leaves // 2 / leaves + np.array([-0.1, 0.1])))
+            a = min(int(a), len(v) - 2)
+            k = a + int(np.argmax(np.diff(v[a : max(a + 2, int(b) + 1)])))  # the widest gap near the middle
+            if v[k] == v[k + 1]:
+                along = None
+        if along is None:
+            self.leaves += 1
+        else:
+            cut = float((v[k] + v[k + 1]) / 2)
+            low = x @ along <= cut
+            self.nodes[at] = (along, cut, self._grow(x[low], sizes[low], leaves // 2), self._grow(x[~low], sizes[~low], leaves - leaves // 2))
+        return at
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            at, rows = stack.pop()
+            along, cut, below, above = self.nodes[at]
+            if along is None:
+                out[rows] = cut
+            elif len(rows):
+                low = x[rows] @ along <= cut
+                stack += [(below, rows[low]), (above, rows[~low])]
+        return out
 
 
 class Index:
@@ -38,11 +103,10 @@ class Index:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
         terms, weights, self.queries = [], [], []
         for x in ids:
-            t, tf = np.unique(x, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean_length))
+            t, w = weighed(x, idf, mean_length)
             terms.append(t)
             weights.append(w.astype(np.float32))
-            self.queries.append(t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
+            self.queries.append(t)
         term, docs = np.concatenate(terms), np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = docs[order], np.concatenate(weights)[order]
@@ -115,6 +179,33 @@ def statistics(ids: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, size.docs, size.ids
 
 
+def deal(ids: DataFrame, idf: np.ndarray, mean_length: float, shards: int, n_docs: int) -> DataFrame:
+    """The ids with each document's leaf; about as many leaves as shards."""
+    if shards == 1:
+        return ids.withColumn("leaf", F.lit(0).cast("long"))
+    sc = ids.sparkSession.sparkContext
+    model = sc.broadcast(idf)
+    share = min(1.0, max(SAMPLE_LEAST, SAMPLE_LEAF * shards) / n_docs)
+
+    def held(pdf: pd.DataFrame) -> np.ndarray:
+        return vectors([np.frombuffer(x, "<u2") for x in pdf["ids"]], model.value, mean_length)
+
+    def show(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"v": [x.tobytes() for x in held(pdf)], "n": pdf["n"]})
+
+    sample = ids.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids", "n").mapInPandas(show, "v binary, n long").collect()
+    rows = sorted((bytes(r.v), r.n) for r in sample)
+    seen = np.array([np.frombuffer(v, np.float32) for v, _ in rows]).reshape(len(rows), WIDTH)
+    tree = sc.broadcast(Tree(seen, np.array([n for _, n in rows], float), shards))
+
+    def place(batches):
+        for pdf in batches:
+            yield pdf.astype({"doc_id": "Int64"}).assign(leaf=tree.value.leaf(held(pdf)))
+
+    return ids.mapInPandas(place, "doc_id long, ids binary, n long, leaf long")
+
+
 def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: int = WINDOW, end: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece, and its ids (16-bit) if asked."""
     spark = docs.sparkSession
@@ -126,6 +217,14 @@ def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: in
     mean_length = n_ids / max(1, n_docs)
     shards = max(1, -(-n_ids // SHARD_IDS))
     model = spark.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
+    dealt = scratch.table(deal(ids, idf, mean_length, shards, n_docs), "dealt")
+    scratch.drop("ids")
+    # a leaf of too many ids is dealt on by hash
+    first, parts = {}, 0
+    for r in dealt.groupBy("leaf").agg(F.sum("n").alias("n")).orderBy("leaf").collect():  # a row for each shard
+        first[r.leaf] = (parts, max(1, -(-r.n // (2 * SHARD_IDS))))
+        parts += first[r.leaf][1]
+    plan = spark.createDataFrame([(k, *v) for k, v in first.items()], "leaf long, first int, parts int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -147,7 +246,7 @@ def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: in
             }
         )
 
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int"))
+    dealt = dealt.join(F.broadcast(plan), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")).select("doc_id", "ids", "n", "shard")
     out = dealt.groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out if with_ids else out.drop("ids")
 

@@ -254,6 +254,26 @@ def test_retrieval_prefers_like_documents():
     assert all(d % 2 == 0 for d in index.retrieve(0))
 
 
+def test_like_documents_meet_in_a_shard(spark, monkeypatch):
+    rng = random.Random(3)
+    topics = [[f"{chr(97 + k)}{rng.randrange(10**6)}" for _ in range(12)] for k in range(8)]
+    rows = [(i, " ".join(rng.choices(topics[i % 8], k=40))) for i in range(160)]
+    monkeypatch.setattr(packing, "SHARD_IDS", 3000)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json"), window=64).collect()
+    shard = {r.doc_id: r.sequence_id >> 40 for r in got}
+    assert len(shard) == 160 and len(set(shard.values())) >= 5
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    same = [shard[a] == shard[b] for a, b in itertools.combinations(range(160), 2) if a % 8 == b % 8]
+    assert sum(same) > 0.5 * len(same)  # dealt by hash: one in as many as there are shards
+
+
+def test_a_seed_asks_with_all_its_terms():
+    ids = [np.arange(40, dtype=np.uint16), *[np.array([k], np.uint16) for k in range(40)]]
+    index = packing.Index(ids, np.linspace(1, 2, packing.VOCABULARY), 2.0)
+    index.used[0] = True
+    assert sorted(index.retrieve(0, 40)) == list(range(1, 41))
+
+
 # 3
 
 
