@@ -9,7 +9,8 @@ texts by a join. Unknown has the mass that Good and Turing give it (words seen o
 1. Texts are read once into blocks of at most about ``BLOCK_TOKENS`` tokens: each text as numbers of its block's words,
    and the block's words with their training counts. Counts are summed by word over all blocks and joined back.
 2. Baum-Welch: every iteration sums expected counts over all training texts (exact scaled forward-backward over whole
-   texts), task by task and then by class. Only the starting point comes from a bounded sample (``START_DOCS`` texts).
+   texts), task by task and then by class, from a start that class shares give. It ends when the training likelihood
+   gains less than ``SETTLED`` of itself, after ``ITERATIONS`` passes at most.
 3. Every text's score is its exact likelihood by the scaled forward recursion.
 
 Defined results: null text is empty: one token, the end. A null doc_id counts as the empty string, whose crc32 is 0: held
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import Scratch, ship
 
 STATES = 8
-ITERATIONS = 3
-START_ITERATIONS = 6
-START_DOCS = 600
-START_TOKENS = 1000
+ITERATIONS = 40
+SETTLED = 1e-4
 TOP, TAIL = 4096, 4096
 UNKNOWN = TOP + TAIL
 BLOCK_TOKENS = 1_000_000
@@ -107,6 +106,7 @@ class Model:
 class Counts:
     def __init__(self):
         self.start, self.move, self.emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((UNKNOWN + 1, STATES))
+        self.likelihood = 0.0  # log10, under the model that the counts are expected by
 
 
 class Batch:
@@ -188,10 +188,10 @@ def expect(texts: DataFrame, model: Model) -> Counts:
         for pdf in batches:
             seqs = [np.frombuffer(x, "<u2") for x in pdf["classes"]]
             for part in batches_of(seqs):
-                Batch([seqs[i] for i in part]).count(shared.value, counts)
+                counts.likelihood += Batch([seqs[i] for i in part]).count(shared.value, counts)
         at = np.flatnonzero(counts.emit.any(1))
-        rows = np.vstack([counts.emit[at], counts.move, counts.start])
-        yield pd.DataFrame(rows, columns=columns).assign(row=np.r_[at, -1 - np.arange(STATES), -1 - STATES])[["row", *columns]]
+        rows = np.vstack([counts.emit[at], counts.move, counts.start, np.r_[counts.likelihood, np.zeros(STATES - 1)]])
+        yield pd.DataFrame(rows, columns=columns).assign(row=np.r_[at, -1 - np.arange(STATES + 2)])[["row", *columns]]
 
     spread = texts.where("not held_out").select("classes")
     out = Counts()
@@ -201,6 +201,8 @@ def expect(texts: DataFrame, model: Model) -> Counts:
             out.emit[r.row] = values
         elif r.row == -1 - STATES:
             out.start = values
+        elif r.row == -2 - STATES:
+            out.likelihood = values[0]
         else:
             out.move[-1 - r.row] = values
     shared.unpersist()
@@ -251,14 +253,16 @@ def classed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Model, int]:
 
 
 def train(texts: DataFrame, model: Model, iterations: int = ITERATIONS) -> Model:
-    first = texts.where("not held_out").orderBy(F.xxhash64("doc_id"), "n_tokens").limit(START_DOCS).select(F.substring("classes", 1, 2 * START_TOKENS).alias("classes")).collect()
-    seqs = [np.frombuffer(bytes(r.classes), "<u2") for r in first]
-    for _ in range(START_ITERATIONS if seqs else 0):
-        counts = Counts()
-        Batch(seqs).count(model, counts)
+    """Baum-Welch over all training texts until the likelihood settles."""
+    before = None
+    for _ in range(iterations):
+        counts = expect(texts, model)
+        if not counts.start.any():  # no training texts
+            break
         model.update(counts)
-    for _ in range(iterations if seqs else 0):
-        model.update(expect(texts, model))
+        if before is not None and counts.likelihood - before < SETTLED * -before:
+            break
+        before = counts.likelihood
     return model
 
 

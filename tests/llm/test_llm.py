@@ -380,6 +380,26 @@ def test_scores(docs, texts, empty):
     assert hmm.score(empty, iterations=1).count() == 0
 
 
+def test_training_reads_every_text_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    seqs = [(rng.integers(0, 30, n) + 30 * (np.arange(n) > 1000)).astype("<u2") for n in (1500, 1500, 7, 900)]
+    table = spark.createDataFrame([(i, False, len(x), bytearray(x.tobytes())) for i, x in enumerate(seqs)], "doc_id long, held_out boolean, n_tokens long, classes binary").repartition(2)
+    share = np.full(hmm.UNKNOWN, 1 / hmm.UNKNOWN)
+    want = hmm.Model(share, 0.01)
+    for _ in range(3):
+        c = hmm.Counts()
+        hmm.Batch(seqs).count(want, c)
+        want.update(c)
+    got = hmm.train(table, hmm.Model(share, 0.01), 3)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move)
+    passes = []
+    one = hmm.expect
+    monkeypatch.setattr(hmm, "expect", lambda *a: passes.append(one(*a)) or passes[-1])
+    hmm.train(table, hmm.Model(share, 0.01), 200)
+    gains = [(b.likelihood - a.likelihood) / -a.likelihood for a, b in itertools.pairwise(passes)]
+    assert len(passes) < 200 and gains[-1] < hmm.SETTLED <= min(gains[:-1], default=1)
+
+
 # 6
 
 
