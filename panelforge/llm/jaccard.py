@@ -18,16 +18,18 @@
 Defined results: null, empty and blank texts have no shingles and are linked with nothing (component_id is their own
 doc_id). Repeated rows share a class. A null doc_id takes part but names no component: the smallest other doc_id does,
 or null if there is none. Columns besides doc_id and text are not read by ``components`` and pass ``keep`` unchanged;
-``keep`` leaves the rows whose doc_id is their component's (rows repeated under one doc_id stay together).
+``keep`` leaves one row of each component, that of the smallest doc_id (null last), then of the smallest text digest, and
+every row without words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import Scratch, checked_broadcast, salt_of, ship
@@ -141,7 +143,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
-    """kind 0: a row for each document (doc_id, n, cls, gid); kind 1: packed postings for an owner; kind 2: a hot posting."""
+    """kind 0: a row for each document (doc_id, n, cls, gid, and as blob its text's digest); kind 1: packed postings for an owner; kind 2: a hot posting."""
     import xxhash
 
     level = np.minimum(np.round(10 * np.log2(1 + counts.astype(float))), 255).astype(np.uint64)
@@ -158,13 +160,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 s = shingles(text)
                 n = len(s)
                 if not n:
-                    rows.append((doc_id, 0, None, None))
+                    rows.append((doc_id, 0, None, None, None))
                     continue
                 slot = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 order = np.argsort((level[slot].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
                 head = s[order[: prefix_length(n)]]
                 gid = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(np.sort(head).tobytes(), seed=n)).view(np.int64)))
-                rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), gid))
+                rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), gid, hashlib.md5(text.encode()).digest()))
                 if gid in seen:
                     continue
                 seen.add(gid)
@@ -177,9 +179,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 at.append(np.full(len(head), len(gids), np.int64))
                 gids.append(gid)
                 sizes.append(n)
-            ids, ns, classes, of = zip(*rows, strict=True) if rows else ((), (), (), ())
-            out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "cls": classes, "gid": pd.array(of, "Int64")})  # never through floats
-            yield out.assign(kind=0, owner=0, token=pd.NA, blob=None)[COLUMNS]
+            ids, ns, classes, of, digests = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "cls": classes, "gid": pd.array(of, "Int64"), "blob": digests})  # never through floats
+            yield out.assign(kind=0, owner=0, token=pd.NA)[COLUMNS]
             if hots:
                 hot_rows = pd.DataFrame(hots, columns=["token", "gid", "n"])
                 yield hot_rows.assign(kind=2, owner=0, doc_id=pd.array([None] * len(hots), "Int64"), cls=None, blob=None)[COLUMNS]
@@ -393,8 +395,12 @@ def in_blocks(now: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("run", "i", "j").applyInPandas(_block, "a binary, b binary")
 
 
-def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def named_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, digest, n and first, the (no_id, doc_id, digest) that its component keeps, of every row; both null without words."""
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
@@ -402,7 +408,7 @@ def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     counts, total = sketch(docs)
     owners = max(8, total // 4 // OWNER_POSTINGS + 1)
     posted = scratch.table(prefixes(docs, counts, owners), "posted")
-    rows = scratch.table(posted.where("kind = 0").select("doc_id", "n", "cls", "gid"), "rows")
+    rows = scratch.table(posted.where("kind = 0").select("doc_id", "n", "cls", "gid", F.col("blob").alias("digest")), "rows")
     named = rows.where("n > 0").withColumn("salt", salt_of("doc_id"))
 
     cool = posted.where("kind = 1").select("owner", "blob").groupBy("owner").applyInPandas(_runs, "run long, gid long")
@@ -421,23 +427,44 @@ def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     sets = scratch.table(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     comp = links(members.select("run", "cls", "n"), sets, scratch)
 
-    part = named.groupBy("cls", "salt").agg(F.min("doc_id").alias("first"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    part = named.groupBy("cls", "salt").agg(F.min(key).alias("first"))
     if comp is None:
         part = part.withColumn("comp", F.col("cls"))
     else:
         part = part.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    # the smallest doc_id of each component, over its (class, salt) parts, again in two steps
-    name = part.groupBy("comp", salt_of("cls", "salt").alias("s")).agg(F.min("first").alias("first")).groupBy("comp").agg(F.min("first").alias("component_id"))
-    label = scratch.table(part.join(name, "comp").select("cls", "salt", "component_id"), "labels")
-    out = named.join(label, ["cls", "salt"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.union(rows.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+    # the smallest row of each component, over its (class, salt) parts, again in two steps
+    name = part.groupBy("comp", salt_of("cls", "salt").alias("s")).agg(F.min("first").alias("first")).groupBy("comp").agg(F.min("first").alias("first"))
+    label = scratch.table(part.drop("first").join(name, "comp").select("cls", "salt", "first"), "labels")
+    out = named.join(label, ["cls", "salt"]).select("doc_id", "digest", "n", "first")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "digest", "n"), allowMissingColumns=True)
+
+
+def components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return named_rows(docs, scratch).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns."""
-    lost = components(docs).where("component_id != doc_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("lost_id"))
-    lost = checked_broadcast(lost.distinct())
-    return docs.join(lost, docs.doc_id.cast("long").eqNullSafe(lost.lost_id), "left_anti")
+    """One row of each component, that of the smallest doc_id, and the rows without words, with all columns."""
+    scratch = Scratch(docs.sparkSession)
+    rows = named_rows(docs, scratch).where("n > 0")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    spare = rows.groupBy(F.col("doc_id").alias("spare_id"), F.col("digest").alias("spare_digest")).agg(F.first(chosen).alias("chosen"), F.count(F.lit(1)).alias("rows"))
+    spare = scratch.table(spare.where("not chosen or rows > 1"), "spare")
+
+    def of(keys: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        keys = checked_broadcast(keys.select("spare_id", "spare_digest"))
+        return rows.join(keys, rows.doc_id.cast("long").eqNullSafe(keys.spare_id) & (text_digest(rows.text) == keys.spare_digest), how)
+
+    left = of(spare.where("not chosen"), docs, "left_anti")
+    again = spare.where("chosen")
+    if not again.limit(1).count():
+        return left
+    # rows equal in doc_id and text: one of them
+    names = [f"_{k}" for k in ("id", "digest")]
+    more = of(again, left, "left_semi").withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: text_digest(F.col("text"))})
+    return of(again, left, "left_anti").union(more.dropDuplicates(names).drop(*names))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -178,6 +178,17 @@ def test_jaccard_keep_and_empty(docs, texts, empty):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_keeps_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, ""), (7, c), (7, a + " end"), (None, d), (None, d + " end"), (9, e), (9, e + " end"), (9, e), (5, None)]
+    kept = jaccard.keep(spark.createDataFrame([(i, t, "r", "w") for i, t in rows], SCHEMA)).collect()
+    got = collections.Counter((r.doc_id, r.text) for r in kept)
+    assert got.keys() >= {(1, a), (None, b), (None, ""), (7, c), (5, None)}
+    assert len([k for k in got if k[1] in (d, d + " end")]) == 1 and len([k for k in got if k[1] in (e, e + " end")]) == 1
+    assert sum(got.values()) == 7
+
+
 # 5
 
 
