@@ -7,12 +7,13 @@ lexical shape alone.
 
 Defined results: a null URL and one without "://" have empty host and path, meet no rule and are judged by the trees on
 an empty text. Repeated rows get equal answers. Without labelled rows, or with one label only, the trees give the
-prior. Columns besides page_id and url are not read.
+prior, and ``train`` warns. Columns besides page_id and url are not read.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -185,6 +186,8 @@ class Boosted:
 def train(labelled: DataFrame, most: int = TRAIN_ROWS) -> Boosted:
     """Fit on at most ``most`` distinct labelled URLs, the first in hash order."""
     rows = labelled.where("url is not null and label is not null").select("url", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(most).collect()
+    if len({bool(r.label) for r in rows}) < 2:
+        warnings.warn("labelled URLs of one class only: without a rule, every URL gets the same verdict", stacklevel=2)
     return Boosted().fit([r.url for r in rows], np.array([r.label for r in rows], float))
 
 

@@ -482,6 +482,12 @@ def test_trees_learn_held_out_urls():
     assert ((m.margin(list(urls[400:])) > 0) == np.array(labels[400:])).mean() > 0.95
 
 
+def test_labels_of_one_class_warn(spark):
+    pages = spark.createDataFrame([(f"http://h{i}.com/{i}",) for i in range(5)], "url string")
+    with pytest.warns(UserWarning, match="one class"):
+        url_filter.train(url_filter.seed_labels(pages))
+
+
 # 1
 
 
