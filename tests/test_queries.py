@@ -47,3 +47,10 @@ def test_query_equals_sql(spark, name):
 def test_every_query_has_a_name_in_lower_case():
     assert all(k == k.lower() for k in engine.queries())
     assert set(engine.oracle_sql()) <= set(engine.queries())
+
+
+def test_sessions_cover_every_event(spark):
+    con = duckdb.connect()
+    want = con.execute(f"with e as (select distinct on (event_id) user_id, ts from '{SF}/events.parquet'), g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end as first from e) select count(*), sum(first) from g").fetchone()
+    got = [r.n for r in engine.queries()["st_sessions"](spark, SF).collect()]
+    assert (sum(got), len(got)) == want
