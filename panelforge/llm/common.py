@@ -96,6 +96,16 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def id_parts(row_id: Column, name: str = "doc_id") -> list[Column]:
+    """A row id as two columns without nulls, the id and no_id: pandas would turn ids beside nulls into doubles."""
+    return [F.coalesce(row_id.cast("long"), F.lit(0)).alias(name), row_id.isNull().alias("no_id")]
+
+
+def id_back(name: str = "doc_id") -> Column:
+    """The id that ``id_parts`` has split."""
+    return F.when(~F.col("no_id"), F.col(name)).alias(name)
+
+
 def salt_of(*cols: str | Column, salts: int = 64) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 

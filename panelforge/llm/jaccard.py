@@ -8,11 +8,11 @@
    Shingles that the sketch shows to be in more than ``HOT`` documents go as rows instead and meet in partial sums.
 3. An owner keeps the shingles which two groups post. Their member lists ("runs", equal lists once) are all that remains
    of the table; groups are then expanded to classes, and a group of several classes is a run too.
-4. Runs of at most ``SHORT`` classes give all their pairs. In longer runs that still span two components, rounds pair each
-   class with the run's leader of this round (a hash minimum) if that is of another component; links contract components.
-   What is left across components is compared in blocks of at most about two times ``BLOCK`` classes, on parity bitmaps,
-   and only pairs that may link leave a block. So no link between components is lost, and a run of m near copies costs
-   about m pairs, not m squared.
+4. Runs of at most ``SHORT`` classes give all their pairs. In longer runs that still span components, rounds pair each class
+   outside the run's largest component with that component's leader of this round, another one in each run; links contract
+   components. What is then still outside is compared with its whole run in blocks of at most about two times ``BLOCK``
+   classes, on parity bitmaps, and only pairs that may link leave a block. So no link between components is lost, and a
+   run of m near copies costs about m pairs, not m squared.
 5. A pair is tested on parity bitmaps first, which can only overrate a pair, then on whole sets.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing (component_id is their own
@@ -32,16 +32,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, checked_broadcast, salt_of, ship
+from panelforge.llm.common import Scratch, checked_broadcast, id_parts, salt_of, ship
 
 K = 5
 SKETCH_BITS = 21
 CHUNK = 65_536
 OWNER_POSTINGS = 2_000_000
 HOT = 200_000
-SHORT = 16
-ROUNDS = 3
+SHORT = 8
+ROUNDS = 2
 BLOCK = 2_000
+BLOCK_SHINGLES = 8_000_000
+NEEDED = 200_000
 ONE_TASK_EDGES = 200_000
 _P = np.array([pow(0x9E3779B97F4A7C15, K - 1 - i, 1 << 64) for i in range(K)], np.uint64)
 
@@ -156,7 +158,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
         width = np.uint64((1 << 64) // owners + 1)
         for pdf in batches:
             rows, tokens, at, gids, sizes, hots = [], [], [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for doc_id, no_id, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"], strict=True):
+                doc_id = None if no_id else doc_id
                 s = shingles(text)
                 n = len(s)
                 if not n:
@@ -195,7 +198,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 none = pd.array([None] * len(full), "Int64")
                 yield pd.DataFrame({"kind": 1, "doc_id": none, "n": 0, "cls": None, "gid": none, "owner": full, "token": none, "blob": blobs})[COLUMNS]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "kind int, doc_id long, n int, cls binary, gid long, owner int, token long, blob binary")
+    return docs.select(*id_parts(F.col("doc_id")), "text").mapInPandas(run, "kind int, doc_id long, n int, cls binary, gid long, owner int, token long, blob binary")
 
 
 SETS = ["cls", "members", "n", "bits"]
@@ -307,47 +310,59 @@ def _may_link(batches):
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: by bitmap first, then on whole sets."""
+def side(pairs: DataFrame, sets: DataFrame, k: str, *columns: str) -> DataFrame:
+    """The sets of one side of the pairs, and no others; column c of side k as its first letter and k."""
+    needed = checked_broadcast(pairs.select(F.col(k).alias("cls")).distinct(), NEEDED)
+    return sets.join(needed, "cls", "left_semi").select(F.col("cls").alias(k), *[F.col(c).alias(c[0] + k) for c in columns])
 
-    def side(k: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(k), *[F.col(c).alias(c[0] + k) for c in columns])
 
-    maps = pairs.join(side("a", "bits", "n"), "a").join(side("b", "bits", "n"), "b").select("a", "b", "ba", "bb", "na", "nb")
-    left = maps.mapInPandas(_may_link, "a binary, b binary")
-    return left.join(side("a", "members"), "a").join(side("b", "members"), "b").select("a", "b", F.col("ma").alias("sa"), F.col("mb").alias("sb")).mapInPandas(_verify, "a binary, b binary")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b), read from a table, that link by their whole sets."""
+    both = pairs.join(side(pairs, sets, "a", "members"), "a").join(side(pairs, sets, "b", "members"), "b")
+    return both.select("a", "b", F.col("ma").alias("sa"), F.col("mb").alias("sb")).mapInPandas(_verify, "a binary, b binary")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link: by bitmap first, then by whole sets."""
+    pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
+    maps = pairs.join(side(pairs, sets, "a", "bits", "n"), "a").join(side(pairs, sets, "b", "bits", "n"), "b").select("a", "b", "ba", "bb", "na", "nb")
+    near = scratch.table(maps.mapInPandas(_may_link, "a binary, b binary"), f"{name}-near")
+    return scratch.table(verified(near, sets), name)
 
 
 def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(cls, comp) of the classes that have links. members: run, cls, n."""
-    fits = "4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
-    sized = members.join(members.groupBy("run").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "run")
-    sized = scratch.table(sized.select("run", "cls", "n", "m"), "sized")
+    sizes = members.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1")
+    sized = scratch.table(members.join(sizes, "run").select("run", "cls", "n", "m", "size"), "sized")
     short, long = sized.where(F.col("m") <= SHORT), sized.where(F.col("m") > SHORT)
-    pairs = short.alias("x").join(short.alias("y"), "run").where(f"x.cls < y.cls and {fits}").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    edges = scratch.table(checked(pairs.distinct(), sets), "links-short")
-    comp = None
+
+    def fits(a: str, b: str) -> str:
+        return f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})"
+
+    pairs = short.alias("x").join(short.alias("y"), "run").where("x.cls < y.cls and " + fits("x.n", "y.n"))
+    edges = checked(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets, scratch, "links-short")
+    comp, news = None, bool(edges.limit(1).count())
     for turn in range(ROUNDS + 1):
-        if turn or edges.limit(1).count():
+        if news:
             comp = connected(edges, scratch, f"comp-{turn}").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
         now = long.withColumn("comp", F.col("cls")) if comp is None else long.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        spans = now.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("run")
-        now = scratch.table(now.join(spans, "run", "left_semi"), f"open-{turn}")
-        if not now.limit(1).count():
+        # the runs that span components, with their largest one
+        parts = now.groupBy("run", "comp").agg(F.count(F.lit(1)).alias("k"))
+        tops = parts.groupBy("run").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
+        tops = scratch.table(tops.select("run", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.k")).alias("outside")), f"tops-{turn}")
+        if not tops.limit(1).count():
             return comp
-        rank = F.xxhash64("cls", F.lit(turn))
-        lead = now.groupBy("run").agg(F.min(rank).alias("rank"))
-        lead = now.withColumn("rank", rank).join(lead, ["run", "rank"])
-        pairs = now.alias("x").join(lead.alias("y"), "run").where(f"x.comp != y.comp and {fits}").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        found = scratch.table(checked(pairs.distinct(), sets), f"links-{turn}")
-        edges = edges.union(found)
-        if turn == ROUNDS - 1 or not found.limit(1).count():
+        now = now.join(checked_broadcast(tops, NEEDED), "run")
+        if turn == ROUNDS or turn and not news:
             break
-    # leaders link no more: what is left across components is compared in blocks, which pass on only pairs that may link
-    if found.limit(1).count():
-        comp = connected(edges, scratch, "comp-rest").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
-        now = now.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    found = scratch.table(checked(in_blocks(now, sets).distinct(), sets), "links-rest")
+        lead = now.where("comp = top").groupBy("run").agg(F.min(F.struct(F.xxhash64("cls", "run", F.lit(turn)).alias("rank"), "cls", "n")).alias("lead"))
+        pairs = now.where("comp != top").join(checked_broadcast(lead, NEEDED), "run").where(fits("n", "lead.n"))
+        found = checked(pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")), sets, scratch, f"links-{turn}")
+        news = bool(found.limit(1).count())
+        edges = edges.union(found) if news else edges
+    # leaders link no more, or took their rounds: what is outside meets its runs in blocks, which pass on only pairs that may link
+    near = scratch.table(in_blocks(now, sets, scratch).distinct(), "near-rest")
+    found = scratch.table(verified(near, sets), "links-rest")
     if found.limit(1).count():
         comp = connected(edges.union(found), scratch, "comp-all").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
     return comp
@@ -363,36 +378,40 @@ def _fold(maps: list[bytes], size: int) -> np.ndarray:
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block across components whose sizes and bitmaps allow a link."""
-    same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
-    pdf = pdf.sort_values("n", kind="stable", ignore_index=True)
-    n, side = pdf["n"].to_numpy(np.int64), (pdf["chunk"] == pdf["i"]).to_numpy()
-    comp, cls = np.unique([bytes(x) for x in pdf["comp"]], return_inverse=True)[1], [bytes(x) for x in pdf["cls"]]
-    bits = [bytes(x) for x in pdf["bits"]]
+    """Pairs of an asking row and another across components whose sizes and bitmaps allow a link."""
+    asks = pdf["asks"].to_numpy(bool)
+    n, comp = pdf["n"].to_numpy(np.int64), np.unique([bytes(x) for x in pdf["comp"]], return_inverse=True)[1]
+    cls, bits = [bytes(x) for x in pdf["cls"]], [bytes(x) for x in pdf["bits"]]
     width = np.array([len(x) for x in bits])
-    at = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-    pairs: list[tuple[bytes, bytes]] = []
-    for w in at:
-        near = np.flatnonzero((width == w) | (width == 2 * w))
-        folded = _fold([bits[k] for k in near], int(w))
-        place = {int(k): r for r, k in enumerate(near)}
-        for x in at[w]:
-            fit = (4 * n[x] >= 3 * n[near]) & (4 * n[near] >= 3 * n[x]) & (comp[near] != comp[x]) & ((width[near] > w) | (near > x))
-            if not same:
-                fit &= side[near] != side[x]
-            some = np.flatnonzero(fit)
-            if len(some):
-                apart = np.bitwise_count(folded[some] ^ folded[place[int(x)]]).sum(axis=1, dtype=np.int64)
-                pairs += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in near[some[7 * apart <= n[near[some]] + n[x]]]]
-    return pd.DataFrame(pairs, columns=["a", "b"])
-
-
-def in_blocks(now: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of runs that still span components, each run cut to chunks of about BLOCK classes, each pair of chunks a task's group."""
-    rows = now.select("run", "cls", "n", "comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")).join(sets.select("cls", "bits"), "cls")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("run", "cls", "n", "comp", "bits", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return rows.groupBy("run", "i", "j").applyInPandas(_block, "a binary, b binary")
+    pairs: set[tuple[bytes, bytes]] = set()
+    for w in np.unique(width[asks]):
+        for v in (w // 2, w, 2 * w):  # linked sets differ by a third in size at most
+            there, size = np.flatnonzero(~asks & (width == v)), int(min(v, w))
+            if not len(there):
+                continue
+            folded = _fold([bits[k] for k in there], size)
+            for x in np.flatnonzero(asks & (width == w)):
+                some = np.flatnonzero((4 * n[x] >= 3 * n[there]) & (4 * n[there] >= 3 * n[x]) & (comp[there] != comp[x]))
+                if len(some):
+                    apart = np.bitwise_count(folded[some] ^ _fold([bits[x]], size)).sum(axis=1, dtype=np.int64)
+                    pairs.update((min(cls[x], cls[y]), max(cls[x], cls[y])) for y in there[some[7 * apart <= n[there[some]] + n[x]]])
+    return pd.DataFrame(list(pairs), columns=["a", "b"])
+
+
+def in_blocks(now: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of classes outside their run's largest component with the rest of the run. Both are cut to chunks of about BLOCK."""
+    needed = checked_broadcast(now.select("cls").distinct(), NEEDED)
+    rows = now.join(sets.join(needed, "cls", "left_semi").select("cls", "bits"), "cls")
+    rows = rows.withColumns({"all": F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")})
+    rows = rows.withColumn("asking", F.ceil(F.least(F.col("all"), F.greatest(F.col("outside") / BLOCK, F.col("outside") / F.col("m") * F.col("size") / BLOCK_SHINGLES))).cast("int"))
+    rows = scratch.table(rows.select("run", "cls", "n", "comp", "bits", "all", "asking", (F.col("comp") != F.col("top")).alias("outside")), "open")
+
+    def dealt(rows: DataFrame, asks: bool, own: str, other: str, i: str, j: str) -> DataFrame:
+        cut = rows.withColumn(i, F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return cut.select("run", "i", "j", "cls", "n", "comp", "bits", F.lit(asks).alias("asks"))
+
+    meet = dealt(rows.where("outside"), True, "asking", "all", "i", "j").union(dealt(rows, False, "all", "asking", "j", "i"))
+    return meet.groupBy("run", "i", "j").applyInPandas(_block, "a binary, b binary")
 
 
 def text_digest(text: Column) -> Column:
