@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import Scratch, checked_broadcast, salt_of, ship, without_space
+from panelforge.llm.common import Scratch, checked_broadcast, id_back, id_parts, salt_of, ship, without_space
 
 SENDER_ROWS = 100_000
 SALTS = 64
@@ -103,7 +103,7 @@ def flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     norm = without_space(F.col("text"))
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),
-        "doc_id",
+        *id_parts(F.col("doc_id")),
         F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
         F.xxhash64(norm).alias("fp"),
         F.unhex(F.sha2(norm, 256)).alias("sha"),
@@ -115,8 +115,8 @@ def flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("sender", F.pmod(F.xxhash64("rid"), F.lit(senders)).cast("int"))
     sent = rows.select("sender", "fp").groupBy("sender").applyInPandas(_send(owners), "sender int, owner int, coded binary")
     maps = sent.groupBy("owner").applyInPandas(_answer, "sender int, owner int, bits binary")
-    marked = rows.groupBy("sender").cogroup(maps.groupBy("sender")).applyInPandas(_mark(owners), "rid long, doc_id long, n_chars int, fp long, sha binary, suspect boolean")
-    return scratch.table(marked, "marked")
+    marked = rows.groupBy("sender").cogroup(maps.groupBy("sender")).applyInPandas(_mark(owners), "rid long, doc_id long, no_id boolean, n_chars int, fp long, sha binary, suspect boolean")
+    return scratch.table(marked.select("rid", id_back(), "n_chars", "fp", "sha", "suspect"), "marked")
 
 
 def groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import Scratch, parallelism, ship
+from panelforge.llm.common import Scratch, id_parts, parallelism, ship
 from panelforge.llm.tokens import tokenised, vocabulary
 from panelforge.llm.warc import filesystem
 
@@ -200,8 +200,8 @@ def write(docs: DataFrame, vocab: str, scratch: Scratch, end: int = END_ID, shar
             return row
 
         for pdf in batches:
-            for d, x in zip(pdf["doc_id"].astype("Int64"), pdf["ids"], strict=True):
-                doc_ids.append(None if d is pd.NA else int(d))
+            for d, none, x in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["ids"], strict=True):
+                doc_ids.append(None if none else d)
                 held.append(np.frombuffer(x, "<u2"))
                 size += len(held[-1])
                 if size >= shard_ids:
@@ -210,7 +210,7 @@ def write(docs: DataFrame, vocab: str, scratch: Scratch, end: int = END_ID, shar
             yield close()
 
     ordered = ids.repartitionByRange(parallelism(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    files = scratch.table(ordered.mapInPandas(save, "file string, part int, k int, docs long, ids long, bytes long"), "manifest")
+    files = scratch.table(ordered.select(*id_parts(F.col("doc_id")), "ids").mapInPandas(save, "file string, part int, k int, docs long, ids long, bytes long"), "manifest")
     scratch.drop("ids")
     before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard file
     return files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))

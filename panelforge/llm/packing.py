@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, ship
+from panelforge.llm.common import Scratch, id_back, id_parts, ship
 from panelforge.llm.tokens import tokenised, vocabulary
 
 WINDOW = 1024
@@ -201,9 +201,9 @@ def deal(ids: DataFrame, idf: np.ndarray, mean_length: float, shards: int, n_doc
 
     def place(batches):
         for pdf in batches:
-            yield pdf.astype({"doc_id": "Int64"}).assign(leaf=tree.value.leaf(held(pdf)))
+            yield pdf.assign(leaf=tree.value.leaf(held(pdf)))
 
-    return ids.mapInPandas(place, "doc_id long, ids binary, n long, leaf long")
+    return ids.select(*id_parts(F.col("doc_id")), "ids", "n").mapInPandas(place, "doc_id long, no_id boolean, ids binary, n long, leaf long").select(id_back(), "ids", "n", "leaf")
 
 
 def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: int = WINDOW, end: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -228,14 +228,15 @@ def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: in
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.assign(crc=[zlib.crc32(x) for x in pdf["ids"]]).sort_values(["doc_id", "crc"], kind="stable", ignore_index=True)
+        pdf = pdf.assign(crc=[zlib.crc32(x) for x in pdf["ids"]]).sort_values(["no_id", "doc_id", "crc"], kind="stable", ignore_index=True)
         held = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
         pieces = pack_shard(held, model.value, mean_length, window)
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         cuts = [held[d][s : s + n] for d, s, n in zip(doc, start, length, strict=True)]
         return pd.DataFrame(
             {
-                "doc_id": pdf["doc_id"].astype("Int64").to_numpy()[doc],
+                "doc_id": pdf["doc_id"].to_numpy()[doc],
+                "no_id": pdf["no_id"].to_numpy()[doc],
                 "start": start,
                 "length": length,
                 "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in cuts],
@@ -246,8 +247,9 @@ def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: in
             }
         )
 
-    dealt = dealt.join(F.broadcast(plan), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")).select("doc_id", "ids", "n", "shard")
-    out = dealt.groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    dealt = dealt.join(F.broadcast(plan), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("parts")).cast("int")).select(*id_parts(F.col("doc_id")), "ids", "n", "shard")
+    out = dealt.groupBy("shard").applyInPandas(run, "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    out = out.withColumn("doc_id", id_back()).drop("no_id")
     return out if with_ids else out.drop("ids")
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import ship
+from panelforge.llm.common import id_back, id_parts, ship
 from panelforge.llm.tokens import blocks, vocabulary
 
 MARK = "▁"
@@ -139,9 +139,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for a, b in blocks(texts):
                 ids = [p.encode(t) for t in texts[a:b]]
                 same = [p.decode(x) == t for x, t in zip(ids, texts[a:b], strict=True)]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "ids": ids, "n_tokens": [len(x) // 2 for x in ids], "round_trip": same})
+                yield pdf.iloc[a:b][["doc_id", "no_id"]].assign(ids=ids, n_tokens=[len(x) // 2 for x in ids], round_trip=same)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary, n_tokens long, round_trip boolean")
+    coded = docs.select(*id_parts(F.col("doc_id")), "text").mapInPandas(run, "doc_id long, no_id boolean, ids binary, n_tokens long, round_trip boolean")
+    return coded.select(id_back(), "ids", "n_tokens", "round_trip")
 
 
 def decode(ids: DataFrame, model: str) -> DataFrame:
@@ -151,9 +152,9 @@ def decode(ids: DataFrame, model: str) -> DataFrame:
     def run(batches):
         p = pieces(model)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [p.decode(x or b"") for x in pdf["ids"]]})
+            yield pdf[["doc_id", "no_id"]].assign(text=[p.decode(x or b"") for x in pdf["ids"]])
 
-    return ids.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return ids.select(*id_parts(F.col("doc_id")), "ids").mapInPandas(run, "doc_id long, no_id boolean, text string").select(id_back(), "text")
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

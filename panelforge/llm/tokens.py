@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import id_back, id_parts
+
 REMEMBERED = 800_000
 JOINED = 64
 PUNCTUATION = ".,!?;:"
@@ -137,6 +139,6 @@ def tokenised(docs: DataFrame, vocab: str, keeps_space: bool, end: int) -> DataF
             texts = [t or "" for t in pdf["text"]]
             for a, b in blocks(texts):
                 ids = [x + tail for x in enc.encode(texts[a:b])]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].astype("Int64"), "ids": ids, "n": [len(x) // 2 for x in ids]})
+                yield pdf.iloc[a:b][["doc_id", "no_id"]].assign(ids=ids, n=[len(x) // 2 for x in ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids binary, n long")
+    return docs.select(*id_parts(F.col("doc_id")), "text").mapInPandas(run, "doc_id long, no_id boolean, ids binary, n long").select(id_back(), "ids", "n")
