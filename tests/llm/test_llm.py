@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -341,8 +342,9 @@ def test_last_pages_of_a_host_know_the_template(spark, n):
 
 def test_html_table(spark):
     rows = [(i, f"http://h{i % 2}.com/{i}", f"<article>text {i}</article>") for i in range(70)] + [(None, None, None), (5, "http://h.com", "")]
-    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
-    assert got == sorted(((i, f"text {i}", len(f"text {i}")) for i in range(70)), key=str) + [] or len(got) == 72
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(i, f"text {i}") for i in range(70)] + [(None, ""), (5, "")]
+    assert sorted(((r.page_id, r.text, r.n_chars) for r in got), key=str) == sorted(((i, t, len(t)) for i, t in want), key=str)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -538,3 +540,109 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(range(30))
     assert len(corpus_pipeline.STAGES) == 4
+
+
+# ids beside nulls
+
+
+BIG = [2**60 + 1 + 2 * k for k in range(24)]
+
+
+@pytest.fixture(scope="module")
+def big_ids(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 70), "r", "w") for i in BIG] + [(None, prose(rng, 70), "r", "w"), (None, None, "r", "w")]
+    return spark.createDataFrame(rows, SCHEMA).coalesce(1)
+
+
+@pytest.fixture(scope="module")
+def big_copies(big_ids):
+    """The same with a copy of each text of an even place under the id one higher."""
+    more = big_ids.where(f"doc_id % 4 = {BIG[0] % 4}").selectExpr("doc_id + 1 as doc_id", "text", "row", "words")
+    return big_ids.unionByName(more).coalesce(1)
+
+
+def ids_of(df, name="doc_id"):
+    return sorted((r[name] for r in df.select(name).distinct().collect()), key=lambda x: (x is None, x))
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_ids_beside_nulls_keep_all_their_digits(spark, big_ids, big_copies, copies):
+    docs = big_copies if copies else big_ids
+    ids = ids_of(docs)
+    coded = sentencepieces.encode(docs, vocabulary("piece_bpe_32k.model"))
+    assert ids_of(coded) == ids and ids_of(sentencepieces.decode(coded, vocabulary("piece_bpe_32k.model"))) == ids
+    assert ids_of(packing.pack(docs, vocabulary("byte_bpe_50k.json"))) == ids
+    pages = docs.selectExpr("doc_id as page_id", "'http://h.com/' as url", "text as html")
+    assert ids_of(html_extract.extract(pages), "page_id") == ids
+    assert ids_of(hmm.score(docs, iterations=1)) == ids
+    scratch = Scratch(spark)
+    assert ids_of(grammar.read(grammar.write(docs, vocabulary("word_bpe_49k.json"), scratch), scratch.path("shards"))) == ids
+    found = jaccard.components(docs)
+    assert ids_of(found) == ids
+    assert {r.component_id for r in found.collect()} == {None, *BIG}
+    found = dedup.report(docs)
+    assert ids_of(found) == ids
+    assert {r.keep_id for r in found.collect()} == {None, *BIG}
+    assert ids_of(dedup.keep(docs)) == [*BIG, None] and ids_of(jaccard.keep(docs)) == [*BIG, None]
+    assert ids_of(quality.report(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))) == ids
+    assert ids_of(url_filter.judge(pages.select("page_id", "url"), url_filter.Boosted()), "page_id") == ids
+
+
+def test_many_shards_with_ids_beside_nulls(big_copies, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_IDS", 1000)
+    assert ids_of(packing.pack(big_copies, vocabulary("byte_bpe_50k.json"))) == ids_of(big_copies)
+
+
+# long and broken html
+
+
+@pytest.mark.parametrize(
+    "page,n",
+    [
+        ("<div>" * 5000 + "x" + "</div>" * 5000, 1),
+        ("<div>" * 30_000 + "x", 1),
+        ("<p x " * 200_000, 0),
+        ("<p x " * 200_000 + "\"'>", 0),
+        ('<p x="' * 200_000 + ">", 0),
+        ("<b>" * 50_000 + "</i>" * 50_000 + "x", 1),
+        ("<h2>a</h2><p>b</p>" * 5_000, 19_999),
+    ],
+)
+def test_deep_and_unclosed_html(page, n):
+    start = time.process_time()
+    assert [len(t) for t in html_extract.induce([html_extract.parse(page) for _ in range(2)])] == [n, n]
+    assert time.process_time() - start < 30
+
+
+def brute_match(a, b):
+    """Simple tree matching by its definition, over lists of slots."""
+    if a.label != b.label:
+        return 0
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        same = brute_match(x[0][1][0], y[0][1][0]) if x[0][0] == y[0][0] else 0
+        return max(lists(x[1:], y), lists(x, y[1:]), (same + lists(x[1:], y[1:])) if same else 0)
+
+    return 1 + lists(html_extract.fold(a), html_extract.fold(b))
+
+
+def test_matching_equals_brute_force():
+    rng = random.Random(6)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "ul", "section", "h2"], k=rng.randint(0, 4)))
+
+    for _ in range(60):
+        a, b = html_extract.parse(tree(2)), html_extract.parse(tree(2))
+        size, pairs = html_extract.match(a, b, {})
+        assert size == brute_match(a, b)
+        assert all(i < k and j < m for (i, j), (k, m) in itertools.pairwise(pairs))
+
+
+def test_wide_lists_align_by_label(monkeypatch):
+    monkeypatch.setattr(html_extract, "WIDE", 0)
+    page = "<div id=a>Same on all</div><div id=b><h2>Title {0}</h2><p>Body {0} of text</p></div><div id=c>Same below</div>"
+    assert html_extract.induce([html_extract.parse(page.format(i)) for i in range(6)]) == [f"Title {i} Body {i} of text" for i in range(6)]
