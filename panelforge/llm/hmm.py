@@ -7,10 +7,12 @@ tasks are sent has a fixed size however many words there are, while word counts
 texts by a join. Unknown has the mass that Good and Turing give it (words seen once / all words).
 
 1. Texts are read once into blocks of at most about ``BLOCK_TOKENS`` tokens: each text as numbers of its block's words,
-   and the block's words with their training counts. Counts are summed by word over all blocks and joined back.
-2. Baum-Welch: every iteration sums expected counts over all training texts (exact scaled forward-backward over whole
-   texts), task by task and then by class, from a start that class shares give. It ends when the training likelihood
-   gains less than ``SETTLED`` of itself, after ``ITERATIONS`` passes at most.
+   and the block's words with their training counts. Counts are summed by word over all blocks; a block gets back those
+   of its words that another block has too, and of the ``TOP`` words from a broadcast of that size.
+2. Baum-Welch: every iteration sums expected counts over whole training texts (exact scaled forward-backward), task by
+   task and then by class. The start comes from class shares and from iterations over one training text in ``START`` (by
+   hash: it grows with the input); then all iterations read all training texts. Both end when the likelihood gains less
+   than ``SETTLED`` of itself, after ``ITERATIONS`` passes at most.
 3. Every text's score is its exact likelihood by the scaled forward recursion.
 
 Defined results: null text is empty: one token, the end. A null doc_id counts as the empty string, whose crc32 is 0: held
@@ -20,20 +22,23 @@ the smoothing alone. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, ship
+from panelforge.llm.common import Scratch, id_back, id_parts, ship
 
 STATES = 8
 ITERATIONS = 40
 SETTLED = 1e-4
+START = 16
 TOP, TAIL = 4096, 4096
 UNKNOWN = TOP + TAIL
-BLOCK_TOKENS = 1_000_000
-BATCH_TOKENS = 300_000
+BLOCK_TOKENS = 1_500_000
+BATCH_TOKENS = 500_000
 ADD = 0.1
 PRIOR = 20.0
 END = ""
@@ -44,7 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """kind 0: a text as word numbers of its block; kind 1: a word of a block with its training count."""
+    """kind 0: a text as word numbers of its block; kind 1: a word of a block with its training count; kind 2: the block's words as tail classes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -58,9 +63,11 @@ def blocks(docs: DataFrame) -> DataFrame:
             block = (part << 24) + k
             train = [r[2] for r in rows if not r[1]]
             counts = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), np.int64)
+            tails = np.fromiter((zlib.crc32(w[-3:]) % TAIL for w in words), np.uint16, len(words))
+            texts = [*rows, (None, True, tails)]
             n = len(rows)
             out = [
-                pd.DataFrame({"kind": 0, "block": [block] * n, "doc_id": pd.array([r[0] for r in rows], "Int64"), "held_out": [r[1] for r in rows], "tokens": [r[2].tobytes() for r in rows], "idx": 0, "word": None, "c": 0}),
+                pd.DataFrame({"kind": [0] * n + [2], "block": block, "doc_id": pd.array([r[0] for r in texts], "Int64"), "held_out": [r[1] for r in texts], "tokens": [r[2].tobytes() for r in texts], "idx": 0, "word": None, "c": 0}),
                 pd.DataFrame({"kind": 1, "block": block, "doc_id": pd.array([None] * len(words), "Int64"), "held_out": False, "tokens": None, "idx": np.arange(len(words)), "word": list(words), "c": counts}),
             ]
             rows.clear()
@@ -68,17 +75,17 @@ def blocks(docs: DataFrame) -> DataFrame:
             return out
 
         for pdf in batches:
-            for doc_id, out, text in zip(pdf["doc_id"].astype("Int64"), pdf["held_out"], pdf["text"], strict=True):
+            for doc_id, no_id, out, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["held_out"], pdf["text"], strict=True):
                 found = [*(text or "").encode().lower().split(), b""]  # bytes: A-Z and ASCII white space only
                 number = words.setdefault
-                rows.append((doc_id, bool(out), np.fromiter((number(w, len(words)) for w in found), np.uint32, len(found))))
+                rows.append((None if no_id else doc_id, bool(out), np.fromiter((number(w, len(words)) for w in found), np.uint32, len(found))))
                 size += len(found)
                 if size >= BLOCK_TOKENS:
                     yield from close()
         if rows:
             yield from close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
+    rows = docs.select(*id_parts(F.col("doc_id")), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
     return rows.mapInPandas(run, "kind int, block long, doc_id long, held_out boolean, tokens binary, idx int, word binary, c long")
 
 
@@ -126,16 +133,19 @@ class Batch:
         """log10 likelihoods in the given order; with keep also emissions, scaled forward values and scales."""
         emitted = model.emit[self.tokens]
         alpha = np.empty_like(emitted) if keep else None
-        scale = np.empty(len(emitted))
-        now = None
+        scale = np.empty((len(emitted), 1))
+        one, now = np.ones((STATES, 1)), None
         for t in range(len(self.active)):
             a, b = self.at[t], self.at[t + 1]
-            now = (model.start if t == 0 else now[: b - a] @ model.move) * emitted[a:b]
-            s = now.sum(1)
-            now /= s[:, None]
-            scale[a:b] = s
-            if keep:
-                alpha[a:b] = now
+            here = alpha[a:b] if keep else np.empty((b - a, STATES))
+            if t:
+                np.matmul(now[: b - a], model.move, out=here)
+                here *= emitted[a:b]
+            else:
+                np.multiply(emitted[a:b], model.start, out=here)
+            here /= np.matmul(here, one, out=scale[a:b])
+            now = here
+        scale = scale[:, 0]
         total = np.zeros(len(self.order))
         owner = np.arange(len(emitted)) - np.repeat(self.at[:-1], self.active)
         out = np.bincount(owner, np.log10(scale), len(self.order))
@@ -146,20 +156,17 @@ class Batch:
         """Add expected counts; returns the log10 likelihood."""
         total, emitted, alpha, scale = self.forward(model, True)
         emitted /= scale[:, None]
-        n = len(self.active)
-        later = np.ones((self.active[n - 1], STATES))
-        xi = np.zeros((STATES, STATES))
+        beta, n = np.empty_like(alpha), len(self.active)
+        beta[self.at[n - 1] :] = 1
         for t in range(n - 1, 0, -1):
-            a, b = self.at[t], self.at[t + 1]
-            ahead = later * emitted[a:b]
-            before = alpha[self.at[t - 1] : self.at[t - 1] + b - a]
-            xi += before.T @ ahead
-            alpha[a:b] *= later
-            later = np.ones((self.active[t - 1], STATES))
-            later[: b - a] = ahead @ model.move.T
-        alpha[: self.at[1]] *= later
+            a, b, before = self.at[t], self.at[t + 1], self.at[t - 1]
+            emitted[a:b] *= beta[a:b]
+            np.matmul(emitted[a:b], model.move.T, out=beta[before : before + b - a])
+            beta[before + b - a : a] = 1
+        above = np.arange(self.at[1], len(emitted)) - np.repeat(self.active[:-1], self.active[1:])
+        counts.move += model.move * (alpha[above].T @ emitted[self.at[1] :])
+        alpha *= beta
         counts.start += alpha[: self.at[1]].sum(0)
-        counts.move += model.move * xi
         for k in range(STATES):
             counts.emit[:, k] += np.bincount(self.tokens, alpha[:, k], UNKNOWN + 1)
         return float(total.sum())
@@ -213,11 +220,12 @@ def classed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Model, int]:
     """Texts as class sequences with their unigram scores; a model that has seen nothing yet; the training tokens."""
     read = scratch.table(blocks(docs), "blocks")
     words = read.where("kind = 1").select("block", "idx", "word", "c")
-    vocabulary = scratch.table(words.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "vocabulary")
-    tail = (TOP + F.pmod(F.xxhash64(F.expr("right(hex(word), 6)")), F.lit(TAIL))).cast("int")
+    counts = words.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("blocks")).where("c > 0")
+    vocabulary = scratch.table(counts, "vocabulary")
+    tail = (TOP + F.crc32(F.expr("substring(word, -3, 3)")) % TAIL).cast("int")
     top = vocabulary.orderBy(F.desc("c"), "word").limit(TOP).collect()  # TOP words
-    rank = docs.sparkSession.createDataFrame([(bytearray(r.word), i) for i, r in enumerate(top)], "word binary, rank int")
-    vocabulary = vocabulary.join(F.broadcast(rank), "word", "left").select("word", "c", F.coalesce("rank", tail).alias("class"))
+    rank = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(r.word), i, r.c) for i, r in enumerate(top)], "word binary, rank int, top_c long"))
+    vocabulary = vocabulary.join(rank, "word", "left").select("word", "c", "blocks", "rank", F.coalesce("rank", tail).alias("class"))
     mass, once, v, n = np.zeros(UNKNOWN), 0, 0, 0
     for r in vocabulary.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
         mass[r["class"]] = r.c + ADD * r.v
@@ -230,30 +238,37 @@ def classed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Model, int]:
     log_n = np.log10(n + ADD * (v + 1))
 
     def join(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        size = 1 + int(words["idx"].max()) if len(words) else 1
-        c, kind = np.zeros(size), np.full(size, UNKNOWN, np.int64)
-        c[words["idx"]], kind[words["idx"]] = words["c"], words["class"]
+        own = texts["kind"] == 2
+        kind = TOP + np.frombuffer(texts.loc[own, "tokens"].iloc[0], "<u2").astype(np.int64)
+        texts = texts[~own]
+        tokens = [np.frombuffer(x, "<u4").astype(np.int64) for x in texts["tokens"]]
+        train = [t for t, out in zip(tokens, texts["held_out"], strict=True) if not out]
+        c = np.bincount(np.concatenate(train), minlength=len(kind)).astype(float) if train else np.zeros(len(kind))
+        ranked = words["rank"].to_numpy() >= 0
+        c[words["idx"]] = words["c"]
+        kind[words["idx"][ranked]] = words["rank"][ranked]
+        kind = np.where(c > 0, kind, UNKNOWN)
         base = np.log10(c + ADD) - log_n
         inner = np.where(c > 0, np.log10(c + ADD) - np.r_[log_mass, 0][kind], 0.0)
-        rows = []
-        for tokens in texts["tokens"]:
-            t = np.frombuffer(tokens, "<u4").astype(np.int64)
-            t = np.where(t < size, t, 0) if not len(words) else t
-            rows.append((len(t), int((c[t] > 0).sum()), float(base[t].sum()), float(inner[t].sum()), kind[t].astype("<u2").tobytes()))
+        rows = [(len(t), int((c[t] > 0).sum()), float(base[t].sum()), float(inner[t].sum()), kind[t].astype("<u2").tobytes()) for t in tokens]
         more = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "inner", "classes"])
-        return pd.concat([texts[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).reset_index(drop=True), more], axis=1)
-
-    # every word of a block is sent back, so a block's numbers reach all its texts' tokens
-    known = words.select("block", "idx", "word").join(vocabulary, "word", "left").select(F.col("block").alias("of_block"), "idx", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(UNKNOWN)).alias("class"))
-    texts = read.where("kind = 0").select("block", "doc_id", "held_out", "tokens")
-    out = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(join, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary")
+        return pd.concat([texts[["doc_id", "no_id", "held_out"]].reset_index(drop=True), more], axis=1)
+
+    # sent back to a block: the top words, and the words whose count is not the block's own
+    known = words.join(rank, "word").select("block", "idx", F.col("top_c").alias("c"), "rank")
+    shared = vocabulary.where("blocks > 1 and rank is null").select("word", F.col("c").alias("total"))
+    rest = words.join(rank, "word", "left_anti").join(shared, "word").where("c != total").select("block", "idx", F.col("total").alias("c"), F.lit(-1).alias("rank"))
+    known = known.union(rest).withColumnRenamed("block", "of_block")
+    texts = read.where("kind != 1").select("block", "kind", *id_parts(F.col("doc_id")), "held_out", "tokens")
+    out = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(join, "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary")
     out = scratch.table(out, "classed")
     scratch.drop("blocks")
+    scratch.drop("vocabulary")
     return out, model, n
 
 
 def train(texts: DataFrame, model: Model, iterations: int = ITERATIONS) -> Model:
-    """Baum-Welch over all training texts until the likelihood settles."""
+    """Baum-Welch over the training texts of a table until the likelihood settles."""
     before = None
     for _ in range(iterations):
         counts = expect(texts, model)
@@ -270,7 +285,10 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     ship(spark)
-    texts, model, n = classed(docs, Scratch(spark))
+    scratch = Scratch(spark)
+    texts, model, n = classed(docs, scratch)
+    start = texts.where("not held_out").where(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(START)) == 0)
+    model = train(scratch.table(start.select("held_out", "classes"), "start"), model, iterations)
     shared = spark.sparkContext.broadcast(train(texts, model, iterations))
 
     def run(batches):
@@ -279,11 +297,10 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
             likelihood = np.zeros(len(seqs))
             for part in batches_of(seqs):
                 likelihood[part] = Batch([seqs[i] for i in part]).forward(shared.value, False)[0]
-            out = pdf[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].astype({"doc_id": "Int64"})
-            yield out.assign(score=likelihood + pdf["inner"])
+            yield pdf[["doc_id", "no_id", "held_out", "n_tokens", "n_known", "base_score"]].assign(score=likelihood + pdf["inner"])
 
-    out = texts.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = texts.mapInPandas(run, "doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(id_back(), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_hmm_score(spark, sf_dir: str) -> DataFrame:
