@@ -1,9 +1,10 @@
 """Token-ID output (5): shard files compressed by Re-Pair grammars.
 
 A shard holds the ids of consecutive documents (ascending doc_id), each ended by the end id. Rounds replace the most
-frequent pairs of neighbours by new symbols, many disjoint pairs a round, until no pair is frequent or the rule limit is
-met. A file stores the rules, every symbol's expansion length, checkpoints of decoded positions, the symbols packed to the
-needed bits, and the documents' ids and lengths: any range of ids decodes from the checkpoint before it.
+frequent pairs of neighbours by new symbols, up to ``A_ROUND`` a round, each counted again once the others have taken their
+places, until a round gains less than ``GAIN`` of the length or the rule limit is met. A file stores the rules, every
+symbol's expansion length, checkpoints of decoded positions, the symbols packed to the needed bits by planes, and the
+documents' ids and lengths: any range of ids decodes from the checkpoint before it.
 
 Files are written by the tasks under names of their own; only files in the returned manifest are read, so lost or
 repeated tasks do no harm. Defined results: null text is empty and gets the end id alone; a null doc_id sorts first;
@@ -32,54 +33,62 @@ END_ID = 2
 SHARD_IDS = 1_000_000
 FIRST_RULE = 65_536
 MAX_RULES = 4096
-A_ROUND = 1024
+A_ROUND = 2048
 MIN_COUNT = 24
+GAIN = 0.005
 CHECKPOINT = 4096
 MAGIC = b"RPG1"
 
 
-def _frequent(seq: np.ndarray, room: int, least: int) -> np.ndarray:
-    """The most frequent pairs of neighbours as uint64 keys, by exact count, at most `room`."""
-    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    heavy = np.bincount(slots, minlength=1 << 20) >= least
-    found, n = np.unique(keys[heavy[slots]], return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    return found[np.lexsort((found, -n))[:room]]
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
+
 
+def _round(seq: np.ndarray, first: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: (the sequence with the chosen pairs replaced, the pairs as keys in the order of their symbols from `first`).
 
-def _replace(seq: np.ndarray, pairs: np.ndarray, first: int) -> np.ndarray:
-    """Each pair that occurs becomes the symbol first + its place, from left to right."""
+    Chosen are the most frequent pairs by exact count. Pairs that overlap take places from each other, so counts are taken
+    again after all have been placed from left to right: a pair left with fewer than `least` places is put back.
+    """
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    slots = _slots(keys)
+    places = np.flatnonzero((np.bincount(slots, minlength=1 << 20) >= least)[slots])
+    found, n = np.unique(keys[places], return_counts=True)
+    found, n = found[n >= least], n[n >= least]
+    pairs = found[np.lexsort((found, -n))[:room]]
+    if not len(pairs):
+        return seq, pairs
+    held = np.zeros(1 << 20, bool)
+    held[_slots(pairs)] = True
+    places = places[held[slots[places]]]
     order = np.argsort(pairs)
-    at = np.searchsorted(pairs[order], keys)
+    at = np.searchsorted(pairs[order], keys[places])
     at[at == len(pairs)] = 0
-    hit = np.flatnonzero(pairs[order][at] == keys)
-    if not len(hit):
-        return seq
+    rank = order[at]
+    same = pairs[rank] == keys[places]
+    hit, rank = places[same], rank[same]
     starts = np.r_[True, np.diff(hit) > 1]  # of neighbouring hits, every other one from the first
     run = hit[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-    hit = hit[(hit - run) % 2 == 0]
+    apart = (hit - run) % 2 == 0
+    hit, rank = hit[apart], rank[apart]
+    enough = np.bincount(rank, minlength=len(pairs)) >= least
+    kept = enough[rank]
+    hit, rank = hit[kept], (np.cumsum(enough) - 1)[rank[kept]]
     out = seq.copy()
-    out[hit] = first + order[at[hit]]
+    out[hit] = first + rank
     keep = np.ones(len(seq), bool)
     keep[hit + 1] = False
-    return out[keep]
+    return out[keep], pairs[enough]
 
 
 def compress(ids: np.ndarray, max_rules: int = MAX_RULES, a_round: int = A_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[k] are the two symbols that FIRST_RULE + k stands for."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    while len(rules) < max_rules and len(seq) > 1:
-        pairs = _frequent(seq, min(a_round, max_rules - len(rules)), least)
-        if not len(pairs):
-            break
-        shorter = _replace(seq, pairs, FIRST_RULE + len(rules))
+    before = 2 * len(seq)
+    while len(rules) < max_rules and len(seq) > 1 and before - len(seq) >= GAIN * before:
+        before = len(seq)
+        seq, pairs = _round(seq, FIRST_RULE + len(rules), min(a_round, max_rules - len(rules)), least)
         rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-        if len(seq) - len(shorter) < least:
-            seq = shorter
-            break
-        seq = shorter
     return seq, rules
 
 
@@ -91,30 +100,56 @@ def lengths_of(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    while len(seq) and (high := seq >= FIRST_RULE).any():
-        ends = np.cumsum(1 + high)
-        out = np.empty(int(ends[-1]), np.uint32)
-        out[ends - 1] = np.where(high, rules[np.where(high, seq - FIRST_RULE, 0), 1] if len(rules) else seq, seq)
-        out[ends[high] - 2] = rules[seq[high] - FIRST_RULE, 0]
-        seq = out
-    return seq
+def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every rule one after the other, and where each begins (with the end as the last)."""
+    out: list[list[int]] = []
+    for a, b in rules.tolist():
+        out.append((out[a - FIRST_RULE] if a >= FIRST_RULE else [a]) + (out[b - FIRST_RULE] if b >= FIRST_RULE else [b]))
+    return np.array([x for ids in out for x in ids], np.uint32), np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int64)
+
 
+def expand(seq: np.ndarray, rules: np.ndarray, flat: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The ids of symbols, all at once: plain symbols stand for themselves in a table beside the rules' expansions."""
+    ids, starts = flat or expansions(rules)
+    high = seq >= FIRST_RULE
+    n = np.ones(len(seq), np.int64)
+    rule = seq[high].astype(np.int64) - FIRST_RULE
+    n[high] = many = np.diff(starts)[rule]
+    begin = np.cumsum(n) - n
+    out = np.repeat(seq, n)
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    out[inner + np.repeat(begin[high], many)] = ids[inner + np.repeat(starts[rule], many)]
+    return out
 
-def pack(seq: np.ndarray, bits: int) -> bytes:
-    shifts = np.arange(bits, dtype=np.uint32)
-    return b"".join(np.packbits(((seq[a : a + 65536, None] >> shifts) & 1).astype(np.uint8)).tobytes() for a in range(0, len(seq), 65536))
 
+def _planes(bits: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the planes that symbols are cut into: whole bytes, then single bits."""
+    whole = 16 if bits >= 16 else 8 if bits >= 8 else 0
+    return [(0, whole)] * (whole > 0) + [(b, 1) for b in range(whole, bits)]
 
-def unpack(data, bits: int, n: int) -> np.ndarray:
-    """n symbols; blocks of 65536 start at whole bytes."""
-    weights = (1 << np.arange(bits, dtype=np.uint64)).astype(np.uint32)
-    out, at = [], 0
-    for a in range(0, n, 65536):
-        m = min(65536, n - a)
-        out.append(np.unpackbits(np.frombuffer(data, np.uint8, (m * bits + 7) // 8, at), count=m * bits).reshape(m, bits) @ weights)
-        at += (m * bits + 7) // 8
-    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
+
+def pack(seq: np.ndarray, bits: int) -> bytes:
+    """Symbols as planes, one after the other, together `bits` bits a symbol."""
+    out = []
+    for first, n in _planes(bits):
+        part = (seq >> np.uint32(first)) & np.uint32((1 << n) - 1)
+        out.append(np.packbits(part.astype(np.uint8)).tobytes() if n == 1 else part.astype(f"<u{n // 8}").tobytes())
+    return b"".join(out)
+
+
+def unpack(data, bits: int, n: int, a: int, b: int) -> np.ndarray:
+    """Symbols a to b of n, reading only their part of each plane."""
+    out, at = np.zeros(max(0, b - a), np.uint32), 0
+    for first, width in _planes(bits):
+        if width == 1:
+            low = a // 8
+            part = np.unpackbits(np.frombuffer(data, np.uint8, -(-b // 8) - low, at + low))[a - 8 * low : b - 8 * low] if b > a else out
+            at += -(-n // 8)
+        else:
+            part = np.frombuffer(data, f"<u{width // 8}", b - a, at + a * width // 8)
+            at += n * width // 8
+        out |= part.astype(np.uint32) << np.uint32(first)
+    return out
 
 
 def write_shard(doc_ids: list, ids: list[np.ndarray]) -> bytes:
@@ -155,16 +190,13 @@ class Shard:
         self.doc_ids = [None if i in nulls else d for i, d in enumerate(take("<i8", head["docs"]).tolist())]
         self.lengths = take("<u8", head["docs"]).astype(np.int64)
         self.packed = data[at:]
+        self.flat = expansions(self.rules)
 
     def symbols(self, a: int, b: int) -> np.ndarray:
-        """Symbols a to b, unpacking only the blocks that hold them."""
-        bits, total = self.head["bits"], self.head["symbols"]
-        low, high = a // 65536, -(-b // 65536)
-        skip = low * (65536 * bits // 8)
-        return unpack(self.packed[skip:], bits, min(high * 65536, total) - low * 65536)[a - low * 65536 : b - low * 65536]
+        return unpack(self.packed, self.head["bits"], self.head["symbols"], a, b)
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols(0, self.head["symbols"]), self.rules)
+        return expand(self.symbols(0, self.head["symbols"]), self.rules, self.flat)
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop, decoded from the checkpoint before start."""
@@ -172,7 +204,7 @@ class Shard:
             return np.zeros(0, np.uint32)
         k = int(np.searchsorted(self.marks, start, "right")) - 1
         m = int(np.searchsorted(self.marks, stop, "left"))
-        part = expand(self.symbols(k * CHECKPOINT, min(m * CHECKPOINT, self.head["symbols"])), self.rules)
+        part = expand(self.symbols(k * CHECKPOINT, min(m * CHECKPOINT, self.head["symbols"])), self.rules, self.flat)
         return part[start - int(self.marks[k]) : stop - int(self.marks[k])]
 
 
@@ -212,8 +244,11 @@ def write(docs: DataFrame, vocab: str, scratch: Scratch, end: int = END_ID, shar
     ordered = ids.repartitionByRange(parallelism(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     files = scratch.table(ordered.select(*id_parts(F.col("doc_id")), "ids").mapInPandas(save, "file string, part int, k int, docs long, ids long, bytes long"), "manifest")
     scratch.drop("ids")
-    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard file
-    return files.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # ids before a file: of the parts before its own (one row a part meets in one task), and of the files before it in its part
+    parts = files.groupBy("part").agg(F.sum("ids").alias("all"))
+    ahead = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("inside", inside).join(F.broadcast(ahead), "part").withColumn("base", F.col("ahead") + F.col("inside")).drop("ahead", "inside")  # one row a part
 
 
 def read(manifest: DataFrame, root: str) -> DataFrame:
