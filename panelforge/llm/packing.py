@@ -31,24 +31,40 @@ SHARD_IDS = 2_000_000
 K1, B = 1.2, 0.75
 NEIGHBOURS = 32
 VOCABULARY = 65_536
+SORTED = 100_000
+COMMON = 0.05
 WIDTH = 128
 SAMPLE_LEAF, SAMPLE_LEAST = 16, 4_000
 
 
-def weighed(x: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
-    """A document's terms and their BM25 weights."""
-    t, tf = np.unique(x, return_counts=True)
-    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean_length))
+def term_counts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) by document and term: documents are sorted together, about ``SORTED`` ids at a time."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SORTED)) + 1), len(ids)] if len(ids) else [0]
+    cuts = [c for a, b in zip(cuts, [*cuts[1:], None], strict=True) for c in ([a] if b is None else range(a, b, 65_536))]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        key = np.repeat(np.arange(b - a, dtype=np.uint32) << np.uint32(16), sizes[a:b]) | np.concatenate(ids[a:b])
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[first], np.diff(np.r_[first, len(key)])
+        out.append(((key >> np.uint32(16)).astype(np.int64) + a, (key & np.uint32(0xFFFF)).astype(np.int64), n))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def weighed(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, BM25 weight) of documents' terms."""
+    doc, term, tf = term_counts(ids)
+    length = np.array([len(x) for x in ids], float)[doc]
+    return doc, term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
 def vectors(ids: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
     """BM25 vectors of length 1, terms hashed to ``WIDTH`` signed places."""
     mixed = np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
     place, sign = (mixed % np.uint64(WIDTH)).astype(np.int64), np.where(mixed >> np.uint64(20) & np.uint64(1), 1.0, -1.0)
-    out = np.zeros((len(ids), WIDTH), np.float32)
-    for i, x in enumerate(ids):
-        t, w = weighed(x, idf, mean_length)
-        out[i] = np.bincount(place[t], w * sign[t], WIDTH)
+    doc, term, w = weighed(ids, idf, mean_length)
+    out = np.bincount(doc * WIDTH + place[term], w * sign[term], len(ids) * WIDTH).reshape(len(ids), WIDTH).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -98,33 +114,47 @@ class Tree:
 
 
 class Index:
-    """BM25 over the documents of a shard; retrieve() ranks those not yet used."""
+    """BM25 over the documents of a shard; retrieve() ranks those not yet used.
+
+    A score is the sum over all terms of the seed. Terms of at least ``COMMON`` of the documents have a row of weights, of
+    which a seed's are added at once; the others have postings.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, weights, self.queries = [], [], []
-        for x in ids:
-            t, w = weighed(x, idf, mean_length)
-            terms.append(t)
-            weights.append(w.astype(np.float32))
-            self.queries.append(t)
-        term, docs = np.concatenate(terms), np.repeat(np.arange(len(ids)), [len(t) for t in terms])
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = docs[order], np.concatenate(weights)[order]
-        self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        docs, terms, weights = weighed(ids, idf, mean_length)
+        weights = weights.astype(np.float32)
+        common = np.bincount(terms, minlength=VOCABULARY) >= max(COMMON * len(ids), 1)
+        place = np.cumsum(common) - 1
+        often = common[terms]
+        self.rows = np.zeros((int(common.sum()), len(ids)), np.float32)
+        self.rows[place[terms[often]], docs[often]] = weights[often]
+        bounds = np.arange(1, len(ids))
+        self.common = np.split(place[terms[often]], np.searchsorted(docs[often], bounds))
+        self.rare = np.split(terms[~often], np.searchsorted(docs[~often], bounds))
+        terms, docs, weights = terms[~often], docs[~often], weights[~often]
+        order = np.argsort(terms, kind="stable")
+        self.docs, self.weights = docs[order], weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
+        self.counts = np.diff(self.starts)
         self.used = np.zeros(len(ids), bool)
-        self.scores = np.zeros(len(ids), np.float32)
+
+    def scores(self, seed: int) -> np.ndarray:
+        out = self.rows[self.common[seed]].sum(0)
+        first, n = self.starts[self.rare[seed]], self.counts[self.rare[seed]]
+        ends = np.cumsum(n)
+        if len(ends) and ends[-1]:
+            at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+            out = out + np.bincount(self.docs[at], self.weights[at], len(out))
+        return out
 
     def retrieve(self, seed: int, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        self.scores[:] = 0
-        for t in self.queries[seed]:
-            a, b = self.starts[t], self.starts[t + 1]
-            self.scores[self.docs[a:b]] += self.weights[a:b]
-        self.scores[self.used] = 0
-        found = np.flatnonzero(self.scores)
+        """Unused documents that share a term with the seed, best first."""
+        scores = self.scores(seed)
+        scores[self.used] = 0
+        found = np.flatnonzero(scores)
         if len(found) > most:
-            found = found[np.argpartition(-self.scores[found], most)[:most]]
-        return found[np.lexsort((found, -self.scores[found]))]
+            found = found[np.argpartition(-scores[found], most)[:most]]
+        return found[np.lexsort((found, -scores[found]))]
 
 
 def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -167,8 +197,7 @@ def statistics(ids: DataFrame) -> tuple[np.ndarray, int, int]:
     def count(batches):
         df = np.zeros(VOCABULARY, np.int64)
         for pdf in batches:
-            for x in pdf["ids"]:
-                df[np.unique(np.frombuffer(x, "<u2"))] += 1
+            df += np.bincount(term_counts([np.frombuffer(x, "<u2") for x in pdf["ids"]])[1], minlength=VOCABULARY)
         at = np.flatnonzero(df)
         yield pd.DataFrame({"id": at, "df": df[at]})
 
@@ -211,13 +240,13 @@ def pack(docs: DataFrame, vocab: str, scratch: Scratch | None = None, window: in
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
-    ids = scratch.table(tokenised(docs, vocab, True, end), "ids")
+    ids = scratch.table(tokenised(docs, vocab, True, end), "ids", "snappy")  # hardly compressible
     df, n_docs, n_ids = statistics(ids)
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     mean_length = n_ids / max(1, n_docs)
     shards = max(1, -(-n_ids // SHARD_IDS))
     model = spark.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
-    dealt = scratch.table(deal(ids, idf, mean_length, shards, n_docs), "dealt")
+    dealt = scratch.table(deal(ids, idf, mean_length, shards, n_docs), "dealt", "snappy")
     scratch.drop("ids")
     # a leaf of too many ids is dealt on by hash
     first, parts = {}, 0
