@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Scratch, checked_broadcast, id_parts, salt_of, ship
+from panelforge.llm.common import LOWER_SQL, WORDS_SQL, Scratch, checked_broadcast, id_parts, salt_of, ship
 
 K = 5
 SKETCH_BITS = 21
@@ -48,17 +48,10 @@ ONE_TASK_EDGES = 200_000
 _P = np.array([pow(0x9E3779B97F4A7C15, K - 1 - i, 1 << 64) for i in range(K)], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
+_ODD = np.uint64(0xD1342543DE82EF95)
+_UNODD = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+WINDOW = 1 << 20
+_powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,18 +60,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """_ODD and its inverse to the powers 0 to n - 1, as arrays of at least that length."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, WINDOW) - 1, x)]) for x in (_ODD, _UNODD)]
+    return _powers
+
+
+def _hash_words(raw: np.ndarray) -> np.ndarray:
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = _SPACE[raw]
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _powers_of(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, from sums over its bytes; A-Z as a-z, white space of ASCII. Works through windows cut at white space."""
+    raw = np.frombuffer(text.encode().lower(), np.uint8)  # bytes: A-Z only
+    if len(raw) <= WINDOW:
+        return _hash_words(raw)
+    out, a = [], 0
+    while a < len(raw):
+        b = min(len(raw), a + WINDOW)
+        while b < len(raw) and not _SPACE[raw[b - 1]]:  # on to the end of the word
+            more = np.flatnonzero(_SPACE[raw[b : b + WINDOW]])
+            b = b + int(more[0]) + 1 if len(more) else min(len(raw), b + WINDOW)
+        out.append(_hash_words(raw[a:b]))
+        a = b
+    return np.concatenate(out)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     if len(h) < K:
         return _mix((h * _P[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))
     s = h[: len(h) - K + 1] * _P[0]
     for i in range(1, K):
-        s = s + h[i : len(h) - K + 1 + i] * _P[i]
-    return np.unique(_mix(s))
+        s += h[i : len(h) - K + 1 + i] * _P[i]
+    s = _mix(s)
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def prefix_length(n: int) -> int:
@@ -97,7 +130,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Occurrence counts of shingles by the top SKETCH_BITS bits of their hash (never less than true), and their sum."""
+    """Occurrence counts of shingles by the top SKETCH_BITS bits of their hash (a task counts to 65,535 at most), and their sum."""
 
     def count(batches):
         total, seen = np.zeros(1 << SKETCH_BITS, np.uint32), False
@@ -166,9 +199,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                     rows.append((doc_id, 0, None, None, None))
                     continue
                 slot = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                order = np.argsort((level[slot].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-                head = s[order[: prefix_length(n)]]
-                gid = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(np.sort(head).tobytes(), seed=n)).view(np.int64)))
+                size = prefix_length(n)
+                order = (level[slot].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                head = np.sort(s[np.argpartition(order, size - 1)[:size]])
+                gid = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(head.tobytes(), seed=n)).view(np.int64)))
                 rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), gid, hashlib.md5(text.encode()).digest()))
                 if gid in seen:
                     continue
@@ -488,3 +522,14 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = f"""
+with recursive w as (select doc_id, {WORDS_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} as words from documents),
+s as (select doc_id, case when len(words) = 0 then cast([] as varchar[]) when len(words) < 5 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) end as sh from w),
+u as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+k as (select a.doc_id as a, b.doc_id as b, count(*) as shared, any_value(a.n + b.n) as total from u a join u b on a.g = b.g and a.doc_id < b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) group by 1, 2),
+e as (select a, b from k where 100 * shared >= 75 * (total - shared)), l as (select a, b from e union all select b, a from e),
+reach as (select doc_id, doc_id as met from documents union select reach.doc_id, l.b from reach join l on l.a = reach.met)
+select s.doc_id, len(sh) as n_shingles, least(s.doc_id, m.low) as component_id from s join (select doc_id, min(met) as low from reach group by 1) m on m.doc_id = s.doc_id
+"""
