@@ -78,10 +78,11 @@ class Scratch:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, unless PYTHONPATH shows it to them."""
+    """Give the executors this package, unless they run on this machine and PYTHONPATH shows it to them."""
     top = Path(__file__).resolve().parent.parent.parent
     sc = spark.sparkContext
-    if str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_panelforge_shipped", False):
+    here = sc.master.startswith("local") and str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here or getattr(sc, "_panelforge_shipped", False):
         return
     at = Path(tempfile.mkdtemp(prefix="panelforge-zip-"), "panelforge.zip")
     with zipfile.ZipFile(at, "w") as z:
@@ -126,3 +127,8 @@ def lookup_array(values: list[float]) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: The words of a text, and A-Z as a-z, in DuckDB's SQL.
+WORDS_SQL = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -4,7 +4,7 @@
    most about ``SENDER_ROWS`` rows). These fixed-size rows are written once; all later steps read that table.
 2. A sender sorts its distinct fingerprints, cuts them by owner (a range of the fingerprint space) and sends each owner
    one Golomb-Rice coded list.
-3. An owner decodes the lists, finds the fingerprints that two senders hold, and returns to each sender a bitmap over
+3. An owner (there are fewer than senders: one for ``OWNER_ROWS`` rows) decodes the lists, finds the fingerprints that two senders hold, and returns to each sender a bitmap over
    that sender's list. A fingerprint appears once a list, so a third of all rows being copies adds one entry a sender.
 4. Senders mark their suspects. Only those rows go on: their texts are grouped by the bytes themselves (a partial
    aggregate, so copies collapse before the shuffle), and groups are attached to rows by (digest, salt).
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from panelforge.llm.common import Scratch, checked_broadcast, id_back, id_parts, salt_of, ship, without_space
 
-SENDER_ROWS = 100_000
+SENDER_ROWS, OWNER_ROWS = 250_000, 2_000_000
 SALTS = 64
 
 
@@ -111,7 +111,7 @@ def flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.table(rows, "fingerprints")
     n = rows.count()
     senders = max(4, -(-n // SENDER_ROWS))
-    owners = senders
+    owners = max(4, -(-n // OWNER_ROWS))  # lists are senders times owners
     rows = rows.withColumn("sender", F.pmod(F.xxhash64("rid"), F.lit(senders)).cast("int"))
     sent = rows.select("sender", "fp").groupBy("sender").applyInPandas(_send(owners), "sender int, owner int, coded binary")
     maps = sent.groupBy("owner").applyInPandas(_answer, "sender int, owner int, bits binary")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checked_broadcast, lookup_array, without_space, words_of
+from panelforge.llm.common import WORDS_SQL, checked_broadcast, lookup_array, without_space, words_of
 
 BUCKETS = 65_536
 PRIOR = 4 * BUCKETS
@@ -124,3 +124,20 @@ def keep(docs: DataFrame, labels: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 def op7_quality_llr(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def base_counts(spark, sf_dir: str) -> DataFrame:
+    """The base counts of every document alone, for which there is SQL; op7 gives them beside the method's verdict."""
+    row = ngram_hashes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
+    counted = row.select("doc_id", *[v.alias(k) for k, v in count_columns(F.col("text")).items()], repeated_words(F.col("three")).alias("n_repeat_words"))
+    return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+
+SQL = f"""
+with t as (select doc_id, coalesce(text, '') as text, {WORDS_SQL.format("coalesce(text, '')")} as words from documents),
+w as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from t), g as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as k from w),
+r as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from g where k > 1) group by doc_id),
+c as (select t.doc_id, len(words) as n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) as n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines, coalesce(r.n, 0) as n_repeat_words from t left join r on r.doc_id = t.doc_id)
+select doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from c
+"""

@@ -17,10 +17,16 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_exact_dedup": dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
+        "quality_base_counts": quality.base_counts,
+        "url_rules": url_filter.url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc": warc.SQL,
+        "op8_jaccard_join": jaccard.SQL,
         "op9_exact_dedup": dedup.SQL,
+        "quality_base_counts": quality.SQL,
+        "url_rules": url_filter.SQL,
     }

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import ship
+from panelforge.llm.common import LOWER_SQL, ship
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, L2 = 40, 3, 0.3, 32, 1.0
@@ -218,3 +218,18 @@ def judge(pages: DataFrame, model: Boosted, rules: list[tuple[str, str, str]] =
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, train(seed_labels(pages)))
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """Host, path and the rule that decides every url, for which there is SQL; op10 gives them beside the trees' verdict."""
+    judged = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), Boosted())
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+SQL = f"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, {LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from u),
+r(ruled, h, d) as (values {", ".join(f"('{v}', '{h}', '{d}')" for v, h, d in RULES)}),
+f as (select page_id, ruled, h || d as rule, row_number() over (partition by page_id order by length(h || d) desc) as nr from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, d))
+select p.page_id, host, path, rule, ruled from p left join f on f.page_id = p.page_id and nr = 1
+"""

@@ -47,17 +47,22 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id) -> str:
+    """A response's id follows from its page_id, so that revisits can name it; others are random."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+
+
 def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> bytes:
     """One record, not compressed."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(None if revisit else page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}"] + [f"X-Refers-To: {refers_to}"] * (refers_to is not None)
+        head += [f"WARC-Profile: {PROFILE}"] + [f"X-Refers-To: {refers_to}", f"WARC-Refers-To: {record_id(refers_to)}"] * (refers_to is not None)
     head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -309,9 +314,18 @@ def read(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Archives written, then read twice: responses with their payloads, revisits by their headers alone. Both tests are pushed down."""
     path = Scratch(spark).path("warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path, "verify").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read(spark, path, "verify").where("record_type = 'response'").union(read(spark, path, "skip").where("record_type = 'revisit'"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL = None
+SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages), f as (select html, min(page_id) as first from p group by html),
+d as (select p.page_id, p.html, f.first, array_to_string(list_transform(string_split(sha1(p.html), ''), lambda c: printf('%04b', strpos('0123456789abcdef', c) - 1)), '') as bits from p join f on f.html = p.html)
+select page_id, octet_length(encode(html)) as payload_bytes,
+  array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(bits[i + 1] as integer) + 8 * cast(bits[i + 2] as integer) + 4 * cast(bits[i + 3] as integer) + 2 * cast(bits[i + 4] as integer) + cast(bits[i + 5] as integer), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from d
+"""
