@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections import Counter
-from datetime import date
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,8 @@ MAX_DEPTH = 5
 UNIVERSES = {"sp500"}
 INLINE = set("shift rolling diff pct_change mean std clip abs sum min max float nan np".split())
 DUPLICATE = 0.95
-REQUIRED = ["alpha_id", "hypothesis", "formula", "features", "universe", "start_date", "end_date"]
+#: Keys that a configuration must have (fixed values).
+REQUIRED = ["alpha_id", "formula", "universe", "start_date", "end_date"]
 
 
 def tokens(formula: str) -> set[str]:
@@ -126,6 +127,15 @@ def array_jaccard(a: Column, b: Column) -> Column:
     return F.when(empty, ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def map_jaccard(a: Column, b: Column) -> Column:
+    """Weighted overlap of two count maps; null where one of them is."""
+    keys = F.array_union(F.map_keys(a), F.map_keys(b))
+    at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
+    both = F.aggregate(keys, F.lit(0), lambda s, k: s + F.least(at(a, k), at(b, k)))
+    either = F.aggregate(keys, F.lit(0), lambda s, k: s + F.greatest(at(a, k), at(b, k)))
+    return F.try_divide(both.cast("double"), either.cast("double"))
+
+
 def described(df: DataFrame, formula: str = "formula") -> DataFrame:
     """df with canonical, shape (map), cols and complexity of each formula."""
 
@@ -141,13 +151,8 @@ def search(store: DataFrame, formula: str, features: list[str] | None = None) ->
     mine, own = shape(formula), canonical(formula)
     d = described(store)
     if mine:
-        theirs = F.coalesce("shape", F.create_map().cast("map<string,int>"))
-        me = F.create_map(*[F.lit(x) for kv in mine.items() for x in kv])
-        keys = F.array_union(F.map_keys(theirs), F.map_keys(me))
-        at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
-        both = F.aggregate(keys, F.lit(0), lambda s, k: s + F.least(at(theirs, k), at(me, k)))
-        either = F.aggregate(keys, F.lit(0), lambda s, k: s + F.greatest(at(theirs, k), at(me, k)))
-        struct = F.when(F.col("canonical") == F.lit(own), F.lit(1.0)).when(F.col("shape").isNotNull(), F.try_divide(both.cast("double"), either.cast("double")))
+        mine_map = F.create_map(*[F.lit(x) for kv in mine.items() for x in kv])
+        struct = F.when(F.col("canonical") == F.lit(own), F.lit(1.0)).otherwise(map_jaccard(F.col("shape"), mine_map))
     else:
         struct = F.lit(None).cast("double")
     theirs_tokens = F.array_distinct(F.regexp_extract_all("formula", F.lit(f"({TOKEN})"), F.lit(1)))
@@ -165,22 +170,38 @@ def most_similar(found: DataFrame, order: str = "timestamp", threshold: float =
     top = found.agg(F.max("structural").alias("s"), F.max("combined").alias("c"), F.max("exact").alias("any_exact"))
     first = found.join(F.broadcast(top)).agg(F.min_by("alpha_id", F.when(F.col("structural") == F.col("s"), F.col(order))).alias("sid"), F.min_by("alpha_id", F.when(F.col("combined") == F.col("c"), F.col(order))).alias("cid"), F.first("s").alias("structural_similarity"), F.first("c").alias("similarity_score"), F.first("any_exact").alias("is_exact_duplicate"))
     unique = ~(F.col("is_exact_duplicate") | (F.col("structural_similarity") >= threshold))
-    return first.select(unique.alias("is_unique"), "is_exact_duplicate", F.when(unique, F.col("cid")).otherwise(F.col("sid")).alias("most_similar_id"), F.round("similarity_score", 4).alias("similarity_score"), F.round("structural_similarity", 4).alias("structural_similarity"))
+    percent = lambda c: F.format_string("%d%%", F.round(100 * F.col(c)).cast("int"))
+    reason = (
+        F.when(F.col("sid").isNull() & F.col("cid").isNull(), "nothing to compare with")
+        .when(F.col("is_exact_duplicate"), F.concat(F.lit("the same as "), F.col("sid").cast("string"), F.lit(" up to its sign")))
+        .when(~unique, F.concat(percent("structural_similarity"), F.lit(" structural similarity to "), F.col("sid").cast("string"), F.lit(f", at or over {threshold:.0%}")))
+        .otherwise(F.concat(F.lit("closest is "), F.col("cid").cast("string"), F.lit(" at "), percent("similarity_score"), F.lit(", structural at most "), percent("structural_similarity")))
+    )
+    first = first.withColumns({"is_exact_duplicate": F.coalesce("is_exact_duplicate", F.lit(False)), "similarity_score": F.coalesce("similarity_score", F.lit(0.0)), "structural_similarity": F.coalesce("structural_similarity", F.lit(0.0))})
+    return first.select(
+        unique.alias("is_unique"),
+        "is_exact_duplicate",
+        F.when(unique, F.col("cid")).otherwise(F.col("sid")).alias("most_similar_id"),
+        F.round("similarity_score", 4).alias("similarity_score"),
+        F.round("structural_similarity", 4).alias("structural_similarity"),
+        reason.alias("reason"),
+    )
 
 
 def validate(config: dict) -> tuple[list[str], list[str]]:
-    """(errors, warnings) of an alpha's configuration."""
-    missing = [k for k in REQUIRED if config.get(k) in (None, "")]
+    """(errors, warnings) of an alpha's configuration. Missing keys end the check."""
+    missing = [k for k in REQUIRED if config.get(k) is None]
     if missing:
         return [f"missing key: {k}" for k in missing], []
     errors, warnings = formula_errors(config["formula"]), []
-    unused = set(config["features"]) & set(RAW_COLUMNS) - columns(config["formula"])
+    unused = set(config.get("features") or []) & set(RAW_COLUMNS) - columns(config["formula"])
     if unused:
         warnings.append(f"declared but not in the formula: {sorted(unused)}")
     if config["universe"] not in UNIVERSES:
         errors.append(f"universe {config['universe']!r} is not supported")
     try:
-        if date.fromisoformat(config["start_date"]) >= date.fromisoformat(config["end_date"]):
+        start, end = (datetime.strptime(config[k], "%Y-%m-%d") for k in ("start_date", "end_date"))
+        if start >= end:
             errors.append("start_date must come before end_date")
     except ValueError as e:
         errors.append(f"dates must be YYYY-MM-DD: {e}")
@@ -196,9 +217,7 @@ def formula_errors(formula: str) -> list[str]:
         deepest = max(deepest, depth)
         if depth < 0:
             return ["a parenthesis closes before it opens"]
-    if depth:
-        return ["a parenthesis stays open"]
-    errors = [f"nesting depth {deepest} is over {MAX_DEPTH}"] * (deepest > MAX_DEPTH)
+    errors = ["a parenthesis stays open"] * bool(depth) + [f"nesting depth {deepest} is over {MAX_DEPTH}"] * (deepest > MAX_DEPTH)
     if errors:
         return errors
     if not columns(formula):
@@ -211,3 +230,35 @@ def formula_errors(formula: str) -> list[str]:
             near = sorted(o for o in OPERATORS if o.startswith(t[:4]))
             errors.append(f"{t} is not an operator" + (f"; near: {', '.join(near)}" if near else ""))
     return errors
+
+
+def checked(configs: DataFrame) -> DataFrame:
+    """A table of configurations (alpha_id, formula, features, universe, start_date, end_date) with errors and warnings as kinds.
+
+    The same verdicts as ``validate``, as Columns. Kinds: missing:<key>, empty, closes_early, stays_open, too_deep, no_column,
+    column:<name>, operator:<name>, universe, date_format, date_order; unused:<name> warns.
+    """
+    names = [f.name for f in configs.schema.fields]
+    formula = F.col("formula")
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    when = lambda cond, kind: F.when(cond, F.array(F.lit(kind))).otherwise(array([]))
+    missing = F.concat(*[when(F.col(k).isNull() if k in names else F.lit(True), f"missing:{k}") for k in REQUIRED])
+    # running depth: (now, lowest, highest)
+    step = lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    walk = lambda d, c: F.struct((d["now"] + step(c)).alias("now"), F.least(d["low"], d["now"] + step(c)).alias("low"), F.greatest(d["high"], d["now"] + step(c)).alias("high"))
+    depth = F.aggregate(F.regexp_extract_all(formula, F.lit("([()])"), F.lit(1)), zero, walk)
+    parens = F.when(depth["low"] < 0, array(["closes_early"])).otherwise(F.concat(when(depth["now"] > 0, "stays_open"), when(depth["high"] > MAX_DEPTH, "too_deep")))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(formula, F.lit(f"({TOKEN})"), F.lit(1))))
+    strange = F.array_except(words, array(sorted(set(RAW_COLUMNS) | set(OPERATORS) | INLINE)))
+    upper = lambda t: t.rlike("[A-Z]") & ~t.rlike("[a-z]") & t.contains("_")
+    lower = lambda t: ((t.rlike("[a-z]") & ~t.rlike("[A-Z]")) | t.contains("_")) & ~t.rlike("^[A-Z]") & (F.length(t) > 2)
+    odd = F.transform(F.filter(strange, lambda t: upper(t) | lower(t)), lambda t: F.concat(F.when(upper(t), "column:").otherwise("operator:"), t))
+    text = F.when(F.trim(formula) == "", array(["empty"])).when(F.size(parens) > 0, parens).otherwise(F.concat(when(F.size(F.array_intersect(words, array(RAW_COLUMNS))) == 0, "no_column"), odd))
+    start, end = (F.when(F.col(k).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(F.col(k), "yyyy-M-d")) for k in ("start_date", "end_date"))
+    dates = F.when(start.isNull() | end.isNull(), array(["date_format"])).otherwise(when(start >= end, "date_order"))
+    rest = F.concat(text, when(~F.col("universe").isin(*UNIVERSES), "universe"), dates)
+    declared = F.array_except(F.array_intersect(F.coalesce("features", array([])), array(RAW_COLUMNS)), words)
+    out = configs.withColumn("errors", F.when(F.size(missing) > 0, missing).otherwise(rest))
+    unused = F.when(F.size(missing) > 0, array([])).otherwise(F.transform(F.array_sort(declared), lambda t: F.concat(F.lit("unused:"), t)))
+    return out.withColumn("warnings", unused).withColumn("valid", F.size("errors") == 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -133,23 +134,9 @@ def boll(k: float) -> Callable:
     return lambda x, n: ts_mean(x, n) + k * ts_std(x, n)
 
 
-def ewm(values: list[float | None], alpha: float, adjust: bool, least: int = 1) -> list[float | None]:
+def ewm(x: pd.Series, alpha: float, adjust: bool, least: int = 1) -> pd.Series:
     """Exponentially weighted mean whose weights decay across gaps."""
-    out: list[float | None] = []
-    mean, weight, seen = None, 1.0, 0
-    for v in values:
-        if mean is not None:
-            weight *= 1 - alpha
-        if v is not None and v == v:
-            seen += 1
-            if mean is None:
-                mean = v
-            else:
-                new = 1.0 if adjust else alpha
-                mean = (weight * mean + new * v) / (weight + new)
-                weight = weight + new if adjust else 1.0
-        out.append(mean if seen >= least else None)
-    return out
+    return x.ewm(alpha=alpha, adjust=adjust, min_periods=least).mean()
 
 
 def fold_ema(x, n):
@@ -157,16 +144,14 @@ def fold_ema(x, n):
 
 
 def fold_rsi(x, n):
-    steps = [None if a is None or b is None else b - a for a, b in zip([None, *x[:-1]], x, strict=True)]
-    up = ewm([None if d is None else max(d, 0.0) for d in steps], 1 / n, True, n)
-    down = ewm([None if d is None else max(-d, 0.0) for d in steps], 1 / n, True, n)
-    return [None if u is None or not d else 100 - 100 / (1 + u / d) for u, d in zip(up, down, strict=True)]
+    steps = x.diff()
+    up, down = ewm(steps.clip(lower=0), 1 / n, True, n), ewm((-steps).clip(lower=0), 1 / n, True, n)
+    return 100 - 100 / (1 + up / down.where(down != 0))
 
 
 def fold_macd(x, n):
-    fast, slow = fold_ema(x, max(1, n // 2)), fold_ema(x, n)
-    line = [None if a is None or b is None else a - b for a, b in zip(fast, slow, strict=True)]
-    return [None if a is None or b is None else a - b for a, b in zip(line, fold_ema(line, max(1, n // 4)), strict=True)]
+    line = fold_ema(x, max(1, n // 2)) - fold_ema(x, n)
+    return line - fold_ema(line, max(1, n // 4))
 
 
 for _name, _fn in {

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import nullsafe as ns
+from panelforge.functions.tables import kept, shared_folder
 
 BINS = 5
-MIN_NAMES, MIN_RETURNS, MIN_SECTOR, MIN_PERIODS = 20, 10, 5, 3
+MIN_NAMES, MIN_RETURNS, MIN_SECTOR, MIN_PERIODS, MIN_SHUFFLED = 20, 10, 5, 3, 5
 
 
 def month_end(date: Column) -> Column:
@@ -78,18 +83,42 @@ def binned(pairs: DataFrame, bins: int = BINS) -> DataFrame:
     return cut.withColumn("bin", bin_).withColumn("k", F.size("_cuts") + 1).drop("_cuts")
 
 
+def _quantiles(bins: int) -> list[Column]:
+    return [F.coalesce(F.avg(F.when(F.col("bin") == i, F.col("fwd"))), F.lit(0.0)).alias(f"q{i}") for i in range(1, bins + 1)]
+
+
+def _port(bins: int) -> Column:
+    return F.element_at(F.array(*[F.col(f"q{i}") for i in range(1, bins + 1)]), F.greatest("k", F.lit(1))) - F.col("q1")
+
+
 def bin_returns(pairs: DataFrame, bins: int = BINS) -> DataFrame:
     """date, q1..q5 (an empty bin is 0.0), k and port_ret (top bin less bottom bin)."""
-    b = binned(pairs, bins)
-    out = b.groupBy("date").agg(F.max("k").alias("k"), *[F.coalesce(F.avg(F.when(F.col("bin") == i, F.col("fwd"))), F.lit(0.0)).alias(f"q{i}") for i in range(1, bins + 1)])
-    top = F.element_at(F.array(*[F.col(f"q{i}") for i in range(1, bins + 1)]), F.greatest("k", F.lit(1)))
-    return out.withColumn("port_ret", top - F.col("q1"))
+    out = binned(pairs, bins).groupBy("date").agg(F.max("k").alias("k"), *_quantiles(bins))
+    return out.withColumn("port_ret", _port(bins))
+
+
+def ranked(pairs: DataFrame, bins: int = BINS) -> DataFrame:
+    """binned pairs with the ranks of signal and return on their date: all by one exchange on the date."""
+    by = F.col("date")
+    return binned(pairs, bins).withColumns({"rank_signal": ns.average_rank(F.col("signal"), by), "rank_fwd": ns.average_rank(F.col("fwd"), by)})
+
+
+def periods_of(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """One row a valid period of ranked pairs: date, n, ic, q1..q5, k, port_ret."""
+    out = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), ns.pearson(F.col("rank_signal"), F.col("rank_fwd")).alias("ic"), F.max("k").alias("k"), *_quantiles(bins))
+    return out.where("ic is not null").withColumn("port_ret", _port(bins)).select("date", "ic", "n", "k", *[f"q{i}" for i in range(1, bins + 1)], "port_ret")
 
 
 def periods(pairs: DataFrame) -> DataFrame:
     """One row a valid period: date, n, ic, q1..q5, k, port_ret."""
-    n = pairs.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    return ic(pairs).join(n, "date").join(bin_returns(pairs), "date")
+    return periods_of(ranked(pairs))
+
+
+def degenerate(per: DataFrame, bins: int = BINS) -> DataFrame:
+    """periods, degraded (those with fewer than the wanted bins) and a warning, or null: the signal hardly tells names apart."""
+    x = per.agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.col("k") < bins).alias("degraded"))
+    share = F.round(100 * F.col("degraded") / F.col("periods") + 1e-9).cast("int")
+    return x.withColumn("warning", F.when(F.col("degraded") > 0, F.format_string(f"fewer than {bins} bins in %d of %d periods (%d%%): many names share a signal", "degraded", "periods", share)))
 
 
 def drawdown(per: DataFrame, r: str = "port_ret") -> DataFrame:
@@ -101,15 +130,18 @@ def drawdown(per: DataFrame, r: str = "port_ret") -> DataFrame:
 
 def turnover(pairs: DataFrame) -> DataFrame:
     """date, side, replaced: the share of the last valid period's top or bottom bin that is gone."""
-    b = binned(pairs)
-    held = b.groupBy("date").agg(F.collect_set(F.when(F.col("bin") == F.col("k"), F.col("ticker"))).alias("top"), F.collect_set(F.when(F.col("bin") == 1, F.col("ticker"))).alias("bottom"))
-    w = Window.partitionBy(F.lit(0)).orderBy("date")
-    out = None
-    for side in ("top", "bottom"):
-        x = held.select("date", F.lit(side).alias("side"), F.col(side).alias("now"), F.lag(side).over(w).alias("was")).where("size(was) > 0")
-        x = x.select("date", "side", (1 - F.size(F.array_intersect("was", "now")) / F.size("was")).alias("replaced"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    return turnover_of(binned(pairs))
+
+
+def turnover_of(rows: DataFrame) -> DataFrame:
+    """``turnover`` of binned pairs. Names meet themselves one period later; no set of names is ever gathered."""
+    sides = F.array_compact(F.array(F.when(F.col("bin") == F.col("k"), F.lit("top")), F.when(F.col("bin") == 1, F.lit("bottom"))))
+    held = rows.select("date", "ticker", F.explode(sides).alias("side"))
+    dates = rows.select("date").distinct()
+    after = F.broadcast(dates.withColumn("next", F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))).where("next is not null"))  # one row a month
+    was = held.join(after, "date").select(F.col("next").alias("date"), "side", "ticker")
+    both = was.join(held.withColumn("stays", F.lit(1)), ["date", "side", "ticker"], "left")
+    return both.groupBy("date", "side").agg((1 - F.count("stays") / F.count(F.lit(1))).alias("replaced"))
 
 
 def monotonicity(per: DataFrame, bins: int = BINS) -> DataFrame:
@@ -136,16 +168,24 @@ def noise_risk(sharpe: Column, deflated_sharpe: Column) -> Column:
 
 
 def metrics(pairs: DataFrame, digits: int = 4) -> DataFrame:
-    """One row with the backtest's metrics."""
-    per = periods(pairs).persist()  # a few rows: one a month
+    """One row with the backtest's metrics; an error with fewer than MIN_PERIODS valid periods.
+
+    The pairs are evaluated once, into a table with bins and ranks that all metrics read.
+    """
+    at = shared_folder(pairs.sparkSession, "backtest")
+    rows = kept(ranked(pairs).select("date", "ticker", "fwd", "bin", "k", "rank_signal", "rank_fwd"), f"{at}/pairs")
+    per = kept(periods_of(rows).coalesce(1), f"{at}/periods")  # one row a month
     a = per.agg(F.avg("ic").alias("IC_mean"), (F.avg("ic") / (F.stddev_samp("ic") + 1e-9)).alias("ICIR"), F.avg("port_ret").alias("Q5_Q1_return"), F.count(F.lit(1)).alias("n_periods"))
     dd = drawdown(per).agg(F.min("drawdown").alias("max_drawdown"))
-    valid = pairs.join(per.select("date"), "date", "left_semi")
-    to = turnover(valid).groupBy("side").agg(F.avg("replaced").alias("x")).agg(F.avg("x").alias("turnover"))
+    valid = rows.join(F.broadcast(per.select("date")), "date", "left_semi")  # one row a month
+    to = turnover_of(valid).groupBy("side").agg(F.avg("replaced").alias("x")).agg(F.avg("x").alias("turnover"))
     mono = monotonicity(per).agg(F.coalesce(F.avg("mono"), F.lit(0.0)).alias("monotonicity"))
-    one = a.crossJoin(deflated(per).select("sharpe", "deflated_sharpe")).crossJoin(dd).crossJoin(to).crossJoin(mono)  # each side is one row
+    shape = deflated(per).select("sharpe", "deflated_sharpe").agg(F.max("sharpe").alias("sharpe"), F.max("deflated_sharpe").alias("deflated_sharpe"))  # one row, also without periods
+    one = a.crossJoin(shape).crossJoin(dd).crossJoin(to).crossJoin(mono)  # each side is one row
     names = ["IC_mean", "ICIR", "sharpe", "deflated_sharpe", "monotonicity", "turnover", "max_drawdown", "Q5_Q1_return"]
-    return one.where(F.col("n_periods") >= MIN_PERIODS).select("n_periods", *[F.round(c, digits).alias(c) for c in names], noise_risk(F.col("sharpe"), F.col("deflated_sharpe")).alias("noise_risk"))
+    few = F.raise_error(F.format_string(f"the backtest has %d valid periods, fewer than {MIN_PERIODS}: check the dates and the data", "n_periods"))
+    n = F.when(F.col("n_periods") >= MIN_PERIODS, F.col("n_periods")).otherwise(few.cast("long"))
+    return one.select(n.alias("n_periods"), *[F.round(c, digits).alias(c) for c in names], noise_risk(F.col("sharpe"), F.col("deflated_sharpe")).alias("noise_risk"))
 
 
 # robustness
@@ -180,12 +220,23 @@ def regime_sharpe(per: DataFrame, reg: DataFrame) -> DataFrame:
 
 
 def placebo(pairs: DataFrame, mean_ic: float | None = None, shuffles: int = 100, seed: int = 42) -> DataFrame:
-    """1 - mean |IC of shuffled signals| / |mean IC|: signals permuted within dates by hash order."""
-    rep = pairs.select("date", "ticker", "signal", "fwd").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))  # a fixed number of copies
-    w = Window.partitionBy("date", "k")
-    rep = rep.withColumn("i", F.row_number().over(w.orderBy("ticker"))).withColumn("j", F.row_number().over(w.orderBy(F.xxhash64("ticker", "k", F.lit(seed)), "ticker")))
-    mixed = rep.select("date", "k", F.col("i").alias("at"), "fwd").join(rep.select("date", "k", F.col("j").alias("at"), "signal"), ["date", "k", "at"])
-    noise = spearman(mixed, ["date", "k"], "signal", "fwd", "x").groupBy("date").agg(F.avg(F.abs("x")).alias("x")).agg(F.avg("x").alias("noise"))
+    """1 - mean |IC of shuffled signals| / |mean IC|. A date's cross-section is ranked once; shuffles permute the ranks.
+
+    The permutations of a date come from (seed, date) and the order of its tickers: the same in every run and on any cluster.
+    """
+    by = F.col("date")
+    ranks = pairs.select("date", "ticker", ns.average_rank(F.col("signal"), by).alias("x"), ns.average_rank(F.col("fwd"), by).alias("y"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ticker", kind="stable")
+        x, y = (pdf[c].to_numpy(float) - pdf[c].mean() for c in ("x", "y"))
+        size = math.sqrt(float(x @ x) * float(y @ y))
+        if len(x) < MIN_SHUFFLED or not size:
+            return pd.DataFrame({"noise": []}, dtype=float)
+        rng = np.random.default_rng([seed, pd.Timestamp(pdf["date"].iloc[0]).toordinal()])
+        return pd.DataFrame({"noise": [np.mean([abs(x[rng.permutation(len(x))] @ y) / size for _ in range(shuffles)])]})
+
+    noise = ranks.groupBy("date").applyInPandas(run, "noise double").agg(F.avg("noise").alias("noise"))
     mean = ic(pairs).agg(F.abs(F.avg("ic")).alias("m")) if mean_ic is None else noise.sparkSession.range(1).select(F.lit(abs(mean_ic)).alias("m"))
     value = 1 - F.col("noise") / (F.col("m") + 1e-9)
-    return noise.crossJoin(mean).select(F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("placebo_score"))
+    return noise.crossJoin(mean).select(F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("placebo_score"))  # one row each

@@ -94,8 +94,29 @@ def scored(df, complexity: str = "complexity", similarity: str = "similarity"):
     df = df.withColumns({"performance": performance(), "magnitude": performance(True), "implementation": implementation(), "simplicity": simplicity(F.col(complexity)), "novelty": novelty(F.col(similarity))})
     df = df.withColumns({"total": composite(parts), "predictive_magnitude": composite(parts | {"performance": F.col("magnitude")}), "direction_status": direction(), "fatal": fatal(), "weakest": weakest(parts)})
     df = df.withColumn("verdict", verdict(F.col("total"), F.col("fatal")))
-    why = F.when(F.col("fatal"), F.concat(F.lit("fatal: "), F.when(F.col("max_drawdown") <= FATAL_DRAWDOWN, "drawdown").otherwise("dead signal"))).when(F.col("verdict") != "promising", F.format_string("score %.1f, weakest %s", "total", "weakest"))
-    return df.withColumn("failure_reason", why).drop("magnitude")
+    return df.withColumn("failure_reason", reason(complexity, similarity)).drop("magnitude")
+
+
+def number(x: Column | str, digits: int) -> Column:
+    """A number as text; rounded off the halves, which engines round apart."""
+    return F.format_string(f"%.{digits}f", F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, digits))
+
+
+def reason(complexity: str = "complexity", similarity: str = "similarity") -> Column:
+    """Why a scored row is not promising: its fatal gates, or its weakest part with what drives it; and a contradicted direction."""
+    dead = (F.abs("IC_mean") < FATAL_IC) & (F.abs("Sharpe") < FATAL_SHARPE)
+    gates = F.array_compact(
+        F.array(
+            F.when(dead, F.concat(F.lit("dead signal, IC "), number("IC_mean", 4), F.lit(", Sharpe "), number("Sharpe", 4))),
+            F.when(F.col("max_drawdown") <= FATAL_DRAWDOWN, F.concat(F.lit("drawdown "), number("max_drawdown", 4))),
+        )
+    )
+    value = F.when(F.col("weakest") == "performance", F.col("performance")).when(F.col("weakest") == "implementation", F.col("implementation")).when(F.col("weakest") == "simplicity", F.col("simplicity")).otherwise(F.col("novelty"))
+    detail = F.when(F.col("weakest") == "simplicity", F.concat(F.lit(", complexity "), F.col(complexity).cast("string"))).when(F.col("weakest") == "novelty", F.concat(F.lit(", similarity "), number(similarity, 2))).otherwise("")
+    low = F.concat(F.lit("score "), number("total", 1), F.lit(", weakest "), F.col("weakest"), F.lit(" "), number(value, 2), detail)
+    turned = F.concat(F.lit("; direction contradicted, magnitude "), number("predictive_magnitude", 1), F.lit(" against "), number("total", 1))
+    why = F.when(F.col("fatal"), F.concat(F.lit("fatal: "), F.array_join(gates, "; "))).when(F.col("verdict") != "promising", low)
+    return F.when(why.isNotNull(), F.concat(why, F.when(F.col("direction_status") == "contradicted", turned).otherwise("")))
 
 
 def tier_gates() -> tuple[Column, Column]:

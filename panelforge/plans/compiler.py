@@ -212,8 +212,7 @@ def fold(df: DataFrame, jobs: list[tuple]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE, kind="stable")
         for name, fn, k in plan:
-            values = [None if v != v else v for v in pdf[f"{name}_in"].astype(float).tolist()]
-            pdf[name] = pd.Series(fn(values, k), index=pdf.index, dtype="float64")
+            pdf[name] = fn(pdf[f"{name}_in"].astype(float), k)
         return pdf[[f.name for f in schema.fields]]
 
     return df.groupBy(TICKER).applyInPandas(run, schema)

@@ -5,8 +5,6 @@ Panel operators answer with a digest by date: count, sum, and a sum weighted by
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,12 +151,19 @@ FORMULAS: dict[str, tuple] = {
     "ex06_panel_eval": (f"rank({P} - ts_shift({P}, 5)) + zscore({V})", f"({pct_rank('u')}) + {zscore('y')}", f", q as (select *, x - lag(x, 5) over ({WT}) as u from p)", "q"),
 }
 
-SIGNAL = (
-    PANEL
-    + f""", s1 as (select *, x - lag(x, 20) over ({WT}) as u from p), s2 as (select *, ({pct_rank('u')}) * -1 as r from s1),
+
+
+def signal_sql(u: str, raw: str) -> str:
+    """The signal of a formula: u by ticker from the panel, then its cross-section, winsorised and standardised."""
+    return (
+        PANEL
+        + f""", s1 as (select *, {u} as u from p), s2 as (select *, {raw} as r from s1),
 s3 as (select *, case when r is not null then least(greatest(r, quantile_cont(r, 0.01) over ({CS})), quantile_cont(r, 0.99) over ({CS})) end as w from s2),
 sig as materialized (select date, ticker, sector, {zscore('w')} as signal from s3 where w is not null)"""
-)
+    )
+
+
+SIGNAL = signal_sql(f"x - lag(x, 20) over ({WT})", f"({pct_rank('u')}) * -1")
 CALENDAR = """, cal0 as (select date, cast(last_day(date) - cast(greatest(isodow(last_day(date)) - 5, 0) as integer) as date) as bme from (select distinct date from p)),
 cal1 as (select distinct max(date) as date from cal0 where bme <= (select max(date) from p) and date <= bme group by bme),
 cal as materialized (select date, lead(date) over (order by date) as next_date from cal1)"""
@@ -178,7 +183,8 @@ BINS = """, b0 as (select *, list_sort(list_distinct(quantile_cont(signal, [0.2,
 b as materialized (select *, 1 + len(list_filter(cuts, lambda c: c < signal)) as bin, len(cuts) + 1 as k from b0)"""
 QS = ", ".join(f"coalesce(avg(case when bin = {i} then fwd end), 0.0) as q{i}" for i in range(1, 6))
 PER = f", q as (select date, max(k) as k, count(*) as n, {QS} from b group by date), per as materialized (select q.*, ic, [q1, q2, q3, q4, q5][k] - q1 as port_ret from q join ic on ic.date = q.date)"
-ALL = SIGNAL + CALENDAR + FORWARD + PAIRS + IC + BINS + PER
+PERIODS = CALENDAR + FORWARD + PAIRS + IC + BINS + PER
+ALL = SIGNAL + PERIODS
 DD = ", eq as (select date, product(1 + port_ret) over (order by date) as equity from per), dd as (select date, equity, equity / max(equity) over (order by date) - 1 as drawdown from eq)"
 SHARPE = ", m as (select avg(port_ret) as m, stddev_samp(port_ret) as s, count(*) as n from per), z as (select avg(pow((port_ret - m) / (s + 1e-9), 3)) as skew, avg(pow((port_ret - m) / (s + 1e-9), 4)) as kurt from per, m), sh as (select n, m / (s + 1e-9) * sqrt(12.0) as sharpe, skew, kurt from m, z), dsh as (select *, case when n < 4 then 0.0 else sharpe - sqrt(greatest((1 + 0.5 * sharpe * sharpe - skew * sharpe + ((kurt - 3) / 4) * sharpe * sharpe) / (n - 1), 0.0)) end as deflated_sharpe from sh)"
 HELD = ", h as (select b.date, list(ticker) filter (bin = b.k) as top, list(ticker) filter (bin = 1) as bottom from b join per on per.date = b.date group by b.date), t0 as (select date, 'top' as side, top as now, lag(top) over (order by date) as was from h union all select date, 'bottom', bottom, lag(bottom) over (order by date) from h), tv as (select date, side, 1 - len(list_intersect(was, now)) / len(was) as replaced from t0 where len(was) > 0)"
@@ -219,6 +225,15 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
     return bt.metrics(Run(s, d).pairs)
 
 
+def _strict(s: SparkSession, d: str) -> DataFrame:
+    """One sector has no prices, and no signal in odd years: strict periods are those of even years, others keep the priced names."""
+    r = Run(s, d)
+    signal = r.signal.where("not (sector = 'S3' and year(date) % 2 = 1)")
+    prices = r.panel.where("sector != 'S3'")
+    strict, loose = (bt.aligned(signal, prices, r.dates, strict=x).groupBy("date").agg(F.count(F.lit(1)).alias(n)) for x, n in ((True, "strict"), (False, "loose")))
+    return loose.join(strict, "date", "left")
+
+
 METRICS_SQL = ALL + DD + SHARPE + HELD + MONO + """ select (select count(*) from per) as n_periods, round((select avg(ic) from per), 4) as IC_mean, round((select avg(ic) / (stddev_samp(ic) + 1e-9) from per), 4) as ICIR,
 round((select sharpe from dsh), 4) as sharpe, round((select deflated_sharpe from dsh), 4) as deflated_sharpe, round((select coalesce(avg(mono), 0.0) from mo), 4) as monotonicity,
 round((select avg(x) from (select avg(replaced) as x from tv group by side)), 4) as turnover, round((select min(drawdown) from dd), 4) as max_drawdown, round((select avg(port_ret) from per), 4) as Q5_Q1_return,
@@ -302,7 +317,11 @@ def exp_sql(*columns: str) -> str:
 
 
 def _weak(s: SparkSession, d: str) -> DataFrame:
-    return experiments(s, d).select("alpha_id", "weakest", F.regexp_replace("failure_reason", r"-?\d+\.\d", "#").alias("failure_reason"))
+    return experiments(s, d).select("alpha_id", "weakest", "failure_reason")
+
+
+def _printed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round({x} + 1e-9, {digits}))"
 
 
 WEAK = "case when least(performance, implementation, simplicity, novelty) = performance then 'performance' when least(performance, implementation, simplicity, novelty) = implementation then 'implementation' when least(performance, implementation, simplicity, novelty) = simplicity then 'simplicity' else 'novelty' end"
@@ -317,8 +336,8 @@ ly as (select alpha_id, ring, 2 * 3.141592653589793 * (row_number() over (partit
 
 
 def _ancestors(s: SparkSession, d: str) -> DataFrame:
-    e = experiments(s, d).select("alpha_id", "parent_id", "timestamp", "score")
-    return me.ancestors(me.edges(e), me.top_n(e, 20).select("alpha_id"))
+    e = experiments(s, d).select("alpha_id", "parent_id", "timestamp", "score", "predictive_magnitude", "Sharpe")
+    return me.ancestors(me.parents(e), me.top_n(e, 20).select("alpha_id"))
 
 
 def _arms(s: SparkSession, d: str) -> DataFrame:
@@ -342,28 +361,9 @@ def _similarity_sets(s: SparkSession, d: str) -> DataFrame:
     return e.select("alpha_id", F.round(formulas.array_jaccard(F.array_distinct("features"), F.array(F.lit("F1"), F.lit("F2"), F.lit("F3"))), 6).alias("jaccard"))
 
 
-TEMPLATES = ["rank({0})", "rank({0}) + rank({1})", "-1 * ts_mean({0}, 20)", "rank({0} / {1}) * -1", "ts_zscore({0} / {1}, 12)", "zscore({0}) - zscore({1})"]
-
-
-def _formula_rows(s: SparkSession, d: str) -> DataFrame:
-    cols = ["ADJUSTED_PRICE", "REVENUE_LTM", "CFO_LTM", "DA_LTM", "COGS_LTM"]
-    made = [t.format(a, b) for t in TEMPLATES for a in cols for b in cols if a != b]
-    n = len(made)
-    return src.table(s, d, "part").select(F.col("p_partkey").alias("alpha_id"), F.element_at(F.array(*[F.lit(m) for m in made]), (F.col("p_partkey") % n + 1).cast("int")).alias("formula"), F.array(F.lit("A")).alias("features"), F.col("p_partkey").alias("timestamp"))
-
-
-def _described(s: SparkSession, d: str) -> DataFrame:
-    x = formulas.described(_formula_rows(s, d))
-    return x.select("alpha_id", "complexity", F.size("cols").alias("n_columns"), F.aggregate(F.map_values("shape"), F.lit(0), lambda a, v: a + v).alias("shape_size"))
-
-
-def _search(s: SparkSession, d: str) -> DataFrame:
-    return formulas.search(_formula_rows(s, d), "rank(CFO_LTM / REVENUE_LTM)", ["A"]).select("alpha_id", *r6("structural", "column_similarity", "feature_similarity", "combined"), "exact")
-
-
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    t = src.table(s, d, "part").select("p_partkey", F.regexp_extract_all("p_name", F.lit(f"({formulas.TOKEN})"), F.lit(1)).alias("t"))
-    return t.select("p_partkey", F.size("t").cast("long").alias("n_tokens"))
+    t = src.table(s, d, "part").select("p_partkey", F.regexp_extract_all(F.concat("p_name", F.lit(" * 2x_"), "p_brand"), F.lit(f"({formulas.TOKEN})"), F.lit(1)).alias("t"))
+    return t.select("p_partkey", F.array_join(F.array_sort(F.array_distinct("t")), ",").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
 
 # sources and panel ETL
@@ -384,11 +384,12 @@ def _etl14(s: SparkSession, d: str) -> DataFrame:
 
 
 def _etl15(s: SparkSession, d: str) -> DataFrame:
-    day = src.daily(s, d)
-    a = day.where("ticker % 2 = 0 or ticker % 3 = 0").select("date", "ticker", F.col("revenue").alias("REVENUE_LTM"))
-    b = day.where("ticker % 5 != 0").select("date", "ticker", F.col("cogs").alias("CFO_LTM"), F.lit(0.0).alias("REVENUE_LTM"))
+    """A statement of returned lines and one of open lines: suppliers and days that one or both have."""
+    line = src.table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("ticker"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    a = line.where("l_returnflag != 'A'").groupBy("date", "ticker").agg(F.sum("l_quantity").alias("REVENUE_LTM"))
+    b = line.where("l_linestatus = 'O'").groupBy("date", "ticker").agg(F.max("l_quantity").alias("CFO_LTM"), F.lit(0.0).alias("REVENUE_LTM"))
     x = src.full_statements(a, b)
-    return x.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("REVENUE_LTM").alias("a"), F.count("CFO_LTM").alias("b"))
+    return x.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("REVENUE_LTM").alias("a"), F.count("CFO_LTM").alias("b"), F.sum("REVENUE_LTM").alias("revenue"), F.sum("CFO_LTM").alias("cash"))
 
 
 def _etl16(s: SparkSession, d: str) -> DataFrame:
@@ -397,35 +398,44 @@ def _etl16(s: SparkSession, d: str) -> DataFrame:
 
 
 def _etl18(s: SparkSession, d: str) -> DataFrame:
+    """Fundamentals of all days, prices of filled lines only: their days are the trading days."""
     day = src.daily(s, d)
     fundamentals = src.densify(src.statements(day), ["revenue_ltm"])
-    prices = day.where("ticker <= 10").select("date", "ticker", F.col("price").alias("adjusted_price"), F.col("volume").alias("adjusted_volume"))
-    universe = day.select("ticker").distinct().where("ticker != 7").withColumn("sector", F.concat(F.lit("S"), (F.col("ticker") % 5).cast("string")))
+    line = src.table(s, d, "lineitem").where("l_linestatus = 'F'").join(src.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    prices = line.select(F.to_date("l_shipdate").alias("date"), F.col("p_size").alias("ticker"), F.col("l_extendedprice").alias("adjusted_price"), F.col("l_quantity").alias("adjusted_volume"))
+    universe = day.select("ticker").distinct().withColumn("sector", F.concat(F.lit("S"), (F.col("ticker") % 5).cast("string")))
     x = src.assemble(fundamentals, prices, universe)
-    return x.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("sector").alias("sectors"), F.count("adjusted_price").alias("prices"))
+    return x.groupBy("ticker", "sector").agg(F.count(F.lit(1)).alias("n"), F.count("adjusted_price").alias("prices"), F.round(F.sum("adjusted_volume") + 1e-4, 3).alias("volume"))
 
 
 def _etl13(s: SparkSession, d: str) -> DataFrame:
-    st = src.statements(src.daily(s, d)).where("ticker % 2 = 0")
+    st = src.statements(src.daily(s, d))
     return src.seed(st, "1997-06-02", "1997-12-31", ["revenue_ltm"]).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("revenue_ltm") + 1.23457e-5, 2).alias("rev"))
 
 
 def _io03(s: SparkSession, d: str) -> DataFrame:
-    """Wide prices unpivoted, joined with volumes, missing dropped."""
-    day = src.daily(s, d).where("ticker <= 5")
-    wide = day.groupBy("date").pivot("ticker", [1, 2, 3, 4, 5]).agg(F.first("price"))
-    price = wide.unpivot("date", ["1", "2", "3", "4", "5"], "ticker", "adjusted_price")
+    """Wide prices unpivoted, joined with volumes, missing dropped. The tickers are those of the data, of which a wide table holds a bounded number."""
+    day = src.daily(s, d)
+    tickers = sorted(r.ticker for r in day.select("ticker").distinct().limit(5001).collect())
+    if len(tickers) > 5000:
+        raise ValueError("too many tickers for a wide table: give prices as rows")
+    wide = day.groupBy("date").pivot("ticker", tickers).agg(F.first("price"))
+    price = wide.unpivot("date", [str(t) for t in tickers], "ticker", "adjusted_price")
     volume = day.select("date", F.col("ticker").cast("string").alias("ticker"), F.col("volume").alias("adjusted_volume"))
     x = price.join(volume, ["date", "ticker"]).dropna("any", subset=["adjusted_price", "adjusted_volume"])
     return x.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("adjusted_price") + 1.23457e-5, 2).alias("price"), F.sum("adjusted_volume").alias("volume"))
 
 
 def _io05(s: SparkSession, d: str) -> DataFrame:
-    p = src.panel_a(s, d).withColumn("sparse", F.when(F.col("ticker") == 1, F.col("adjusted_price"))).select("date", "ticker", "adjusted_price", "sparse")
-    kept = src.drop_sparse(p, ["sparse"])
+    """Columns that miss more and more values: those that miss more than a thousand go."""
+    line = src.table(s, d, "lineitem").select("l_orderkey", *[F.when(F.col("l_quantity") > q, F.col("l_extendedprice")).alias(f"over_{q}") for q in range(0, 50, 5)], F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("tax"))
+    kept = src.drop_sparse(line, [c for c in line.columns if c != "l_orderkey"])
     return s.createDataFrame([(c,) for c in sorted(kept.columns)], "column_name string")
 
 
+IO05 = " union all ".join([f"select 'over_{q}' as column_name, count(*) filter (l_quantity <= {q}) as gone from lineitem" for q in range(0, 50, 5)] + ["select 'tax', count(*) filter (l_returnflag <> 'R') from lineitem", "select 'l_orderkey', 0"])
+
+
 def _io09(s: SparkSession, d: str) -> DataFrame:
     """Three batches of orders' states, keyed by customer: the newest wins."""
     o = src.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -443,20 +453,6 @@ def _rollup(s: SparkSession, d: str) -> DataFrame:
     return x.rollup("sector", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ic"), 6).alias("ic"))
 
 
-def _me_text(s: SparkSession, d: str) -> DataFrame:
-    return me.observations(experiments(s, d))
-
-
-def _validation(s: SparkSession, d: str) -> DataFrame:
-    cases = ["rank(ADJUSTED_PRICE)", "rank(ASSETS_LTM)", "rank(CFO_LTM", "ts_stddev(CFO_LTM, 5)", "1 + 2", "rank(rank(rank(rank(rank(rank(CFO_LTM))))))", ""]
-    return s.createDataFrame([(f, len(formulas.formula_errors(f)), formulas.complexity(f)) for f in cases], "formula string, n_errors int, complexity int")
-
-
-def _plan(s: SparkSession, d: str) -> DataFrame:
-    found = me.plan({"PRICE_TO_SALES"}, 3, lambda f: f.startswith("rank(NET_INCOME_LTM"))
-    return s.createDataFrame([(i, x["direction"], x["formula"], *map(str, me.mutate(x["formula"], {"turnover": 0.2, "Sharpe": 0.5, "ICIR": 0.3}))) for i, x in enumerate(found)], "i int, direction string, formula string, mutated string, change string")
-
-
 def queries() -> dict:
     out = {
         "flagship_slice": lambda s, d: Run(s, d, SLICE).periods.select("date", "n", *r6("ic", "port_ret")),
@@ -482,7 +478,7 @@ def queries() -> dict:
         "bt01_calendar": lambda s, d: Run(s, d).dates,
         "bt02_forward_returns": lambda s, d: digest(bt.forward_returns((r := Run(s, d)).panel, r.dates).withColumn("v", F.col("fwd"))),
         "bt03_period_gates": lambda s, d: Run(s, d).pairs.groupBy("date").agg(F.count(F.lit(1)).alias("n")),
-        "bt02b_strict_periods": lambda s, d: bt.aligned((r := Run(s, d)).signal, r.panel, r.dates, strict=True).groupBy("date").agg(F.count(F.lit(1)).alias("n")),
+        "bt02b_strict_periods": _strict,
         "bt04_rank_ic": lambda s, d: bt.ic(Run(s, d).pairs).select("date", *r6("ic")),
         "bt05_sector_ic": lambda s, d: bt.sector_ic(Run(s, d).pairs).select("date", "sector", *r6("ic")),
         "bt08_bins": lambda s, d: bt.binned(Run(s, d).pairs).groupBy("date", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("ticker").alias("tickers"), F.max("k").cast("long").alias("k")),
@@ -508,19 +504,14 @@ def queries() -> dict:
         "sc11_direction": lambda s, d: experiments(s, d).select("alpha_id", "direction_status", "fatal", "verdict"),
         "sc14_weakest": _weak,
         "sc15_tier_gates": lambda s, d: experiments(s, d).select("alpha_id", sc.tier_gates()[0].alias("tier1"), sc.tier_gates()[1].alias("tier2")),
-        "va01_validation": _validation,
         "sm01_tokens": _tokens,
-        "sm02_described": _described,
         "sm05_set_jaccard": _similarity_sets,
-        "sm06_search": _search,
-        "sm07_most_similar": lambda s, d: formulas.most_similar(formulas.search(_formula_rows(s, d), "rank(CFO_LTM / REVENUE_LTM)", ["A"])),
         "me01_effective_score": lambda s, d: experiments(s, d).select("alpha_id", me.effective_score().alias("effective"), me.stable_contradiction().alias("stable")).select("alpha_id", *r6("effective"), "stable"),
         "me04_failure_category": lambda s, d: experiments(s, d).select("alpha_id", me.failure_category().alias("category")),
         "me05_counts": lambda s, d: me.counts(experiments(s, d), "verdict"),
         "me06_best": lambda s, d: me.best(experiments(s, d)).select("alpha_id", *r6("effective")),
         "me07_recent": lambda s, d: me.recent(experiments(s, d)).select("alpha_id", "timestamp"),
-        "me08_unexplored": lambda s, d: me.unexplored(experiments(s, d).where("alpha_id % 4 = 0 and alpha_id % 11 < 5"), [f"F{i}" for i in range(15)]),
-        "me09_observations": _me_text,
+        "me08_unexplored": lambda s, d: me.unexplored(experiments(s, d), [f"F{i}" for i in range(25)]),
         "ba01_eligible": lambda s, d: experiments(s, d).where(me.eligible()).select("alpha_id"),
         "ba02_arms": _arms,
         "ba05_reward": _reward,
@@ -531,7 +522,6 @@ def queries() -> dict:
         "gr04_ancestors": _ancestors,
         "gr05_layout": _rings,
         "gr07_summary": lambda s, d: experiments(s, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("Sharpe"), 4).alias("best_sharpe"), F.round(F.max("IC_mean"), 4).alias("best_ic")),
-        "pl01_plan_and_mutate": _plan,
         "rollup_sector_year": _rollup,
         "st_windows": streaming.windows,
         "st_sessions": streaming.sessions,
@@ -542,30 +532,32 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     ex = EXPERIMENTS
     out = {
+        "flagship_slice": f"{signal_sql('case when count(x) over ' + frame(20) + ' = 20 then x / avg(x) over ' + frame(20) + ' end', '(' + pct_rank('u') + ') * -1')}{PERIODS} select date, n, {r6_sql('ic', 'port_ret')} from per",
         "io01_panel_load": f"{PANEL} select date, round(sum(x) + 1.23457e-5, 2) as adjusted_price, round(sum(y) + 1.23457e-5, 2) as adjusted_volume, round(sum(rev) + 1.23457e-5, 2) as revenue_ltm, round(sum(cogs) + 1.23457e-5, 2) as cogs_ltm, round(sum(tax) + 1.23457e-5, 2) as income_tax_ltm, round(sum(sh) + 1.23457e-5, 2) as shares_basic, count(x) as n from p group by date",
-        "io03_price_source": f"with {DAILY} select cast(ticker as varchar) as ticker, count(*) as n, round(sum(price) + 1.23457e-5, 2) as price, sum(volume) as volume from daily where ticker <= 5 group by ticker",
-        "io05_sparse_drop": "select unnest(['adjusted_price', 'date', 'ticker']) as column_name",
+        "io03_price_source": f"with {DAILY} select cast(ticker as varchar) as ticker, count(*) as n, round(sum(price) + 1.23457e-5, 2) as price, sum(volume) as volume from daily group by ticker",
+        "io05_sparse_drop": f"select column_name from ({IO05}) where gone <= 1000",
         "io09_store_upsert": "select o_custkey, max(o_orderkey) as o_orderkey, round(arg_max(o_totalprice, o_orderkey), 2) as o_totalprice from orders group by o_custkey",
         "io13_json_columns": "select split_part(event_type, '_', 1) as kind, sum(cast(json_extract(props, '$.k') as bigint)) as k, count(*) as n from events group by 1",
         "io16_stream_equals_batch": streaming.HOURLY_SQL,
         "st_windows": streaming.WINDOWS_SQL,
+        "st_sessions": streaming.SESSIONS_SQL,
         "etl04_dates_with_values": panel_sql("x"),
         "etl05_winsorise": panel_sql(f"case when x is not null then least(greatest(x, quantile_cont(x, 0.01) over ({CS})), quantile_cont(x, 0.99) over ({CS})) end"),
         "etl06_standardise": panel_sql(zscore("y")),
         "etl09_drop_incomplete": f"{PANEL} select ticker, count(*) as n, min(date) as first_date from p where x is not null and y is not null and rev is not null and cogs is not null and tax is not null and sh is not null group by ticker",
         "etl10_business_days": f"{PANEL} select date from days",
         "etl11_forward_fill": panel_sql("y"),
-        "etl13_lookback_seed": f"with {DAILY}, st as (select date, ticker, round(sum(revenue) over (partition by ticker order by date range between interval 364 days preceding and current row) + 1.3e-4, 2) as rev from daily), cut as (select * from st where ticker % 2 = 0 and date >= date '1996-06-02' and date <= date '1997-12-31'), days as (select cast(d as date) as date from (select unnest(generate_series((select min(date) from cut), (select max(date) from cut), interval 1 day)) as d) where isodow(d) < 6), g as (select days.date, t.ticker, last_value(rev ignore nulls) over (partition by t.ticker order by days.date rows between unbounded preceding and current row) as rev from days cross join (select distinct ticker from cut) t left join cut on cut.date = days.date and cut.ticker = t.ticker) select date, count(*) as n, round(sum(rev) + 1.23457e-5, 2) as rev from g where date >= date '1997-06-02' and rev is not null group by date",
+        "etl13_lookback_seed": f"with {DAILY}, st as (select date, ticker, round(sum(revenue) over (partition by ticker order by date range between interval 364 days preceding and current row) + 1.3e-4, 2) as rev from daily), cut as (select * from st where date >= date '1996-06-02' and date <= date '1997-12-31'), days as (select cast(d as date) as date from (select unnest(generate_series((select min(date) from cut), (select max(date) from cut), interval 1 day)) as d) where isodow(d) < 6), g as (select days.date, t.ticker, last_value(rev ignore nulls) over (partition by t.ticker order by days.date rows between unbounded preceding and current row) as rev from days cross join (select distinct ticker from cut) t left join cut on cut.date = days.date and cut.ticker = t.ticker) select date, count(*) as n, round(sum(rev) + 1.23457e-5, 2) as rev from g where date >= date '1997-06-02' and rev is not null group by date",
         "etl14_keep_last": "with r as (select l_partkey, cast(l_shipdate as date) as date, l_quantity, row_number() over (partition by l_partkey, cast(l_shipdate as date) order by l_orderkey desc, l_linenumber desc, l_extendedprice desc, l_quantity desc) as nr from lineitem) select date, count(*) as n, round(sum(l_quantity), 2) as q from r where nr = 1 group by date",
-        "etl15_statement_join": f"with {DAILY}, a as (select date, ticker, revenue from daily where ticker % 2 = 0 or ticker % 3 = 0), b as (select date, ticker, cogs from daily where ticker % 5 <> 0) select ticker, count(*) as n, count(revenue) as a, count(cogs) as b from a full join b using (date, ticker) group by ticker",
+        "etl15_statement_join": "with l as (select cast(l_shipdate as date) as date, l_suppkey as ticker, * from lineitem), a as (select date, ticker, sum(l_quantity) as revenue from l where l_returnflag <> 'A' group by 1, 2), b as (select date, ticker, max(l_quantity) as cash from l where l_linestatus = 'O' group by 1, 2) select ticker, count(*) as n, count(revenue) as a, count(cash) as b, sum(revenue) as revenue, sum(cash) as cash from a full join b using (date, ticker) group by ticker",
         "etl16_sector_lookup": "with day as (select cast(l_shipdate as date) as date, l_suppkey as ticker, round(avg(l_extendedprice / l_quantity) + 1.3e-6, 4) as price from lineitem where isodow(l_shipdate) < 6 group by 1, 2), days as (select cast(d as date) as date from (select unnest(generate_series((select min(date) from day), (select max(date) from day), interval 1 day)) as d) where isodow(d) < 6), g as (select days.date, t.ticker, last_value(price ignore nulls) over (partition by t.ticker order by days.date rows between unbounded preceding and current row) as x from days cross join (select distinct ticker from day) t left join day on day.date = days.date and day.ticker = t.ticker) select 'S' || n_regionkey as sector, count(*) as n, round(avg(x), 3) as price from g join supplier on s_suppkey = ticker join nation on s_nationkey = n_nationkey where x is not null group by 1",
-        "etl18_assemble": f"{PANEL} select ticker, count(*) as n, sum(case when ticker <> 7 then 1 else 0 end) as sectors, coalesce(sum(case when ticker <= 10 and (date, ticker) in (select (date, ticker) from daily) then 1 else 0 end), 0) as prices from p where date in (select date from daily where ticker <= 10) group by ticker",
+        "etl18_assemble": f"{PANEL}, px as (select cast(l_shipdate as date) as date, p_size as ticker, avg(l_extendedprice) as price, avg(l_quantity) as volume from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F' group by 1, 2) select p.ticker, p.sector, count(*) as n, count(price) as prices, round(sum(volume) + 1e-4, 3) as volume from p left join px on px.date = p.date and px.ticker = p.ticker where p.date in (select date from px) group by 1, 2",
         "ex07_signal": f"{SIGNAL}, v as (select date, ticker, signal as v from sig) {DIGEST}",
         "ex08_single_date": f"{PANEL}, o as (select * from p where date = date '1997-06-30'), v as (select ticker, ({pct_rank('x')}) + case when max(y) over () > min(y) over () then (y - min(y) over ()) / (max(y) over () - min(y) over ()) end as value from o) select ticker, {r6_sql('value')} from v where value is not null",
         "bt01_calendar": f"{PANEL}{CALENDAR} select * from cal",
         "bt02_forward_returns": f"{PANEL}{CALENDAR}{FORWARD}, v as (select date, ticker, fwd as v from fwd) {DIGEST}",
         "bt03_period_gates": f"{ALL} select date, count(*) as n from pairs group by date",
-        "bt02b_strict_periods": f"{ALL} select date, count(*) as n from pairs group by date",
+        "bt02b_strict_periods": f"{SIGNAL}{CALENDAR}{FORWARD}, sg as (select * from sig where not (sector = 'S3' and year(date) % 2 = 1)), pr0 as (select sg.date, sg.ticker, count(*) over (partition by sg.date) as ns from sg join cal on cal.date = sg.date where next_date is not null), pr1 as (select pr0.date, count(*) as n from pr0 join fwd on fwd.date = pr0.date and fwd.ticker = pr0.ticker where ns >= 20 and pr0.ticker % 5 <> 3 group by pr0.date) select date, n as loose, case when date not in (select date from sg where sector = 'S3') then n end as strict from pr1 where n >= 10",
         "bt04_rank_ic": f"{ALL} select date, {r6_sql('ic')} from ic",
         "bt05_sector_ic": f"{ALL}, k as (select *, count(*) over (partition by date, sector) as m from pairs) select date, sector, round({CORR}, 6) + 0.0 as ic from (select date, sector, {ranks('date, sector', 'signal')} as a, {ranks('date, sector', 'fwd')} as b from k where m >= 5) group by date, sector having {CORR} is not null",
         "bt08_bins": f"{ALL} select date, bin, count(*) as n, sum(ticker) as tickers, max(k) as k from b group by date, bin",
@@ -588,25 +580,27 @@ def oracle_sql() -> dict[str, str]:
         "sc09_composite": exp_sql("total"),
         "sc10_magnitude": exp_sql("predictive_magnitude"),
         "sc11_direction": f"{ex} select alpha_id, direction_status, fatal, verdict from e",
-        "sc14_weakest": f"{ex} select alpha_id, {WEAK} as weakest, case when fatal then 'fatal: ' || case when max_drawdown <= -0.4 then 'drawdown' else 'dead signal' end when verdict <> 'promising' then 'score #, weakest ' || {WEAK} end as failure_reason from e",
+        "sc14_weakest": f"""{ex}, w as (select *, {WEAK} as weakest from e)
+select alpha_id, weakest, case when fatal then 'fatal: ' || concat_ws('; ', case when abs(IC_mean) < 0.005 and abs(Sharpe) < 0.1 then 'dead signal, IC ' || {_printed('IC_mean', 4)} || ', Sharpe ' || {_printed('Sharpe', 4)} end, case when max_drawdown <= -0.4 then 'drawdown ' || {_printed('max_drawdown', 4)} end)
+  when verdict <> 'promising' then 'score ' || {_printed('total', 1)} || ', weakest ' || weakest || ' ' || {_printed("case weakest when 'performance' then performance when 'implementation' then implementation when 'simplicity' then simplicity else novelty end", 2)} || case weakest when 'simplicity' then ', complexity ' || complexity when 'novelty' then ', similarity ' || {_printed('similarity', 2)} else '' end end
+  || case when direction_status = 'contradicted' then '; direction contradicted, magnitude ' || {_printed('predictive_magnitude', 1)} || ' against ' || {_printed('total', 1)} else '' end as failure_reason from w""",
         "sc15_tier_gates": f"{ex} select alpha_id, case when IC_mean <= 0 or ICIR <= 0 or monotonicity <= -0.2 then 'failed' when IC_mean <= 0.02 or ICIR <= 0.3 or monotonicity <= 0.3 then 'revise' else 'promising' end as tier1, case when Sharpe <= 0 or max_drawdown <= -0.4 then 'failed' when Sharpe <= 0.5 or turnover >= 0.7 or max_drawdown <= -0.25 then 'revise' else 'promising' end as tier2 from e",
-        "sm01_tokens": "select p_partkey, len(regexp_extract_all(p_name, '[A-Za-z_][A-Za-z0-9_]*')) as n_tokens from part",
+        "sm01_tokens": "with t as (select p_partkey, regexp_extract_all(p_name || ' * 2x_' || p_brand, '[A-Za-z_][A-Za-z0-9_]*') as t from part) select p_partkey, array_to_string(list_sort(list_distinct(t)), ',') as tokens, len(t) as n_tokens from t",
         "sm05_set_jaccard": f"{ex} select alpha_id, round(len(list_intersect(list_distinct(features), ['F1', 'F2', 'F3'])) / len(list_distinct(features || ['F1', 'F2', 'F3'])), 6) as jaccard from e",
         "me01_effective_score": f"{ex} select alpha_id, round(predictive_magnitude, 6) + 0.0 as effective, stable from cat",
         "me04_failure_category": f"{ex} select alpha_id, category from cat",
         "me05_counts": f"{ex} select verdict, count(*) as n from e group by verdict",
         "me06_best": f"{ex} select alpha_id, round(predictive_magnitude, 6) + 0.0 as effective from e where verdict = 'promising' order by predictive_magnitude desc, timestamp limit 3",
         "me07_recent": f"{ex} select alpha_id, timestamp from e order by timestamp desc limit 30",
-        "me08_unexplored": f"{ex} select 'F' || i as feature from range(15) t(i) where 'F' || i not in (select unnest(features) from e where alpha_id % 4 = 0 and alpha_id % 11 < 5)",
-        "me09_observations": f"{ex}, f as (select category, count(*) as n from cat where category is not null group by category order by n desc, category limit 1) select 'failure' as kind, category || ': ' || n || ' of ' || t || ' (' || (100 * n // t) || '%)' as text from f, (select count(*) as t from e where verdict in ('failed', 'revise')) union all select 'best', format('{{:.1f}}', predictive_magnitude) || ': ' || alpha_id from (select * from e where verdict = 'promising' order by predictive_magnitude desc, timestamp limit 1)",
+        "me08_unexplored": f"{ex} select 'F' || i as feature from range(25) t(i) where 'F' || i not in (select unnest(features) from e)",
         "ba01_eligible": f"{ex} select alpha_id from elig",
         "ba02_arms": f"{ex} select alpha_id as arm_id, round(predictive_magnitude, 6) + 0.0 as effective, round(1 + predictive_magnitude / 100, 6) + 0.0 as alpha, 1.0::double as beta from elig order by predictive_magnitude desc, alpha_id limit 5",
         "ba05_reward": f"{ex} select c.alpha_id, round(greatest(least(0.5 + (c.predictive_magnitude - p.predictive_magnitude) / 50, 1.0), 0.0), 6) + 0.0 as reward from e c join e p on c.parent_id = p.alpha_id",
         "ba06_replay": "with r as (select 'u' || (user_id % 5) as arm_id, least(((event_id * 7) % 13) / 10.0, 1.0) as r from events), t as (select arm_id, sum(r) as up, sum(1 - r) as down, count(*) as pulls from r group by arm_id), q as (select 'u' || i as arm_id, 1.0 + i / 10 + coalesce(up, 0) as alpha, 1.0 + coalesce(down, 0) as beta, coalesce(pulls, 0) as pulls from range(5) g(i) left join t on t.arm_id = 'u' || i) select arm_id, round(alpha, 6) + 0.0 as alpha, round(beta, 6) + 0.0 as beta, round(alpha / (alpha + beta), 6) + 0.0 as mean, pulls from q",
         "gr01_edges": f"{ex} select parent, child from ed",
         "gr02_filters": f"{ex} select alpha_id from e where verdict in ('promising', 'revise') and timestamp >= 500000 and batch_id = 'batch2'",
-        "gr03_top_n": f"{ex} select alpha_id from e order by score desc, timestamp limit 25",
-        "gr04_ancestors": f"with recursive {ex.removeprefix('with ')}, up as (select alpha_id from (select alpha_id from e order by score desc, timestamp limit 20) union select ed.parent from up join ed on ed.child = up.alpha_id) select alpha_id from up",
+        "gr03_top_n": f"{ex} select alpha_id from e order by predictive_magnitude desc, timestamp limit 25",
+        "gr04_ancestors": f"with recursive {ex.removeprefix('with ')}, up as (select alpha_id from (select alpha_id from e order by predictive_magnitude desc, timestamp limit 20) union select p.alpha_id from up join e c on c.alpha_id = up.alpha_id join e p on p.alpha_id = c.parent_id) select alpha_id from up",
         "gr05_layout": f"{ex}{RINGS} select alpha_id, ring, round((100 + 160 * ring) * cos(angle), 6) + 0.0 as x, round((100 + 160 * ring) * sin(angle), 6) + 0.0 as y from ly",
         "gr07_summary": f"{ex} select verdict, count(*) as n, round(max(Sharpe), 4) as best_sharpe, round(max(IC_mean), 4) as best_ic from e group by verdict",
         "rollup_sector_year": f"{ALL}, k as (select *, count(*) over (partition by date, sector) as m from pairs), si as (select date, sector, {CORR} as ic from (select date, sector, {ranks('date, sector', 'signal')} as a, {ranks('date, sector', 'fwd')} as b from k where m >= 5) group by date, sector) select sector, year(date) as year, count(*) as n, round(avg(ic), 6) as ic from si where ic is not null group by rollup (sector, year(date))",

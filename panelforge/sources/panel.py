@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.nullsafe import clean
+from panelforge.functions.tables import small
 
 #: Vendor names and the columns they become (fixed values).
 RENAMES = {
@@ -53,6 +54,24 @@ def sanitise(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").upper()
 
 
+def sanitised(name: Column) -> Column:
+    """``sanitise`` for names in a column."""
+    return F.upper(F.btrim(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), F.lit("_")))
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """DATE (as a date) and TICKER first, whatever their order and type were."""
+    return df.select(F.to_date("DATE").alias("DATE"), "TICKER", *[f"`{c}`" for c in df.columns if c not in ("DATE", "TICKER")])
+
+
+def align(parts: list[DataFrame]) -> DataFrame:
+    """Column panels (date, ticker, values) as one long frame: every key that a panel has, null where another lacks it."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, ["date", "ticker"], "full")
+    return out
+
+
 def renamed(df: DataFrame, keys: tuple[str, ...] = ("DATE", "TICKER")) -> DataFrame:
     """Known vendor names mapped, others made identifiers."""
     return df.withColumnsRenamed({c: RENAMES.get(c, sanitise(c)) for c in df.columns if c not in keys})
@@ -62,8 +81,10 @@ def drop_sparse(df: DataFrame, columns: list[str], most_nulls: int = 1000) -> Da
     """Without the value columns that miss more than so many values: one pass counts them all."""
     if not columns:
         return df
-    nulls = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
-    return df.drop(*[c for c in columns if nulls[c] > most_nulls])
+    numbers = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    gone = lambda c: F.col(f"`{c}`").isNull() | (F.isnan(F.col(f"`{c}`")) if c in numbers else F.lit(False))
+    nulls = df.agg(*[F.count_if(gone(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return df.drop(*[c for i, c in enumerate(columns) if nulls[i] > most_nulls])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -94,11 +115,21 @@ def seed(statement: DataFrame, start: str, end: str, values: list[str]) -> DataF
     return dense.where(F.col("date") >= F.lit(start).cast("date")).dropna("all", subset=values)
 
 
+#: Carried along, never processed.
+CARRIED = ["sector", "country"]
+
+
 def clean_process(df: DataFrame, values: list[str]) -> DataFrame:
-    """A column is left out on dates where no ticker has it; then rows lacking any value go."""
+    """A column is left out on dates where no ticker has it; then rows lacking any value go. Other columns are carried along."""
     return df.dropna("any", subset=values)
 
 
+def process(df: DataFrame, values: list[str]) -> DataFrame:
+    """Rows lacking a value dropped, the rest carried forward on the business-day grid, with the carried columns."""
+    carried = [c for c in CARRIED if c in df.columns]
+    return densify(clean_process(df, values), [*values, *carried]).dropna("all", subset=[*values, *carried])
+
+
 def rounded(x: Column, digits: int) -> Column:
     """Rounded off the halves: money and quantities make exact halves, which engines round apart after summing in their own order."""
     return F.round(x + 1.3e-2 * 10.0**-digits, digits)
@@ -159,4 +190,4 @@ def assemble(fundamentals: DataFrame, prices: DataFrame, universe: DataFrame) ->
     """Fundamentals with sector and price, on trading dates only."""
     trading = prices.select("date").distinct()
     mean = prices.groupBy("date", "ticker").agg(F.avg("adjusted_price").alias("adjusted_price"), F.avg("adjusted_volume").alias("adjusted_volume"))
-    return fundamentals.join(F.broadcast(universe.select("ticker", "sector")), "ticker", "left").join(mean, ["date", "ticker"], "left").join(trading, "date", "left_semi")
+    return fundamentals.join(small(universe.select("ticker", "sector")), "ticker", "left").join(mean, ["date", "ticker"], "left").join(trading, "date", "left_semi")

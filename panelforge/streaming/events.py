@@ -6,19 +6,10 @@ so that it can be compared with the batch answer.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a temporary one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    return f"{found or tempfile.mkdtemp(prefix='panelforge-stream-')}/stream-{uuid.uuid4().hex}"
+from panelforge.functions.tables import shared_folder
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +17,14 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream until its source is read, then the rows it wrote. Only final rows are written: the watermark is closed by the sink."""
-    spark, at = stream.sparkSession, _shared(stream.sparkSession)
-    schema = stream.schema
+def to_end(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream until its source is read, then the rows it wrote.
+
+    With mode "update" a key's row of the last batch counts: state goes once the watermark has passed, and rows that the
+    watermark has not closed when the source ends are there too. With "append" they are not.
+    """
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
+    names = stream.columns
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
@@ -37,17 +32,19 @@ def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out/epoch=*")
-    if mode == "complete":
-        last = out.agg(F.max("_epoch")).first()[0]
-        out = out.where(F.col("_epoch") == last)
-    return out.select(*[f.name for f in schema.fields])
+    if mode == "update":
+        rest = [c for c in names if c not in keys]
+        last = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_last"))
+        return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return out.select(*names)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type, counted by a stream."""
-    agg = source(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
-    out = to_end(agg, "complete")
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", F.round("v", 4).alias("v"))
+    events = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days")
+    agg = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    out = to_end(agg, "update", ["w", "event_type"])
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
 HOURLY_SQL = "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as v from events group by 1, 2"
@@ -55,11 +52,12 @@ HOURLY_SQL = "select date_trunc('hour', ts) as start, event_type, count(*) as n,
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding two-hour windows every hour, with a watermark, updates merged to the latest."""
-    agg = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id").alias("users"))
-    return to_end(agg, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    events = source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days")
+    agg = events.groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+    return to_end(agg, "update", ["w"]).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.round("most", 4).alias("most"))
 
 
-WINDOWS_SQL = "select start, count(*) as n from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as start from events) group by start"
+WINDOWS_SQL = "select start, count(*) as n, round(max(value), 4) as most from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as start, value from events) group by start"
 
 
 def _sessions(once: DataFrame) -> DataFrame:
@@ -75,3 +73,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a session that both have counts once; a join on the window would be pushed below the merging of sessions
     both = closed.union(_sessions(events).select("user_id", "w", "n")).groupBy("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end")).agg(F.max("n").alias("n"))
     return both.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+SESSIONS_SQL = """with e as (select distinct on (event_id) user_id, ts from events), g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end as first from e),
+n as (select user_id, ts, sum(first) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g) select user_id, min(ts) as start, count(*) as n from n group by user_id, k"""

@@ -7,11 +7,14 @@ import os
 import duckdb
 import pytest
 
-from panelforge import queries as engine
+from panelforge import queries, queries_research, queries_sources
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 CHECKED = ["io01_panel_load", "io09_store_upsert", "etl10_business_days", "etl15_statement_join", "cs01_rank", "cs17_group_rank", "ts05_ts_std", "ts12_ts_corr", "ta01_ema", "ta04_rsi", "ex02_comparisons", "bt01_calendar", "sc09_composite", "sc14_weakest", "me04_failure_category", "ba02_arms", "gr04_ancestors", "gr05_layout"]
+SQL = queries.oracle_sql() | queries_sources.oracle_sql() | queries_research.oracle_sql()
+QUERIES = queries.queries() | queries_sources.queries() | queries_research.queries()
+CHECKED += [k for k in SQL if k not in CHECKED and (k in queries_sources.queries() or k in queries_research.queries() or k in ("flagship_slice", "bt12_metrics", "bt17_turnover", "bt02b_strict_periods", "etl18_assemble", "st_sessions", "st_windows"))]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are missing")
 
 
@@ -34,10 +37,10 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = engine.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = [[r[c] for c in cols] for r in df.collect()]
-    found = con.execute(engine.oracle_sql()[name])
+    found = con.execute(SQL[name])
     names = [d[0] for d in found.description]
     want = [[r[names.index(c)] for c in cols] for r in found.fetchall()]
     assert rows(cols, got) == rows(names, want)
@@ -45,12 +48,13 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_a_name_in_lower_case():
-    assert all(k == k.lower() for k in engine.queries())
-    assert set(engine.oracle_sql()) <= set(engine.queries())
+    assert all(k == k.lower() for k in QUERIES)
+    assert set(SQL) <= set(QUERIES)
+    assert len(QUERIES) == sum(len(m.queries()) for m in (queries, queries_sources, queries_research))
 
 
 def test_sessions_cover_every_event(spark):
     con = duckdb.connect()
     want = con.execute(f"with e as (select distinct on (event_id) user_id, ts from '{SF}/events.parquet'), g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end as first from e) select count(*), sum(first) from g").fetchone()
-    got = [r.n for r in engine.queries()["st_sessions"](spark, SF).collect()]
+    got = [r.n for r in QUERIES["st_sessions"](spark, SF).collect()]
     assert (sum(got), len(got)) == want
