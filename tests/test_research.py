@@ -78,7 +78,7 @@ def test_structural_similarity_equals_brute_force():
     def made(depth):
         if not depth or rng.random() < 0.2:
             return rng.choice(["CFO_LTM", "DA_LTM", "ADJUSTED_PRICE", "2", "20"])
-        return rng.choice(["rank({})", "ts_mean({}, 20)", "({} + {})", "({} / {})", "({} * {})", "-{}", "{}.shift(2)", "np.log({})"]).format(*[made(depth - 1) for _ in range(2)])
+        return rng.choice(["rank({})", "ts_mean({}, 20)", "({} + {})", "({} / {})", "({} * {})", "-{}", "({}).shift(2)", "np.log({})"]).format(*[made(depth - 1) for _ in range(2)])
 
     for _ in range(200):
         a, b = made(3), made(3)
