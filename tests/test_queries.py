@@ -34,10 +34,12 @@ def rows(names, data):
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, name):
+    # prices at the smallest scale stand still for weeks: a price over its mean is 1 up to the order of the sum, and ranks of such ties are noise
+    sf = SF.replace("sf0.001", "sf0.01") if name == "flagship_slice" else SF
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = QUERIES[name](spark, SF)
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     got = [[r[c] for c in cols] for r in df.collect()]
     found = con.execute(SQL[name])
