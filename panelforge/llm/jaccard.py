@@ -11,7 +11,7 @@
 4. Runs of at most ``SHORT`` classes give all their pairs. In longer runs that still span components, rounds pair each class
    outside the run's largest component with that component's leader of this round, another one in each run; links contract
    components. What is then still outside is compared with its whole run in blocks of at most about two times ``BLOCK``
-   classes, on parity bitmaps, and only pairs that may link leave a block. So no link between components is lost, and a
+   classes, overlapping runs together, on parity bitmaps, and only pairs that may link leave a block. So no link between components is lost, and a
    run of m near copies costs about m pairs, not m squared.
 5. A pair is tested on parity bitmaps first, which can only overrate a pair, then on whole sets.
 
@@ -37,12 +37,13 @@ from panelforge.llm.common import LOWER_SQL, WORDS_SQL, Scratch, checked_broadca
 K = 5
 SKETCH_BITS = 21
 CHUNK = 65_536
-OWNER_POSTINGS = 2_000_000
+OWNER_POSTINGS = 1_000_000
 HOT = 200_000
 SHORT = 8
 ROUNDS = 2
 BLOCK = 2_000
 BLOCK_SHINGLES = 8_000_000
+CLUMP = 16
 NEEDED = 200_000
 ONE_TASK_EDGES = 200_000
 _P = np.array([pow(0x9E3779B97F4A7C15, K - 1 - i, 1 << 64) for i in range(K)], np.uint64)
@@ -366,8 +367,8 @@ def checked(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> D
 
 def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(cls, comp) of the classes that have links. members: run, cls, n."""
-    sizes = members.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1")
-    sized = scratch.table(members.join(sizes, "run").select("run", "cls", "n", "m", "size"), "sized")
+    sizes = members.groupBy("run").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sized = scratch.table(members.join(sizes, "run").select("run", "cls", "n", "m"), "sized")
     short, long = sized.where(F.col("m") <= SHORT), sized.where(F.col("m") > SHORT)
 
     def fits(a: str, b: str) -> str:
@@ -383,7 +384,7 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame |
         # the runs that span components, with their largest one
         parts = now.groupBy("run", "comp").agg(F.count(F.lit(1)).alias("k"))
         tops = parts.groupBy("run").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("top.k < m")
-        tops = scratch.table(tops.select("run", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.k")).alias("outside")), f"tops-{turn}")
+        tops = scratch.table(tops.select("run", F.col("top.comp").alias("top")), f"tops-{turn}")
         if not tops.limit(1).count():
             return comp
         now = now.join(checked_broadcast(tops, NEEDED), "run")
@@ -433,19 +434,28 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def in_blocks(now: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of classes outside their run's largest component with the rest of the run. Both are cut to chunks of about BLOCK."""
-    needed = checked_broadcast(now.select("cls").distinct(), NEEDED)
-    rows = now.join(sets.join(needed, "cls", "left_semi").select("cls", "bits"), "cls")
-    rows = rows.withColumns({"all": F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")})
-    rows = rows.withColumn("asking", F.ceil(F.least(F.col("all"), F.greatest(F.col("outside") / BLOCK, F.col("outside") / F.col("m") * F.col("size") / BLOCK_SHINGLES))).cast("int"))
-    rows = scratch.table(rows.select("run", "cls", "n", "comp", "bits", "all", "asking", (F.col("comp") != F.col("top")).alias("outside")), "open")
+    """(a, b) of classes outside their run's largest component with the rest of the run.
+
+    Runs of near copies overlap. Those with the same largest component are put together, about ``CLUMP`` blocks' worth to a
+    clump, so that two classes meet once or a few times and not in every run that they share. A clump is cut to chunks of
+    about ``BLOCK`` classes.
+    """
+    weight = now.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / (CLUMP * BLOCK)).cast("int").alias("clumps"))
+    rows = now.join(checked_broadcast(weight, NEEDED), "top").withColumn("clump", F.pmod(F.xxhash64("run"), F.col("clumps")).cast("int"))
+    rows = scratch.table(rows.select("top", "clump", "cls", "n", "comp").dropDuplicates(["top", "clump", "cls"]), "clumps")
+    out = F.col("comp") != F.col("top")
+    chunks = lambda rows, size: F.greatest(F.ceil(F.greatest(rows / BLOCK, size / BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    cuts = rows.groupBy("top", "clump").agg(chunks(F.count(F.lit(1)), F.sum("n")).alias("all"), chunks(F.count_if(out), F.sum(F.when(out, F.col("n")).otherwise(0))).alias("asking"))
+    needed = checked_broadcast(rows.select("cls").distinct(), NEEDED)
+    rows = rows.join(checked_broadcast(cuts, NEEDED), ["top", "clump"]).join(sets.join(needed, "cls", "left_semi").select("cls", "bits"), "cls")
+    rows = scratch.table(rows.withColumn("outside", out), "open")
 
     def dealt(rows: DataFrame, asks: bool, own: str, other: str, i: str, j: str) -> DataFrame:
         cut = rows.withColumn(i, F.pmod(F.xxhash64("cls"), F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return cut.select("run", "i", "j", "cls", "n", "comp", "bits", F.lit(asks).alias("asks"))
+        return cut.select("top", "clump", "i", "j", "cls", "n", "comp", "bits", F.lit(asks).alias("asks"))
 
     meet = dealt(rows.where("outside"), True, "asking", "all", "i", "j").union(dealt(rows, False, "all", "asking", "j", "i"))
-    return meet.groupBy("run", "i", "j").applyInPandas(_block, "a binary, b binary")
+    return meet.groupBy("top", "clump", "i", "j").applyInPandas(_block, "a binary, b binary")
 
 
 def text_digest(text: Column) -> Column:
