@@ -77,8 +77,18 @@ class Scratch:
         delete(self.spark, self.path(name))
 
 
+#: Bytes of an Arrow batch between the JVM and a worker. Spark's own limit of 64 MB holds several times that in both at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, unless they run on this machine and PYTHONPATH shows it to them."""
+    """Give the executors this package, unless they run on this machine and PYTHONPATH shows it to them.
+
+    Also lowers the session's limit of an Arrow batch to ``BATCH_BYTES``, where it is Spark's default.
+    """
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     top = Path(__file__).resolve().parent.parent.parent
     sc = spark.sparkContext
     here = sc.master.startswith("local") and str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
