@@ -4,8 +4,9 @@
    most about ``SENDER_ROWS`` rows). These fixed-size rows are written once; all later steps read that table.
 2. A sender sorts its distinct fingerprints, cuts them by owner (a range of the fingerprint space) and sends each owner
    one Golomb-Rice coded list.
-3. An owner (there are fewer than senders: one for ``OWNER_ROWS`` rows) decodes the lists, finds the fingerprints that two senders hold, and returns to each sender a bitmap over
-   that sender's list. A fingerprint appears once a list, so a third of all rows being copies adds one entry a sender.
+3. An owner (one for ``OWNER_ROWS`` rows, so fewer than senders) decodes the lists, finds the fingerprints that two senders
+   hold, and returns to each sender a bitmap over that sender's list. A fingerprint appears once a list, so a third of all
+   rows being copies adds one entry a sender.
 4. Senders mark their suspects. Only those rows go on: their texts are grouped by the bytes themselves (a partial
    aggregate, so copies collapse before the shuffle), and groups are attached to rows by (digest, salt).
 

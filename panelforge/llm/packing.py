@@ -4,9 +4,9 @@ Documents become token ids once, are dealt to shards of about ``SHARD_IDS`` ids
 a BM25 inverted index over token ids. Likeness is that of hashed BM25 vectors: a tree of cuts along main directions, grown
 on a sample that grows with the number of shards, leads like documents to one leaf; a leaf of too many ids is dealt on by hash.
 Document frequencies and the mean length are those of all documents, not of the shard. A seed asks its own shard with all its
-terms, so neighbours in other leaves are not found (README: recall against all documents). A window starts with a seed document; the index returns the seed's best neighbours that no window has used, which fill the
-window greedily, the last one cut where the window ends. Its rest seeds the next window. So only the last window of a
-shard is padded.
+terms, so neighbours in other leaves are not found (README: recall against all documents). A window starts with a seed
+document; the index returns the seed's best neighbours that no window has used, which fill the window greedily, the last one
+cut where the window ends. Its rest seeds the next window. So only the last window of a shard is padded.
 
 Defined results: null or empty text is the end id alone and is packed like any other document; a null doc_id is kept as
 null; repeated rows are packed each on its own (start counts within the row's own ids); an empty table gives no rows; ties

@@ -82,7 +82,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
     """log(trusted share / raw share) by bucket, over all documents. The result has ``buckets`` numbers, whatever the input."""
-    marked = docs.select("doc_id", "text").join(checked_broadcast(trusted_ids(labels).withColumn("trusted", F.lit(1))), "doc_id", "left")
+    # null ids are spread over salts, so that a shuffle join does not gather them
+    salt = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("text"), F.lit(1023))).otherwise(0)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), salt.cast("int").alias("k_salt"), "text")
+    good = trusted_ids(labels).select(F.col("doc_id").cast("long").alias("k_id"), F.lit(0).alias("k_salt"), F.lit(1).alias("trusted"))
+    marked = keyed.join(checked_broadcast(good), ["k_id", "k_salt"], "left")
     hashed = ngram_hashes(marked, "text").select(F.explode(F.concat("one", "two")).alias("h"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     grams = hashed.select(bucket_of(F.col("h"), buckets).alias("bucket"), "trusted")
     raw, good = [0] * buckets, [0] * buckets
