@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, packing, quality, sentencepieces, topk, url_filter, warc
+from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, middle, packing, quality, sentencepieces, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_exact_dedup": dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_fill_in_middle": middle.op11_fill_in_middle,
         "op12_exact_topk": topk.op12_exact_topk,
         "quality_base_counts": quality.base_counts,
         "url_rules": url_filter.url_rules,
@@ -28,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.SQL,
         "op8_jaccard_join": jaccard.SQL,
         "op9_exact_dedup": dedup.SQL,
+        "op11_fill_in_middle": middle.SQL,
         "op12_exact_topk": topk.SQL,
         "quality_base_counts": quality.SQL,
         "url_rules": url_filter.SQL,
