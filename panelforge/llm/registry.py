@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import dedup, grammar, hmm, html_extract, jaccard, middle, packing, quality, sentencepieces, topk, url_filter, warc
+from panelforge.llm import collocations, dedup, grammar, hmm, html_extract, jaccard, middle, packing, quality, sentencepieces, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_fill_in_middle": middle.op11_fill_in_middle,
         "op12_exact_topk": topk.op12_exact_topk,
+        "op13_collocations": collocations.op13_collocations,
         "quality_base_counts": quality.base_counts,
         "url_rules": url_filter.url_rules,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_exact_dedup": dedup.SQL,
         "op11_fill_in_middle": middle.SQL,
         "op12_exact_topk": topk.SQL,
+        "op13_collocations": collocations.SQL,
         "quality_base_counts": quality.SQL,
         "url_rules": url_filter.SQL,
     }
