@@ -326,18 +326,20 @@ with p as (
 ), g as (
   select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
   from (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) t(k))
-), f as (
+), f as materialized (
   select lang, k, phrase, count(*) as f from g group by all
 ), n as (
   select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang
-), c as (
+), c as materialized (
   select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k >= 2 and f >= 100
+), e as materialized (
+  select *, array_to_string(w[1:j], ' ') as one, array_to_string(w[j + 1:], ' ') as two from (select *, unnest(range(1, k)) as j from c)
 ), s as (
   select c.lang, c.phrase, c.a, j, l.f as l, r.f as r, n.n,
     cast((cast(1000 as hugeint) * c.a * n.n) // (cast(l.f as hugeint) * r.f) as bigint) as score
-  from (select *, unnest(range(1, k)) as j from c) c
-  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:j], ' ')
-  join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1:], ' ')
+  from e c
+  join f l on l.lang = c.lang and l.phrase = c.one
+  join f r on r.lang = c.lang and r.phrase = c.two
   join n on n.lang = c.lang
 ), b as (
   select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1
