@@ -40,7 +40,8 @@ LONGEST = 5
 AT_LEAST, TOP = 100, 2_000
 AUTOMATON = 150_000
 SLICE = 1 << 14
-BYTES_A_CELL, LEAST_BITS, MOST_BITS = 64, 14, 24
+BYTES_A_CELL, LEAST_BITS, MOST_BITS = 256, 14, 24
+TASK_BYTES_A_CELL = 16
 WINDOW = 1 << 20
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -185,6 +186,7 @@ def sketch(rows: DataFrame, lengths: tuple[int, ...], known: list[Bits], bits: i
     """The bits of a sketch over all texts. Tasks send slices of counts, owners add them; the driver receives bits only."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
     width = min(SLICE, 2 << bits)
+    kind = "<u1" if at_least < 256 else "<u4"
 
     def count(batches):
         total = np.zeros(2 << bits, np.uint32)
@@ -194,14 +196,14 @@ def sketch(rows: DataFrame, lengths: tuple[int, ...], known: list[Bits], bits: i
                     np.add.at(total, row, np.uint32(1))
         slices = [(i, part) for i, part in enumerate(total.reshape(-1, width)) if part.any()]
         for a in range(0, len(slices), 64):
-            coded = [zlib.compress(np.minimum(part, at_least).astype("<u4").tobytes(), 1) for _, part in slices[a : a + 64]]
+            coded = [zlib.compress(np.minimum(part, at_least).astype(kind).tobytes(), 1) for _, part in slices[a : a + 64]]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slices[a : a + 64]], pa.int32()), pa.array(coded, pa.binary())], ["slice", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, coded in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(coded), "<u4")
+                part = np.frombuffer(zlib.decompress(coded), kind)
                 total[i] = np.minimum(total.get(i, 0) + part.astype(np.int64), at_least).astype(np.uint32)
         bits_of = [np.packbits(x >= at_least, bitorder="little").tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits_of, pa.binary())], ["slice", "bits"])
@@ -278,6 +280,8 @@ def mine(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP) -> DataFrame
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_CELL).bit_length()))
+    # a task reads text in proportion to a sketch's cells, so that what tasks send grows with the input, not with its square
+    rows = rows.coalesce(max(1, -(-size // (TASK_BYTES_A_CELL << bits))))
     known: list[Bits] = []
     for lengths in ((1,), (2,), tuple(range(3, LONGEST + 1))):
         known.append(sketch(rows, lengths, known, bits, at_least))
