@@ -14,6 +14,7 @@ from panelforge.operators import memory as me
 from panelforge.operators import scoring as sc
 from panelforge.plans import compiler
 from panelforge.sources import panel as src
+from panelforge.streaming import attribution, coefficients, sink
 from panelforge.streaming import events as streaming
 
 SLICE = "rank(ADJUSTED_PRICE / ts_mean(ADJUSTED_PRICE, 20)) * -1"
@@ -525,6 +526,9 @@ def queries() -> dict:
         "rollup_sector_year": _rollup,
         "st_windows": streaming.windows,
         "st_sessions": streaming.sessions,
+        "st_interval_join": attribution.clicks_before_purchases,
+        "st_running_ic": coefficients.running_ic,
+        "st_keyed_sink": sink.users,
     }
     return out | {k: panel_query(v[0]) for k, v in FORMULAS.items()}
 
@@ -541,6 +545,9 @@ def oracle_sql() -> dict[str, str]:
         "io16_stream_equals_batch": streaming.HOURLY_SQL,
         "st_windows": streaming.WINDOWS_SQL,
         "st_sessions": streaming.SESSIONS_SQL,
+        "st_interval_join": attribution.SQL,
+        "st_running_ic": coefficients.SQL,
+        "st_keyed_sink": sink.SQL,
         "etl04_dates_with_values": panel_sql("x"),
         "etl05_winsorise": panel_sql(f"case when x is not null then least(greatest(x, quantile_cont(x, 0.01) over ({CS})), quantile_cont(x, 0.99) over ({CS})) end"),
         "etl06_standardise": panel_sql(zscore("y")),

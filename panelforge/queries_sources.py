@@ -9,6 +9,7 @@ from panelforge.functions import registry
 from panelforge.functions.tables import shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
+from panelforge.operators import segments
 from panelforge.plans import compiler
 from panelforge.queries import DIGEST, PANEL, digest, r6
 from panelforge.sources import loader
@@ -287,13 +288,28 @@ def _pruned(s: SparkSession, d: str) -> DataFrame:
 # relational building blocks
 
 
+def _asof_of(s: SparkSession, d: str, key) -> DataFrame:
+    orders = src.table(s, d, "orders").select(key("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"), "o_orderkey", F.col("o_totalprice").alias("last_price"))
+    shifted = src.table(s, d, "events").select("event_id", key("user_id").alias("k"), (F.col("ts").cast("timestamp_ntz") - F.expr("interval 25 years")).alias("t"))
+    return segments.asof_join(shifted, orders, ["k"], "t", "at", ties=[F.col("o_orderkey")]).select("event_id", "last_price")
+
+
 def _asof(s: SparkSession, d: str) -> DataFrame:
-    """Each event with the price of the last order at or before it, by a union and a carried value: one exchange, no range join."""
-    orders = src.table(s, d, "orders").select((F.col("o_custkey") % 7).alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("t"), F.col("o_orderkey").alias("tie"), F.col("o_totalprice").alias("price"), F.lit(None).cast("long").alias("event_id"))
-    shifted = src.table(s, d, "events").select((F.col("user_id") % 7).alias("k"), (F.col("ts").cast("timestamp_ntz") - F.expr("interval 25 years")).alias("t"), F.lit(2**62).alias("tie"), F.lit(None).cast("double").alias("price"), "event_id")
-    w = Window.partitionBy("k").orderBy("t", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    x = orders.unionByName(shifted).withColumn("last_price", F.last("price", ignorenulls=True).over(w)).where("event_id is not null")
-    return x.select("event_id", "last_price")
+    """Each event with the price of the last order at or before it, by a segmented scan: no range join, no window over a key."""
+    return _asof_of(s, d, lambda c: F.col(c) % 7)
+
+
+def _asof_hot(s: SparkSession, d: str) -> DataFrame:
+    """The same where one key has half of all rows on either side, and some keys have rows on one side only."""
+    return _asof_of(s, d, lambda c: F.when(F.col(c) % 2 == 0, 0).otherwise(F.col(c) % 1000))
+
+
+def _segmented_fill(s: SparkSession, d: str) -> DataFrame:
+    """The panel's forward fill over blocks of equal size, whatever the tickers' shares of the rows."""
+    day = src.daily(s, d)
+    grid = src.business_days(day).crossJoin(day.select("ticker").distinct())  # the rectangular panel itself
+    rows = grid.join(day.select("date", "ticker", F.col("volume").alias("v")), ["date", "ticker"], "left")
+    return digest(segments.fill_forward(rows, ["ticker"], ["date"], ["v"]))
 
 
 ASOF_SQL = "with o as (select o_custkey % 7 as k, o_orderdate as t, arg_max(o_totalprice, o_orderkey) as price from orders group by 1, 2) select e.event_id, o.price as last_price from (select event_id, user_id % 7 as k, ts - interval 25 years as t from events) e asof left join o on e.k = o.k and e.t >= o.t"
@@ -322,6 +338,8 @@ def _sets(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+HOT_SQL = ASOF_SQL.replace("o_custkey % 7", "case when o_custkey % 2 = 0 then 0 else o_custkey % 1000 end").replace("user_id % 7", "case when user_id % 2 = 0 then 0 else user_id % 1000 end")
+
 SETS_SQL = "with a as (select distinct l_suppkey, month(l_shipdate)::integer as m from lineitem where l_returnflag = 'R'), b as (select distinct l_suppkey, month(l_shipdate)::integer as m from lineitem where l_returnflag = 'A') " + " union all ".join(f"select '{op}' as op, m, count(*) as n from (select * from a {op} select * from b) group by m" for op in ("except", "intersect", "union"))
 
 
@@ -367,6 +385,8 @@ def queries() -> dict:
         "etl19_pivot_mean": _pivot_mean,
         "etl20_pruned_scan": _pruned,
         "rel_asof_join": _asof,
+        "rel_asof_hot": _asof_hot,
+        "etl11_segmented_fill": _segmented_fill,
         "rel_interval_join": _intervals,
         "rel_set_operations": _sets,
         "rel_cube": _cube,
@@ -398,6 +418,8 @@ def oracle_sql() -> dict[str, str]:
         "etl19_pivot_mean": "select date_trunc('month', o_orderdate)::date as date, c_mktsegment as ticker, round(avg(o_totalprice) + 1e-6, 4) as price from orders join customer on o_custkey = c_custkey group by 1, 2",
         "etl20_pruned_scan": "select unnest(['l_extendedprice', 'l_partkey', 'l_quantity', 'l_shipdate', 'p_partkey', 'p_size']) as column_name",
         "rel_asof_join": ASOF_SQL,
+        "rel_asof_hot": HOT_SQL,
+        "etl11_segmented_fill": f"{PANEL}, v as (select date, ticker, y as v from p) {DIGEST}",
         "rel_interval_join": INTERVALS_SQL,
         "rel_set_operations": SETS_SQL,
         "rel_cube": "select l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::bigint as level, count(*) as n, sum(l_quantity) as q from lineitem group by cube (l_returnflag, l_linestatus)",
