@@ -12,6 +12,7 @@ from panelforge.functions import formulas
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
 from panelforge.operators import scoring as sc
+from panelforge.operators import screening
 from panelforge.plans import compiler
 from panelforge.sources import panel as src
 from panelforge.streaming import attribution, coefficients, sink
@@ -239,6 +240,28 @@ METRICS_SQL = ALL + DD + SHARPE + HELD + MONO + """ select (select count(*) from
 round((select sharpe from dsh), 4) as sharpe, round((select deflated_sharpe from dsh), 4) as deflated_sharpe, round((select coalesce(avg(mono), 0.0) from mo), 4) as monotonicity,
 round((select avg(x) from (select avg(replaced) as x from tv group by side)), 4) as turnover, round((select min(drawdown) from dd), 4) as max_drawdown, round((select avg(port_ret) from per), 4) as Q5_Q1_return,
 (select case when sharpe <= 0 then 'high' when deflated_sharpe / sharpe < 0.5 then 'high' when deflated_sharpe / sharpe < 0.75 then 'medium' else 'low' end from dsh) as noise_risk"""
+#: Twenty formulas of four shapes, with the SQL of their per-ticker value and of their cross-section.
+SCREENED = {}
+for _n in (5, 10, 20, 40, 60):
+    _full = f"case when count(x) over {frame(_n)} = {_n} then {{}} / avg(x) over {frame(_n)} end"
+    SCREENED |= {
+        f"fall-{_n}": (f"rank(delta(ADJUSTED_PRICE, {_n})) * -1", f"x - lag(x, {_n}) over ({WT})", f"({pct_rank('u')}) * -1"),
+        f"below-{_n}": (f"rank(ADJUSTED_PRICE / ts_mean(ADJUSTED_PRICE, {_n})) * -1", _full.format("x"), f"({pct_rank('u')}) * -1"),
+        f"flow-{_n}": (f"delta(ADJUSTED_VOLUME, {_n})", f"y - lag(y, {_n}) over ({WT})", "u"),
+        f"yield-{_n}": (f"REVENUE_LTM / ts_mean(ADJUSTED_PRICE, {_n})", _full.format("rev"), "u"),
+    }
+
+
+def _screen(s: SparkSession, d: str) -> DataFrame:
+    """The metrics of twenty formulas by one plan. Falls beyond any sense, of portfolios that lost more than all, are not compared."""
+    found = screening.screen(src.panel_a(s, d), {name: formula for name, (formula, _, _) in SCREENED.items()})
+    return found.select("formula_id", "n_periods", *[F.col(c) + 0.0 if c != "max_drawdown" else F.when(F.abs(c) < 1e6, F.round(c, 2) + 0.0).alias(c) for c in screening.NAMES], "noise_risk").toDF("formula_id", "n_periods", *screening.NAMES, "noise_risk")
+
+
+SCREEN_SQL = " union all ".join(
+    f"select '{name}' as formula_id, n_periods, {', '.join(c + ' + 0.0 as ' + c if c != 'max_drawdown' else 'case when abs(max_drawdown) < 1e6 then round(max_drawdown, 2) + 0.0 end as max_drawdown' for c in screening.NAMES)}, noise_risk from ({METRICS_SQL.replace(ALL, signal_sql(u, raw) + PERIODS)})"
+    for name, (_, u, raw) in SCREENED.items()
+)
 REG = ", ix as (select date, cast(last_day(date) - cast(greatest(isodow(last_day(date)) - 5, 0) as integer) as date) as bme, round(avg(x), 4) as i, round(stddev_samp(x), 4) as v from p group by date having avg(x) is not null and stddev_samp(x) is not null), rg0 as (select bme as date, arg_max(i, date) as i, arg_max(v, date) as v from ix group by bme), reg as (select date, coalesce(i / lag(i, 12) over (order by date) - 1 > 0, false) as bull, v > (select quantile_cont(v, 0.75) from rg0) as high_vol, v < (select quantile_cont(v, 0.25) from rg0) as low_vol from rg0)"
 
 # experiments: metric rows made from part keys by whole-number arithmetic
@@ -485,6 +508,7 @@ def queries() -> dict:
         "bt08_bins": lambda s, d: bt.binned(Run(s, d).pairs).groupBy("date", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("ticker").alias("tickers"), F.max("k").cast("long").alias("k")),
         "bt09_bin_returns": lambda s, d: bt.bin_returns(Run(s, d).pairs).select("date", *r6("q1", "q2", "q3", "q4", "q5", "port_ret")),
         "bt12_metrics": _metrics,
+        "bt_screen": _screen,
         "bt15_drawdown": lambda s, d: bt.drawdown(Run(s, d).periods).select("date", F.signum("equity").alias("side"), F.ln(F.abs("equity")).alias("log_equity"), (F.col("drawdown") / (1 + F.abs("drawdown"))).alias("depth")).select("date", "side", *r6("log_equity", "depth")),
         "bt16_deflated_sharpe": lambda s, d: bt.deflated(Run(s, d).periods).select("n", *r6("sharpe", "deflated_sharpe", "skew", "kurt")),
         "bt17_turnover": lambda s, d: bt.turnover((r := Run(s, d)).pairs.join(r.periods.select("date"), "date", "left_semi")).select("date", "side", *r6("replaced")),
@@ -570,6 +594,7 @@ def oracle_sql() -> dict[str, str]:
         "bt08_bins": f"{ALL} select date, bin, count(*) as n, sum(ticker) as tickers, max(k) as k from b group by date, bin",
         "bt09_bin_returns": f"{ALL} select date, {r6_sql('q1', 'q2', 'q3', 'q4', 'q5')}, round([q1, q2, q3, q4, q5][k] - q1, 6) + 0.0 as port_ret from q",
         "bt12_metrics": METRICS_SQL,
+        "bt_screen": SCREEN_SQL,
         "bt15_drawdown": f"{ALL}{DD} select date, sign(equity)::double as side, round(ln(abs(equity)), 6) + 0.0 as log_equity, round(drawdown / (1 + abs(drawdown)), 6) + 0.0 as depth from dd",
         "bt16_deflated_sharpe": f"{ALL}{SHARPE} select n, {r6_sql('sharpe', 'deflated_sharpe', 'skew', 'kurt')} from dsh",
         "bt17_turnover": f"{ALL}{HELD} select date, side, {r6_sql('replaced')} from tv",

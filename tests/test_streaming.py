@@ -136,7 +136,7 @@ def test_a_stream_that_lost_its_commit_replays_without_effect(spark, events, tmp
     commits[-1].unlink()
     (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
     replayed = arrivals.run(sink.start(spark, source, events.schema, str(tmp_path), t))
-    assert [p["batchId"] for p in replayed if p["numInputRows"]] == [int(commits[-1].name)]
+    assert [p["batchId"] for p in replayed] == [int(commits[-1].name)]
     assert rows(t.read()) == before
     found = arrivals.arriving(events).where("slice < 3")
     assert sum(r[1] for r in before) == found.count()
