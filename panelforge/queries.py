@@ -253,13 +253,14 @@ for _n in (5, 10, 20, 40, 60):
 
 
 def _screen(s: SparkSession, d: str) -> DataFrame:
-    """The metrics of twenty formulas by one plan. Falls beyond any sense, of portfolios that lost more than all, are not compared."""
-    found = screening.screen(src.panel_a(s, d), {name: formula for name, (formula, _, _) in SCREENED.items()})
-    return found.select("formula_id", "n_periods", *[F.col(c) + 0.0 if c != "max_drawdown" else F.when(F.abs(c) < 1e6, F.round(c, 2) + 0.0).alias(c) for c in screening.NAMES], "noise_risk").toDF("formula_id", "n_periods", *screening.NAMES, "noise_risk")
+    """The metrics of twenty formulas by one plan. Drawdowns of portfolios that lost more than all hang on the last digits and are left out."""
+    found = screening.screen(src.panel_a(s, d), {name: formula for name, (formula, _, _) in SCREENED.items()}, digits=9)
+    shown = lambda c: F.when(F.abs(c) < (1.5 if c == "max_drawdown" else 1e6), F.round(F.col(c) + 1.3e-6, 4) + 0.0).alias(c)
+    return found.select("formula_id", "n_periods", *map(shown, screening.NAMES), "noise_risk")
 
 
 SCREEN_SQL = " union all ".join(
-    f"select '{name}' as formula_id, n_periods, {', '.join(c + ' + 0.0 as ' + c if c != 'max_drawdown' else 'case when abs(max_drawdown) < 1e6 then round(max_drawdown, 2) + 0.0 end as max_drawdown' for c in screening.NAMES)}, noise_risk from ({METRICS_SQL.replace(ALL, signal_sql(u, raw) + PERIODS)})"
+    f"select '{name}' as formula_id, n_periods, {', '.join(f'case when abs({c}) < {1.5 if c == "max_drawdown" else 1e6} then round({c} + 1.3e-6, 4) + 0.0 end as {c}' for c in screening.NAMES)}, noise_risk from ({METRICS_SQL.replace(ALL, signal_sql(u, raw) + PERIODS).replace(', 4) as ', ', 9) as ')})"
     for name, (_, u, raw) in SCREENED.items()
 )
 REG = ", ix as (select date, cast(last_day(date) - cast(greatest(isodow(last_day(date)) - 5, 0) as integer) as date) as bme, round(avg(x), 4) as i, round(stddev_samp(x), 4) as v from p group by date having avg(x) is not null and stddev_samp(x) is not null), rg0 as (select bme as date, arg_max(i, date) as i, arg_max(v, date) as v from ix group by bme), reg as (select date, coalesce(i / lag(i, 12) over (order by date) - 1 > 0, false) as bull, v > (select quantile_cont(v, 0.75) from rg0) as high_vol, v < (select quantile_cont(v, 0.25) from rg0) as low_vol from rg0)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import random
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from panelforge.functions.registry import OPERATORS
 from panelforge.functions.tables import shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
+from panelforge.operators import similarity
 from panelforge.queries import ALL, BINS, CALENDAR, CS, EXPERIMENTS, FORWARD, IC, PAIRS, PANEL, PER, WT, Run, experiments, r6, zscore
 from panelforge.sources import panel as src
 
@@ -468,6 +471,76 @@ k as (select "start", "end", (select count(*) from per join cal on cal.date = pe
 select *, n_periods < 3 as refused from k"""
 
 
+# many formulas against a store: shapes counted in SQL from the parameters that make the formulas
+
+JOIN_COLUMNS = ["CFO_LTM", "REVENUE_LTM", "ADJUSTED_PRICE", "ADJUSTED_VOLUME", "DA_LTM", "COGS_LTM"]
+JOIN_DAYS = [5, 10, 20, 60]
+#: Columns A and B and days N are filled in by a key.
+JOIN_SHAPES = ["rank(A / B)", "rank(ts_mean(A, N)) + rank(B)", "ts_zscore(A / B, N) - sign(B)", "rank(delta(A, N)) * sign(A / B)"]
+
+
+def _made(key: Column) -> tuple[Column, Column]:
+    """The formula and the declared features of a key."""
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i % len(names) + 1).cast("int"))
+    a, b, n = pick(JOIN_COLUMNS, key), pick(JOIN_COLUMNS, F.floor(key / 6)), pick(JOIN_DAYS, F.floor(key / 36)).cast("string")
+    text = pick(JOIN_SHAPES, F.floor(key / 7))
+    for mark, value in (("A", a), ("B", b), ("N", n)):
+        text = F.regexp_replace(text, F.lit(rf"\b{mark}\b"), value)
+    return text, F.when(key % 3 == 0, F.array(a)).otherwise(F.array_distinct(F.array(a, b)))
+
+
+def _joined(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers' formulas against those of all parts: the closest part of each."""
+    store_formula, store_features = _made(F.col("p_partkey"))
+    formula, features = _made(F.col("s_suppkey") * 37 + 11)
+    store = src.table(s, d, "part").select(F.col("p_partkey").alias("alpha_id"), store_formula.alias("formula"), store_features.alias("features"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("timestamp"))
+    asked = src.table(s, d, "supplier").select(F.col("s_suppkey").alias("candidate_id"), formula.alias("formula"), features.alias("features"))
+    return similarity.closest(asked, store)[0]
+
+
+def _elements_sql(template: str) -> str:
+    """A SQL list of the nodes and edges of a template, with columns a, b and n for its marks."""
+    out = []
+
+    def label(n: ast.AST) -> str:
+        if isinstance(n, ast.Name):
+            return {"A": "'n:' || a", "B": "'n:' || b", "N": "'c:' || n"}.get(n.id, f"'n:{n.id}'")
+        if isinstance(n, ast.Call):
+            return f"'f:{n.func.id}'"
+        return f"'{type(n).__name__}{type(n.op).__name__}'" if isinstance(n, ast.BinOp) else f"'{type(n).__name__}'"
+
+    def walk(n: ast.AST) -> None:
+        out.append(label(n))
+        mark = isinstance(n, ast.Name) and n.id == "N"  # a number: nothing below it
+        sides = [] if mark else [("ctx", n.ctx)] if isinstance(n, ast.Name) else [("func", n.func), *[("args", x) for x in n.args]] if isinstance(n, ast.Call) else []
+        if isinstance(n, ast.BinOp):
+            same = isinstance(n.op, (ast.Add, ast.Mult))
+            sides = [("side" if same else "left", n.left), ("op", n.op), ("side" if same else "right", n.right)]
+        for place, child in sides:
+            out.append(f"{label(n)} || '>{place}>' || {label(child)}")
+            walk(child)
+
+    walk(ast.parse(template, mode="eval").body)
+    return f"[{', '.join(out)}]"
+
+
+def _made_sql(table: str, key: str, name: str) -> str:
+    names = "[" + ", ".join(f"'{c}'" for c in JOIN_COLUMNS) + "]"
+    by_shape = lambda values: "case k // 7 % 4 " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+    text = lambda t: "'" + re.sub(r"\b([ABN])\b", lambda m: f"' || {m[1].lower()} || '", t) + "'"
+    return f"(select id, k, {by_shape(map(text, JOIN_SHAPES))} as text, case when k % 3 = 0 then [a] else list_distinct([a, b]) end as feats, list_distinct([a, b]) as cols, {by_shape(map(_elements_sql, JOIN_SHAPES))} as elements from (select {name} as id, k, {names}[k % 6 + 1] as a, {names}[k // 6 % 6 + 1] as b, cast({JOIN_DAYS}[k // 36 % 4 + 1] as varchar) as n from (select {name}, {key} as k from {table})))"
+
+
+_OVERLAP = "cast(len(list_intersect(c.{0}, r.{0})) as double) / len(list_distinct(list_concat(c.{0}, r.{0})))"
+JOINED_SQL = f"""with r as materialized {_made_sql('part', 'p_partkey', 'p_partkey')}, c as materialized {_made_sql('supplier', 's_suppkey * 37 + 11', 's_suppkey')},
+rc as (select id, e, count(*) as n from (select id, unnest(elements) as e from r) group by 1, 2), cc as (select id, e, count(*) as n from (select id, unnest(elements) as e from c) group by 1, 2),
+o as (select cc.id as cid, rc.id as rid, sum(least(cc.n, rc.n)) as shared from cc join rc using (e) group by 1, 2),
+s0 as (select cid, rid, c.text = r.text as exact, case when c.text = r.text then 1.0::double else cast(shared as double) / cast(len(c.elements) + len(r.elements) - shared as double) end as structural, {_OVERLAP.format('feats')} as f, {_OVERLAP.format('cols')} as col from o join c on c.id = cid join r on r.id = rid),
+s as (select *, 0.4::double * f + 0.4::double * structural + 0.2::double * col as combined from s0),
+t as (select cid, max(structural) as ms, round(max(combined), 9) as mc, bool_or(exact) as any_exact from s group by cid)
+select t.cid as candidate_id, not (any_exact or ms >= 0.95) as is_unique, any_exact as is_exact_duplicate, case when any_exact or ms >= 0.95 then (select min(rid) from s where s.cid = t.cid and structural = ms) else (select min(rid) from s where s.cid = t.cid and round(combined, 9) = mc) end as most_similar_id, round(mc, 4) as similarity_score, round(ms, 4) as structural_similarity from t"""
+
+
 def queries() -> dict:
     return {
         "va01_required_keys": _checked("missing", "valid"),
@@ -480,6 +553,7 @@ def queries() -> dict:
         "sm03_structural": _structural,
         "sm06_search": _search,
         "sm07_most_similar": _most_similar("SHARES_BASIC"),
+        "sm07_join": _joined,
         "sm08_duplicate": _most_similar("CFO_LTM"),
         "sc16_complexity": _complexity,
         "me01_rescored": _effective,
@@ -514,6 +588,7 @@ def oracle_sql() -> dict[str, str]:
         "sm03_structural": f"select p_partkey as alpha_id, round(case p_partkey % {len(PAIRS_BY_HAND)} " + " ".join(f"when {i} then {v}" for i, (_, _, v) in enumerate(PAIRS_BY_HAND)) + " end, 6) as similarity from part",
         "sm06_search": f"{found_sql('CFO_LTM')} select alpha_id, exact, round(structural, 6) + 0.0 as structural, round(column_similarity, 6) + 0.0 as column_similarity, round(feature_similarity, 6) + 0.0 as feature_similarity, round(combined, 6) + 0.0 as combined from s3",
         "sm07_most_similar": most_sql("SHARES_BASIC"),
+        "sm07_join": JOINED_SQL,
         "sm08_duplicate": most_sql("CFO_LTM"),
         "sc16_complexity": COMPLEXITY,
         "me01_rescored": f"{ex} select alpha_id, round(case when alpha_id % 3 <> 1 then predictive_magnitude when alpha_id % 6 <> 1 then score else 100 * (0.65 * magnitude + 0.2 * implementation + 0.1 * simplicity + 0.05 * 0.5) end, 6) + 0.0 as effective from e",
