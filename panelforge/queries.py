@@ -242,7 +242,7 @@ round((select avg(x) from (select avg(replaced) as x from tv group by side)), 4)
 (select case when sharpe <= 0 then 'high' when deflated_sharpe / sharpe < 0.5 then 'high' when deflated_sharpe / sharpe < 0.75 then 'medium' else 'low' end from dsh) as noise_risk"""
 #: Twenty formulas of four shapes, with the SQL of their per-ticker value and of their cross-section.
 SCREENED = {}
-for _n in (5, 10, 20, 40, 60):
+for _n in (20, 30, 40, 60, 90):
     _full = f"case when count(x) over {frame(_n)} = {_n} then {{}} / avg(x) over {frame(_n)} end"
     SCREENED |= {
         f"fall-{_n}": (f"rank(delta(ADJUSTED_PRICE, {_n})) * -1", f"x - lag(x, {_n}) over ({WT})", f"({pct_rank('u')}) * -1"),
