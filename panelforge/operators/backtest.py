@@ -240,3 +240,20 @@ def placebo(pairs: DataFrame, mean_ic: float | None = None, shuffles: int = 100,
     mean = ic(pairs).agg(F.abs(F.avg("ic")).alias("m")) if mean_ic is None else noise.sparkSession.range(1).select(F.lit(abs(mean_ic)).alias("m"))
     value = 1 - F.col("noise") / (F.col("m") + 1e-9)
     return noise.crossJoin(mean).select(F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("placebo_score"))  # one row each
+
+
+def placebo_exact(pairs: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
+    """``placebo`` with permutations that SQL can state: in shuffle s, a date's names are put in the order of the MD5 of
+    ``seed:s:date:ticker``, and the i-th of them lends its signal to the i-th name by ticker. No rows meet in Python."""
+    by = F.col("date")
+    place = F.row_number().over(Window.partitionBy("date").orderBy("ticker"))
+    ranks = pairs.select("date", "ticker", ns.average_rank(F.col("signal"), by).alias("x"), ns.average_rank(F.col("fwd"), by).alias("y"), place.alias("i"))
+    ranks = kept(ranks, shared_folder(pairs.sparkSession, "placebo"))
+    each = ranks.select("date", "ticker", "x", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("s"))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), F.date_format("date", "yyyy-MM-dd"), F.col("ticker").cast("string")))
+    moved = each.select("date", "s", "x", F.row_number().over(Window.partitionBy("date", "s").orderBy(mark, "ticker")).alias("i"))
+    shuffled = moved.join(ranks.select("date", "i", "y"), ["date", "i"]).groupBy("date", "s").agg(F.abs(ns.pearson(F.col("x"), F.col("y"))).alias("r"), F.count(F.lit(1)).alias("n"))
+    noise = shuffled.where(F.col("r").isNotNull() & (F.col("n") >= MIN_SHUFFLED)).groupBy("date").agg(F.avg("r").alias("r")).agg(F.avg("r").alias("noise"))
+    mean = ranks.groupBy("date").agg(ns.pearson(F.col("x"), F.col("y")).alias("ic")).where("ic is not null").agg(F.abs(F.avg("ic")).alias("m"))
+    value = 1 - F.col("noise") / (F.col("m") + 1e-9)
+    return noise.crossJoin(mean).select(F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("placebo_score"))  # one row each

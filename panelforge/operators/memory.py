@@ -196,16 +196,22 @@ def parents(records: DataFrame) -> DataFrame:
 
 
 def ancestors(edge: DataFrame, start: DataFrame) -> DataFrame:
-    """start (alpha_id) and all its ancestors. Each step follows only those found by the last, until there are no new ones;
-    lineages may be of any length, and an ancestor that many share is followed once."""
+    """start (alpha_id) and all its ancestors, by doubling: round k adds those 2^k generations above all that are found.
+
+    After it everyone less than 2^(k + 1) generations up is found, so rounds grow with the logarithm of a lineage's length. A
+    round that adds nobody is the last one, in loops too.
+    """
     at = shared_folder(edge.sparkSession, "lineage")
-    new = found = kept(start.select("alpha_id").distinct(), f"{at}/0")
-    step = 0
-    while new.limit(1).count():
+    jump = kept(edge.select(F.col("child").alias("alpha_id"), F.col("parent").alias("up")).distinct(), f"{at}/jump-0")
+    found = kept(start.select("alpha_id").distinct(), f"{at}/found-0")
+    step, before, now = 0, -1, found.count()
+    while now > before:
+        if step:
+            next_ = jump.select(F.col("alpha_id").alias("up"), F.col("up").alias("above"))
+            jump = kept(jump.join(next_, "up").select("alpha_id", F.col("above").alias("up")).distinct(), f"{at}/jump-{step}")
         step += 1
-        up = edge.join(new, edge.child == new.alpha_id).select(F.col("parent").alias("alpha_id")).distinct()
-        new = kept(up.join(found, "alpha_id", "left_anti"), f"{at}/{step}")
-        found = found.union(new)
+        found = kept(found.union(found.join(jump, "alpha_id").select("up")).distinct(), f"{at}/found-{step}")
+        before, now = now, found.count()
     return found
 
 

@@ -240,6 +240,17 @@ METRICS_SQL = ALL + DD + SHARPE + HELD + MONO + """ select (select count(*) from
 round((select sharpe from dsh), 4) as sharpe, round((select deflated_sharpe from dsh), 4) as deflated_sharpe, round((select coalesce(avg(mono), 0.0) from mo), 4) as monotonicity,
 round((select avg(x) from (select avg(replaced) as x from tv group by side)), 4) as turnover, round((select min(drawdown) from dd), 4) as max_drawdown, round((select avg(port_ret) from per), 4) as Q5_Q1_return,
 (select case when sharpe <= 0 then 'high' when deflated_sharpe / sharpe < 0.5 then 'high' when deflated_sharpe / sharpe < 0.75 then 'medium' else 'low' end from dsh) as noise_risk"""
+PLACEBO_SQL = (
+    SIGNAL
+    + CALENDAR
+    + FORWARD
+    + PAIRS
+    + f""", rk as materialized (select date, ticker, {ranks('date', 'signal')} as a, {ranks('date', 'fwd')} as b, row_number() over (partition by date order by ticker) as i from pairs),
+sh as (select rk.date, s, a, row_number() over (partition by date, s order by md5('42:' || s || ':' || strftime(date, '%Y-%m-%d') || ':' || ticker), ticker) as i from rk, range(1, 101) t(s)),
+nz as (select sh.date, s, abs({CORR.replace('(a', '(sh.a').replace('(b', '(rk.b').replace(', b)', ', rk.b)')}) as r from sh join rk on rk.date = sh.date and rk.i = sh.i group by sh.date, s having count(*) >= 5),
+ns as (select avg(r) as noise from (select date, avg(r) as r from nz where r is not null group by date)), mi as (select abs(avg(ic)) as m from (select date, {CORR} as ic from rk group by date))
+select round(coalesce(least(greatest(1 - noise / (m + 1e-9), 0.0), 1.0), 0.5), 6) + 0.0 as placebo_score from ns, mi"""
+)
 #: Twenty formulas of four shapes, with the SQL of their per-ticker value and of their cross-section.
 SCREENED = {}
 for _n in (20, 30, 40, 60, 90):
@@ -518,7 +529,7 @@ def queries() -> dict:
         "rb02_subperiod_stability": lambda s, d: bt.subperiod_stability(Run(s, d).periods).select(*r6("subperiod_stability")),
         "rb05_regimes": lambda s, d: bt.regimes(Run(s, d).index),
         "rb06_regime_sharpe": lambda s, d: bt.regime_sharpe((r := Run(s, d)).periods, bt.regimes(r.index)).select("regime", "n", *r6("sharpe")),
-        "rb07_placebo": lambda s, d: bt.placebo(Run(s, d).pairs).select(*r6("placebo_score")),
+        "rb07_placebo": lambda s, d: bt.placebo_exact(Run(s, d).pairs).select(*r6("placebo_score")),
         "sc03_performance": exp("performance"),
         "sc05_implementation": exp("implementation"),
         "sc04_turnover_score": lambda s, d: experiments(s, d).select("alpha_id", sc.turnover_score(F.col("turnover")).alias("turnover_score")).select("alpha_id", *r6("turnover_score")),
@@ -595,6 +606,7 @@ def oracle_sql() -> dict[str, str]:
         "bt08_bins": f"{ALL} select date, bin, count(*) as n, sum(ticker) as tickers, max(k) as k from b group by date, bin",
         "bt09_bin_returns": f"{ALL} select date, {r6_sql('q1', 'q2', 'q3', 'q4', 'q5')}, round([q1, q2, q3, q4, q5][k] - q1, 6) + 0.0 as port_ret from q",
         "bt12_metrics": METRICS_SQL,
+        "rb07_placebo": PLACEBO_SQL,
         "bt_screen": SCREEN_SQL,
         "bt15_drawdown": f"{ALL}{DD} select date, sign(equity)::double as side, round(ln(abs(equity)), 6) + 0.0 as log_equity, round(drawdown / (1 + abs(drawdown)), 6) + 0.0 as depth from dd",
         "bt16_deflated_sharpe": f"{ALL}{SHARPE} select n, {r6_sql('sharpe', 'deflated_sharpe', 'skew', 'kurt')} from dsh",

@@ -182,3 +182,32 @@ def test_names():
     assert src.sanitise("  Net Income/Starting Line (x)") == "NET_INCOME_STARTING_LINE_X"
     assert loader.cache_key("prices", "2021-01-01", "2022-01-01") == __import__("hashlib").sha256(b"prices|2021-01-01|2022-01-01").hexdigest()[:16]
     assert math.isclose(formulas.set_jaccard({1, 2}, {2, 3}), 1 / 3)
+
+
+def test_a_lineage_of_two_thousand_generations_takes_a_dozen_rounds(spark, monkeypatch):
+    rounds = []
+    keep = me.kept
+    monkeypatch.setattr(me, "kept", lambda df, at: (rounds.append(at), keep(df, at))[1])
+    edge = spark.range(1, 2001).selectExpr("cast(id as string) as child", "cast(id - 1 as string) as parent")
+    found = me.ancestors(edge, spark.createDataFrame([("2000",), ("7",), ("unknown",)], "alpha_id string"))
+    assert found.count() == 2002
+    assert sum("found" in at for at in rounds) <= 1 + 12
+
+
+def test_exact_placebo_equals_brute_force(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    rows = [(pd.Timestamp("2024-01-31") + pd.offsets.MonthEnd(m), t, "S", float(rng.integers(0, 9)), float(rng.normal())) for m in range(4) for t in range(4 if m == 3 else 25)]
+    df = pd.DataFrame(rows, columns=["date", "ticker", "sector", "signal", "fwd"])
+    pairs = spark.createDataFrame(df).withColumn("date", __import__("pyspark.sql.functions", fromlist=["x"]).to_date("date"))
+    noise, ics = [], []
+    for date, g in df.groupby("date"):
+        g = g.sort_values("ticker")
+        x, y = g["signal"].rank().to_numpy(), g["fwd"].rank().to_numpy()
+        ics.append(np.corrcoef(x, y)[0, 1])
+        if len(g) >= 5:
+            orders = [sorted(range(len(g)), key=lambda i: hashlib.md5(f"42:{s}:{date:%Y-%m-%d}:{g['ticker'].iloc[i]}".encode()).hexdigest()) for s in range(1, 21)]
+            noise.append(np.mean([abs(np.corrcoef(x[o], y)[0, 1]) for o in orders]))
+    want = min(1.0, max(0.0, 1 - np.mean(noise) / (abs(np.mean(ics)) + 1e-9)))
+    assert bt.placebo_exact(pairs.repartition(3), shuffles=20).first()[0] == pytest.approx(want, abs=1e-9)
