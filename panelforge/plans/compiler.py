@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from panelforge.functions import nullsafe as ns
 from panelforge.functions.registry import DATE, OPERATORS, TICKER, shift, ts_mean
 from panelforge.functions import registry as ops
+from panelforge.plans import blocks
 
 #: Formula columns that are legal (fixed values of the language): price, income statement, cash flow.
 RAW_COLUMNS = (
@@ -38,6 +39,7 @@ class Compiler:
         self.names = {c.upper(): c for c in df.columns}
         self.allow_lookahead = allow_lookahead
         self.memo: dict[str, tuple] = {}
+        self.windows = 0
         self.stages: list[dict[str, list]] = []
 
     def add(self, formula: str, name: str) -> None:
@@ -71,10 +73,17 @@ class Compiler:
         return self.memo[key]
 
     def windowed(self, keyed: str, value, after: int, extra=None) -> tuple:
-        name = f"_w{len(self.memo)}_{after}"
+        self.windows += 1
+        name = f"_w{self.windows}_{after}"
         self.stage(after)[keyed].append((name, value) if extra is None else (name, value, extra))
         return F.col(name), after + 1
 
+    def row_number(self) -> tuple:
+        """A ticker's rows from 0 on, in the order of their dates."""
+        if "row number" not in self.memo:
+            self.memo["row number"] = self.windowed("ticker", F.row_number().over(ops.wt()) - 1, 0)
+        return self.memo["row number"]
+
     def build(self, n: ast.AST) -> tuple:
         if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)) and not isinstance(n.value, bool):
             return n.value, 0
@@ -160,6 +169,11 @@ class Compiler:
             return self.windowed("fold", values[0], after, (op.fn, int(values[1])))
         if op.keyed == "ticker" and not isinstance(values[-1], int):
             raise FormulaError(f"{name} takes a whole number of days")
+        if op.keyed == "ticker" and values[-1] >= blocks.LEAST and any(isinstance(v, Column) for v in values):
+            if name == "ts_rank":
+                return self.windowed("fold", values[0], after, (blocks.fold_rank, values[-1]))
+            if name in blocks.NAMES:
+                return blocks.build(self, name, values[:-1], values[-1], after)
         if name == "ts_shift":
             return self.windowed("ticker", shift(values[0], values[1], self.allow_lookahead), after)
         return self.windowed(op.keyed, op.fn(*values), after)

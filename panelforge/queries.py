@@ -155,6 +155,23 @@ FORMULAS: dict[str, tuple] = {
 
 
 
+#: The same operators over a trading year, by blocks.
+YEAR = 252
+LONG_LISTS = LISTS.replace(frame(10), frame(YEAR))
+FORMULAS |= {
+    "ts04_year_mean": (f"ts_mean({P}, {YEAR})", full("avg(x)", YEAR)),
+    "ts05_year_std": (f"ts_std({P}, {YEAR})", full("stddev_samp(x)", YEAR)),
+    "ts06_year_max": (f"ts_max({P}, {YEAR})", full("max(x)", YEAR)),
+    "ts07_year_min": (f"ts_min({P}, {YEAR})", full("min(x)", YEAR)),
+    "ts08_year_sum": (f"ts_sum({P}, {YEAR})", full("sum(x)", YEAR)),
+    "ts09_year_rank": (f"ts_rank({P}, {YEAR})", f"case when k = {YEAR} then (len(list_filter(l, lambda e: e < x)) + (len(list_filter(l, lambda e: e = x)) + 1) / 2.0) / {YEAR} end", LONG_LISTS, "q"),
+    "ts10_year_argmax": (f"ts_argmax({P}, {YEAR})", f"case when k = {YEAR} then cast(list_position(l, list_max(l)) - 1 as double) end", LONG_LISTS, "q"),
+    "ts11_year_argmin": (f"ts_argmin({P}, {YEAR})", f"case when k = {YEAR} then cast(list_position(l, list_min(l)) - 1 as double) end", LONG_LISTS, "q"),
+    "ts12_year_corr": (f"ts_corr({P}, {V}, {YEAR})", f"case when count(x) over {frame(YEAR)} = {YEAR} and stddev_samp(x) over {frame(YEAR)} > 0 and stddev_samp(y) over {frame(YEAR)} > 0 then covar_samp(x, y) over {frame(YEAR)} / (stddev_samp(x) over {frame(YEAR)} * stddev_samp(y) over {frame(YEAR)}) end"),
+    "ts14_quarter_decay": (f"decay_linear({P}, 60)", decay(60)),
+}
+
+
 def signal_sql(u: str, raw: str) -> str:
     """The signal of a formula: u by ticker from the panel, then its cross-section, winsorised and standardised."""
     return (
