@@ -1,8 +1,9 @@
 """WARC (6): a Python data source that reads and writes WARC archives.
 
 Writing: one gzip member a record, with the ``sl`` extra field (compressed and plain length), so that a reader can step
-over a record without inflating it. Every task writes files of its own name; the commit writes a manifest, and readers
-trust only files in it, so tasks that were lost or ran twice leave no records. Reading: one partition for each file of
+over a record without inflating it. Every task writes files of its own name; each commit writes a manifest of its own, and
+readers trust only files in the manifests, so tasks that were lost or ran twice leave no records and a later write adds to
+the earlier ones (mode "overwrite" replaces them once its own manifest is there). Reading: one partition for each file of
 the manifest (small files share one); record-type and header filters are pushed down and tested on the header block
 alone, before a payload is inflated.
 
@@ -31,6 +32,7 @@ from panelforge.llm.common import Scratch, checked_broadcast, salt_of, ship
 
 FILE_BYTES = 64 << 20
 LEVEL = 4
+MANIFEST = "_manifest-"
 MIN_DEDUP_BYTES = 0
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,7 +60,10 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool) -> bytes:
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(None if revisit else page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        head.append("WARC-Target-URI: " + uri)
+        if uri != url:
+            head.append("X-Given-URL: " + json.dumps(url))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
@@ -75,6 +80,18 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
     return b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, n, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def manifests(fs, root: str) -> list[str]:
+    from pyarrow.fs import FileSelector
+
+    return sorted(f.path for f in fs.get_file_info(FileSelector(root)) if f.base_name.startswith(MANIFEST))
+
+
+def named(fs, manifest: str) -> list:
+    """The [name, bytes] pairs of a manifest."""
+    with fs.open_input_stream(manifest, compression=None) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list
@@ -86,8 +103,8 @@ class Files(InputPartition):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator) -> Written:
         fs, root = filesystem(self.path)
@@ -114,8 +131,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json", compression=None) as out:
+        before = manifests(fs, root) if self.overwrite else []
+        name = f"{MANIFEST}{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/.{name}", compression=None) as out:
             out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        fs.move(f"{root}/.{name}", f"{root}/{name}")
+        for old in before:
+            files = named(fs, old)
+            fs.delete_file(old)
+            for gone, _ in files:
+                fs.delete_file(f"{root}/{gone}")
 
     def abort(self, messages) -> None:
         fs, root = filesystem(self.path)
@@ -156,8 +181,6 @@ def records(stream, wanted):
                 extra = extra[4 + k :]
         z = zlib.decompressobj(31)
         data, fed = b"", 0
-        if length:
-            fill(length)
         while b"\r\n\r\n" not in data and not z.eof:
             piece = z.unconsumed_tail or buffer[at + fed : at + (min(fed + 65536, length) if length else fed + 65536)]
             if not z.unconsumed_tail:
@@ -189,7 +212,19 @@ def records(stream, wanted):
                 yield header, b"".join(parts)[: int(header["content-length"])]
             at += fed - len(z.unused_data)
         else:
-            at += length
+            ahead = at + length - len(buffer)
+            if ahead > 0 and stream.seekable():
+                stream.seek(base + at + length)
+                base, buffer, at = base + at + length, b"", 0
+            elif not fill(length):
+                raise ValueError("a record is cut short")
+            else:
+                at += length
+
+
+def url_of(header: dict) -> str | None:
+    """The url as it was given: a WARC field cannot hold white space."""
+    return json.loads(header["x-given-url"]) if "x-given-url" in header else header.get("warc-target-uri")
 
 
 class WarcReader(DataSourceReader):
@@ -211,8 +246,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json", compression=None) as f:
-            files = json.loads(f.read())
+        files = [f for m in manifests(fs, root) for f in named(fs, m)]
         packed, size = [], FILE_BYTES
         for name, n in sorted(files, key=lambda x: -x[1]):
             if size + n > FILE_BYTES // 8:
@@ -224,7 +258,7 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, header) -> bool:
         for name, values in self.tests:
-            got = header.get(name)
+            got = url_of(header) if name == "warc-target-uri" else header.get(name)
             if name == "warc-payload-digest" and got:
                 got = got.removeprefix("sha1:")
             if got is None or values is not None and got not in values:
@@ -236,7 +270,7 @@ class WarcReader(DataSourceReader):
         rows: list = []
         size = 0
         for name in partition.files:
-            with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+            with fs.open_input_file(f"{root}/{name}") as stream:
                 for header, block in records(stream, self.wanted):
                     rows.append(self.row(header, block))
                     size += len(block)
@@ -253,7 +287,7 @@ class WarcReader(DataSourceReader):
         digest, n = header.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-payload-length")
         if payload is not None and self.payload != "skip":
             digest, n = sha1_base32(payload), len(payload)
-        return (number("x-page-id"), header.get("warc-target-uri"), header["warc-type"], number("x-refers-to"), digest, n, payload if self.payload == "full" else None)
+        return (number("x-page-id"), url_of(header), header["warc-type"], number("x-refers-to"), digest, n, payload if self.payload == "full" else None)
 
 
 def batch_of(rows: list) -> pa.RecordBatch:
@@ -276,7 +310,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
