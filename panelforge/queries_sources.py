@@ -9,7 +9,7 @@ from panelforge.functions import registry
 from panelforge.functions.tables import shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
-from panelforge.operators import segments
+from panelforge.operators import segments, sketches
 from panelforge.plans import compiler
 from panelforge.queries import DIGEST, PANEL, digest, r6
 from panelforge.sources import loader
@@ -353,6 +353,27 @@ def _approximate(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_type", F.col("b").alias("users"), (F.abs(F.col("a") - F.col("b")) <= 0.08 * F.col("b") + 1).alias("distinct_ok"), ((F.col("m") >= F.col("lo")) & (F.col("m") <= F.col("hi"))).alias("median_ok"))
 
 
+def _kept_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Months from daily sketches, without the rows: counts, and whether distinct suppliers and the median lie within the stated errors."""
+    line = src.table(s, d, "lineitem")
+    kept_days = sketches.Sketches(s, shared_folder(s, "sketches"), ["l_returnflag"])
+    kept_days.put(sketches.daily(line, F.col("l_shipdate"), ["l_returnflag"], "l_suppkey", "l_extendedprice"))
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    found = kept_days.merged(month("day"))
+    rows = line.select(month("l_shipdate").alias("span"), "l_suppkey", "l_extendedprice")
+    x = rows.join(F.broadcast(found), "span")  # one row a month
+    exact = x.groupBy("span").agg(
+        F.max("n").alias("n"),
+        F.count_distinct("l_suppkey").alias("suppliers"),
+        F.max("distinct_values").alias("_e"),
+        (F.count_if(F.col("l_extendedprice") < F.col("`at_0.5`")) / F.count(F.lit(1))).alias("_below"),
+        (F.count_if(F.col("l_extendedprice") <= F.col("`at_0.5`")) / F.count(F.lit(1))).alias("_upto"),
+    )
+    near = F.abs(F.col("_e") - F.col("suppliers")) <= sketches.DISTINCT_ERROR * F.col("suppliers") + 1
+    middle = (F.col("_below") <= 0.5 + 2 * sketches.RANK_ERROR) & (F.col("_upto") >= 0.5 - 2 * sketches.RANK_ERROR)
+    return exact.select("span", "n", "suppliers", near.alias("distinct_ok"), middle.alias("median_ok"))
+
+
 def _custom(s: SparkSession, d: str) -> DataFrame:
     """An operator that a user adds, in a formula beside the built-in ones."""
     registry.register("spread", "date", 1, lambda x: x - F.avg(x).over(registry.cs()))
@@ -391,6 +412,7 @@ def queries() -> dict:
         "rel_set_operations": _sets,
         "rel_cube": _cube,
         "rel_approximate": _approximate,
+        "rel_kept_sketches": _kept_sketches,
         "reg_custom_operator": _custom,
     }
 
@@ -424,5 +446,6 @@ def oracle_sql() -> dict[str, str]:
         "rel_set_operations": SETS_SQL,
         "rel_cube": "select l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::bigint as level, count(*) as n, sum(l_quantity) as q from lineitem group by cube (l_returnflag, l_linestatus)",
         "rel_approximate": "select event_type, count(distinct user_id) as users, true as distinct_ok, true as median_ok from events group by 1",
+        "rel_kept_sketches": "select strftime(l_shipdate, '%Y-%m') as span, count(*) as n, count(distinct l_suppkey) as suppliers, true as distinct_ok, true as median_ok from lineitem group by 1",
         "reg_custom_operator": f"{PANEL}, v as (select date, ticker, (y - avg(y) over (partition by date)) * 2 as v from p) {DIGEST}",
     }
