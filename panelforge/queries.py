@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import formulas
+from panelforge.functions.tables import kept, shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
 from panelforge.operators import scoring as sc
@@ -244,6 +245,12 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
     return bt.metrics(Run(s, d).pairs)
 
 
+def _turnover(s: SparkSession, d: str) -> DataFrame:
+    rows = kept(bt.ranked(Run(s, d).pairs).select("date", "ticker", "fwd", "bin", "k", "rank_signal", "rank_fwd"), shared_folder(s, "turnover"))
+    valid = rows.join(F.broadcast(bt.periods_of(rows).select("date")), "date", "left_semi")  # one row a month
+    return bt.turnover_of(valid).select("date", "side", *r6("replaced"))
+
+
 def _strict(s: SparkSession, d: str) -> DataFrame:
     """One sector has no prices, and no signal in odd years: strict periods are those of even years, others keep the priced names."""
     r = Run(s, d)
@@ -540,7 +547,7 @@ def queries() -> dict:
         "bt_screen": _screen,
         "bt15_drawdown": lambda s, d: bt.drawdown(Run(s, d).periods).select("date", F.signum("equity").alias("side"), F.ln(F.abs("equity")).alias("log_equity"), (F.col("drawdown") / (1 + F.abs("drawdown"))).alias("depth")).select("date", "side", *r6("log_equity", "depth")),
         "bt16_deflated_sharpe": lambda s, d: bt.deflated(Run(s, d).periods).select("n", *r6("sharpe", "deflated_sharpe", "skew", "kurt")),
-        "bt17_turnover": lambda s, d: bt.turnover((r := Run(s, d)).pairs.join(r.periods.select("date"), "date", "left_semi")).select("date", "side", *r6("replaced")),
+        "bt17_turnover": _turnover,
         "bt18_monotonicity": lambda s, d: bt.monotonicity(Run(s, d).periods).select("date", *r6("mono")),
         "rb01_sector_stability": lambda s, d: bt.sector_ic(Run(s, d).pairs).groupBy("sector").agg(F.round(F.avg("ic"), 4).alias("ic")),
         "rb02_subperiod_stability": lambda s, d: bt.subperiod_stability(Run(s, d).periods).select(*r6("subperiod_stability")),
