@@ -17,8 +17,9 @@ from panelforge.functions.tables import shared_folder
 from panelforge.streaming import arrivals
 
 DELAY_HOURS, LEAST = 3, 3
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SCHEMA = "hour timestamp, kind string, n long, ic double"
+SCHEMA = "hour_ms long, kind string, n long, ic double"
 
 
 def rank_correlation(x: np.ndarray, y: np.ndarray, least: int = LEAST) -> float | None:
@@ -32,7 +33,7 @@ def rank_correlation(x: np.ndarray, y: np.ndarray, least: int = LEAST) -> float
 
 
 class HourlyCoefficient(StatefulProcessor):
-    """Keyed by (hour, kind)."""
+    """Keyed by (start of the hour in milliseconds, kind)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,10 +47,10 @@ class HourlyCoefficient(StatefulProcessor):
             y += pdf["y"].tolist()
         seen = self.count.get()[0] if self.count.exists() else 0
         if not seen:
-            self.handle.registerTimer(int((pd.Timestamp(key[0]).timestamp() + 3600) * 1000))
+            self.handle.registerTimer(int(key[0]) + 3_600_000)
         self.pairs.appendValue((x, y))
         self.count.update((seen + len(x),))
-        yield pd.DataFrame({"hour": pd.Series([], dtype="datetime64[ns]"), "kind": pd.Series([], dtype=str), "n": pd.Series([], dtype="int64"), "ic": pd.Series([], dtype="float64")})
+        yield pd.DataFrame({"hour_ms": pd.Series([], dtype="int64"), "kind": pd.Series([], dtype=str), "n": pd.Series([], dtype="int64"), "ic": pd.Series([], dtype="float64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         x, y = [], []
@@ -59,7 +60,7 @@ class HourlyCoefficient(StatefulProcessor):
         n = self.count.get()[0]
         self.pairs.clear()
         self.count.clear()
-        yield pd.DataFrame({"hour": [key[0]], "kind": [key[1]], "n": [n], "ic": [rank_correlation(np.array(x), np.array(y))]}).astype({"ic": "float64"})
+        yield pd.DataFrame({"hour_ms": [int(key[0])], "kind": [key[1]], "n": [n], "ic": [rank_correlation(np.array(x), np.array(y))]}).astype({"ic": "float64"})
 
     def close(self) -> None:
         pass
@@ -67,15 +68,18 @@ class HourlyCoefficient(StatefulProcessor):
 
 def start(spark: SparkSession, source: str, schema, at: str, delay_hours: int = DELAY_HOURS):
     """The running job over a folder of arrivals; closed hours go to ``at/out``, an epoch a folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, PROVIDER)  # a started query keeps the settings of its start
     events = arrivals.stream(spark, source, schema).withWatermark("ts", f"{delay_hours} hours")
-    rows = events.select("ts", F.date_trunc("hour", "ts").alias("hour"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y")).where("x is not null and y is not null")
-    found = rows.groupBy("hour", "kind").transformWithStateInPandas(statefulProcessor=HourlyCoefficient(), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")
+    rows = events.select("ts", F.unix_millis(F.date_trunc("hour", "ts")).alias("hour_ms"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y")).where("x is not null and y is not null")
+    found = rows.groupBy("hour_ms", "kind").transformWithStateInPandas(statefulProcessor=HourlyCoefficient(), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        batch.withColumn("hour", F.timestamp_millis("hour_ms")).drop("hour_ms").write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
-    return found.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query = found.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    return query
 
 
 def running_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
