@@ -11,7 +11,7 @@ others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import nullsafe as ns
@@ -69,7 +69,7 @@ def pairs(signal: DataFrame, bins: int = bt.BINS) -> DataFrame:
     both = both.withColumn("bin", 1 + F.size(F.filter("_cuts", lambda c: c < F.col("signal")))).withColumn("k", F.size("_cuts") + 1)
     by = [F.col(KEY), F.col("date")]
     ranks = {"rank_signal": ns.average_rank(F.col("signal"), *by), "rank_fwd": ns.average_rank(F.col("fwd"), *by)}
-    return both.withColumns(ranks).select(KEY, "date", "ticker", "fwd", "bin", "k", *ranks)
+    return both.withColumns(ranks).select(KEY, "date", "ticker", "sector", "fwd", "bin", "k", *ranks)
 
 
 def periods(rows: DataFrame, bins: int = bt.BINS) -> DataFrame:
@@ -123,21 +123,26 @@ def summary(per: DataFrame, bins: int = bt.BINS) -> DataFrame:
     return a.withColumn("deflated_sharpe", deflated).drop("_skew", "_kurt")
 
 
-def screen(panel: DataFrame, formulas: dict[str, str], prices: DataFrame | None = None, dates: DataFrame | None = None, digits: int = 4) -> DataFrame:
-    """formula_id, status (ok, few periods, invalid), reason, n_periods, the metrics and noise_risk: a row for each formula."""
-    spark = panel.sparkSession
+def tables(panel: DataFrame, formulas: dict[str, str], prices: DataFrame | None = None, dates: DataFrame | None = None) -> tuple[list[str], dict[str, str], DataFrame | None, DataFrame | None]:
+    """The formulas that compile, why the others do not, and the written pairs and periods of the former; None if none compiles."""
     prices, dates = panel if prices is None else prices, bt.calendar(panel) if dates is None else dates
     good, bad = compiled(panel, formulas)
-    out = spark.createDataFrame([(n, "invalid", why) for n, why in bad.items()], f"{KEY} string, status string, reason string")
     rows = None
     for a in range(0, len(good), AT_ONCE):
         some = pairs(signals(values_at(panel, {n: formulas[n] for n in good[a : a + AT_ONCE]}, dates, prices)))
         rows = some if rows is None else rows.unionByName(some)
     if rows is None:
-        return out.select(KEY, "status", "reason", F.lit(None).cast("long").alias("n_periods"), *[F.lit(None).cast("double").alias(c) for c in NAMES], F.lit(None).cast("string").alias("noise_risk"))
-    at = shared_folder(spark, "screening")
+        return good, bad, None, None
+    at = shared_folder(panel.sparkSession, "screening")
     rows = kept(rows, f"{at}/pairs")
-    per = kept(periods(rows), f"{at}/periods")
+    return good, bad, rows, kept(periods(rows), f"{at}/periods")
+
+
+def measured(spark: SparkSession, good: list[str], bad: dict[str, str], rows: DataFrame | None, per: DataFrame | None, digits: int = 4) -> DataFrame:
+    """The metric rows of what ``tables`` gives."""
+    out = spark.createDataFrame([(n, "invalid", why) for n, why in bad.items()], f"{KEY} string, status string, reason string")
+    if rows is None:
+        return out.select(KEY, "status", "reason", F.lit(None).cast("long").alias("n_periods"), *[F.lit(None).cast("double").alias(c) for c in NAMES], F.lit(None).cast("string").alias("noise_risk"))
     asked = spark.createDataFrame([(n,) for n in good], f"{KEY} string")
     found = asked.join(summary(per), KEY, "left").join(replaced(rows, per), KEY, "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0)))
     enough = F.col("n_periods") >= bt.MIN_PERIODS
@@ -146,3 +151,8 @@ def screen(panel: DataFrame, formulas: dict[str, str], prices: DataFrame | None
     risk: Column = F.when(enough, bt.noise_risk(F.col("sharpe"), F.col("deflated_sharpe")))
     found = found.select(KEY, F.when(enough, "ok").otherwise("few periods").alias("status"), reason.alias("reason"), "n_periods", *[value(c) for c in NAMES], risk.alias("noise_risk"))
     return found.unionByName(out, allowMissingColumns=True)
+
+
+def screen(panel: DataFrame, formulas: dict[str, str], prices: DataFrame | None = None, dates: DataFrame | None = None, digits: int = 4) -> DataFrame:
+    """formula_id, status (ok, few periods, invalid), reason, n_periods, the metrics and noise_risk: a row for each formula."""
+    return measured(panel.sparkSession, *tables(panel, formulas, prices, dates), digits)
