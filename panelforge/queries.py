@@ -13,7 +13,7 @@ from panelforge.functions.tables import kept, shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
 from panelforge.operators import scoring as sc
-from panelforge.operators import screening
+from panelforge.operators import experiment, screening
 from panelforge.plans import compiler
 from panelforge.sources import panel as src
 from panelforge.streaming import attribution, coefficients, sink
@@ -368,6 +368,52 @@ ed as (select p.alpha_id as parent, c.alpha_id as child from e c join e p on c.p
 elig as (select * from cat where (verdict in ('promising', 'revise') and predictive_magnitude >= 35) or (direction_status = 'contradicted' and not fatal and predictive_magnitude >= 50 and stable))"""
 
 
+#: Experiments of the lifecycle query: id, formula, and its complexity counted by hand; null where it does not run.
+LIFECYCLE = [
+    ("fall", SCREENED["fall-20"][0], 6), ("flow", SCREENED["flow-30"][0], 3), ("yield", SCREENED["yield-60"][0], 5), ("turned", "rank(delta(ADJUSTED_PRICE, 20))", None),
+    ("same", SCREENED["flow-30"][0], None), ("stored", f"-1 * ({SCREENED['yield-40'][0]})", None), ("open", "rank(ADJUSTED_PRICE", None), ("odd", "rank(NO_COLUMN)", None),
+]
+
+
+def _lifecycle(s: SparkSession, d: str) -> DataFrame:
+    """A batch of configurations against a store with one record: how far each came, and the scores of those that ran.
+
+    Novelty, and with it the total, is not shown: the similarity to the one record is the same on all tables.
+    """
+    names = "alpha_id string, formula string, timestamp string, start_date string, end_date string, universe string"
+    configs = s.createDataFrame([(n, f, f"t{i}", "1990-01-01", "2009-12-31", "sp500") for i, (n, f, _) in enumerate(LIFECYCLE)], names)
+    store = s.createDataFrame([("record", SCREENED["yield-40"][0], [], "t")], experiment.RECORD_SCHEMA)
+    r = Run(s, d)
+    found = experiment.run(configs, store, r.panel, reg=bt.regimes(r.index), shuffles=2)
+    sectors = F.aggregate(F.map_values("sector_ic"), F.lit(0.0), lambda a, v: a + v)
+    shown = r6("IC_mean", "performance", "implementation", "simplicity", "subperiod_stability")
+    known = F.when(F.col("status") == "completed", F.round(sectors + 1.3e-6, 4) + 0.0).alias("sectors")
+    return found.select("alpha_id", "status", "most_similar_id", "n_periods", *shown, known, F.round(F.col("regime_sharpe")["bull"] + 1.3e-6, 4).alias("bull"), "direction_status", "fatal")
+
+
+def _lifecycle_sql() -> str:
+    out = []
+    for (name, _, complexity), key in zip(LIFECYCLE[:3], ("fall-20", "flow-30", "yield-60"), strict=True):
+        u, raw = SCREENED[key][1:]
+        base = signal_sql(u, raw) + PERIODS
+        m = METRICS_SQL.replace(ALL, base)
+        sub = f"{base}, i as (select ic, row_number() over (order by date) as i, count(*) over () as n from per), h as (select avg(ic) filter (i <= n // 2) as a, avg(ic) filter (i > n // 2) as b, max(n) as n from i) select case when n < 4 then 0.5 else least(greatest(1 - abs(a - b) / (abs(a) + abs(b) + 1e-9), 0.0), 1.0) end as x from h"
+        sec = f"{base}, k as (select *, count(*) over (partition by date, sector) as m from pairs), si as (select date, sector, {CORR} as ic from (select date, sector, {ranks('date, sector', 'signal')} as a, {ranks('date, sector', 'fwd')} as b from k where m >= 5) group by date, sector) select sum(ic) as x from (select avg(ic) as ic from si where ic is not null group by sector)"
+        bull = f"{base}{REG} select case when count(*) >= 3 then avg(port_ret) / (stddev_samp(port_ret) + 1e-9) * sqrt(12.0) end as x from per join reg on reg.date = per.date where bull"
+        dead = "(abs(IC_mean) < 0.005 and abs(Sharpe) < 0.1)"
+        out.append(
+            f"""select '{name}' as alpha_id, 'completed' as status, 'record' as most_similar_id, n_periods, {r6_sql('IC_mean')}, round({_perf('{}')}, 6) + 0.0 as performance,
+round(0.5 * ({_TURN}) + 0.5 * ({_ramp2('max_drawdown', -0.4, -0.25, -0.1)}), 6) + 0.0 as implementation, round(1 - {_ramp(str(complexity), 4, 20)}, 6) + 0.0 as simplicity,
+round(case when {dead} then 0.0 else (select x from ({sub})) end, 6) + 0.0 as subperiod_stability, round(case when {dead} then 0.0 else (select x from ({sec})) end + 1.3e-6, 4) + 0.0 as sectors,
+case when {dead} then null else round((select x from ({bull})) + 1.3e-6, 4) + 0.0 end as bull,
+case when {dead} then 'uncertain' when IC_mean > 0 and Sharpe > 0 then 'supported' when IC_mean < 0 and Sharpe < 0 then 'contradicted' else 'uncertain' end as direction_status, {dead} or max_drawdown <= -0.4 as fatal from ({m})"""
+        )
+    none = "null, null, null, null, null, null, null, null, null, null"
+    for name, status, other in (("turned", "duplicate", "'fall'"), ("same", "duplicate", "'flow'"), ("stored", "duplicate", "'record'"), ("open", "validation_failed", "null"), ("odd", "validation_failed", "null")):
+        out.append(f"select '{name}', '{status}', {other}, {none}")
+    return " union all ".join(out)
+
+
 def exp(*columns: str):
     return lambda s, d: experiments(s, d).select("alpha_id", *r6(*columns))
 
@@ -545,6 +591,7 @@ def queries() -> dict:
         "bt09_bin_returns": lambda s, d: bt.bin_returns(Run(s, d).pairs).select("date", *r6("q1", "q2", "q3", "q4", "q5", "port_ret")),
         "bt12_metrics": _metrics,
         "bt_screen": _screen,
+        "experiment_batch": _lifecycle,
         "bt15_drawdown": lambda s, d: bt.drawdown(Run(s, d).periods).select("date", F.signum("equity").alias("side"), F.ln(F.abs("equity")).alias("log_equity"), (F.col("drawdown") / (1 + F.abs("drawdown"))).alias("depth")).select("date", "side", *r6("log_equity", "depth")),
         "bt16_deflated_sharpe": lambda s, d: bt.deflated(Run(s, d).periods).select("n", *r6("sharpe", "deflated_sharpe", "skew", "kurt")),
         "bt17_turnover": _turnover,
@@ -632,6 +679,7 @@ def oracle_sql() -> dict[str, str]:
         "bt12_metrics": METRICS_SQL,
         "rb07_placebo": PLACEBO_SQL,
         "bt_screen": SCREEN_SQL,
+        "experiment_batch": _lifecycle_sql(),
         "bt15_drawdown": f"{ALL}{DD} select date, sign(equity)::double as side, round(ln(abs(equity)), 6) + 0.0 as log_equity, round(drawdown / (1 + abs(drawdown)), 6) + 0.0 as depth from dd",
         "bt16_deflated_sharpe": f"{ALL}{SHARPE} select n, {r6_sql('sharpe', 'deflated_sharpe', 'skew', 'kurt')} from dsh",
         "bt17_turnover": f"{ALL}{HELD} select date, side, {r6_sql('replaced')} from tv",

@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 CHECKED = ["io01_panel_load", "io09_store_upsert", "etl10_business_days", "etl15_statement_join", "cs01_rank", "cs17_group_rank", "ts05_ts_std", "ts12_ts_corr", "ta01_ema", "ta04_rsi", "ex02_comparisons", "bt01_calendar", "sc09_composite", "sc14_weakest", "me04_failure_category", "ba02_arms", "gr04_ancestors", "gr05_layout"]
 SQL = queries.oracle_sql() | queries_sources.oracle_sql() | queries_research.oracle_sql()
 QUERIES = queries.queries() | queries_sources.queries() | queries_research.queries()
-CHECKED += [k for k in SQL if k not in CHECKED and (k in queries_sources.queries() or k in queries_research.queries() or k in ("flagship_slice", "bt12_metrics", "bt17_turnover", "bt02b_strict_periods", "etl18_assemble", "st_sessions", "st_windows"))]
+CHECKED += [k for k in SQL if k not in CHECKED and (k in queries_sources.queries() or k in queries_research.queries() or k in ("flagship_slice", "bt12_metrics", "bt17_turnover", "bt02b_strict_periods", "experiment_batch", "etl18_assemble", "st_sessions", "st_windows"))]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are missing")
 
 
