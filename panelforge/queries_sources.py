@@ -12,7 +12,7 @@ from panelforge.operators import memory as me
 from panelforge.operators import segments, sketches
 from panelforge.plans import compiler
 from panelforge.queries import DIGEST, PANEL, digest, r6
-from panelforge.sources import loader
+from panelforge.sources import loader, years
 from panelforge.sources import panel as src
 
 # sources
@@ -57,6 +57,36 @@ def _cached_load(s: SparkSession, d: str) -> DataFrame:
 CACHED_SQL = "select step, fetched, (select count(*) from lineitem where cast(l_shipdate as date) between date '1995-01-01' and date '1996-12-31') as prices, (select count(*) from supplier) as universe from (values ('first', 4), ('cached', 0), ('one missing', 4), ('no cache', 4)) t(step, fetched)"
 
 
+#: Spans that are loaded one after the other.
+SPANS = [("1994-03-01", "1995-06-30"), ("1994-01-01", "1995-12-31"), ("1993-05-01", "1997-02-01"), ("1992-01-01", "1998-12-31"), ("1995-06-01", "1995-08-31")]
+
+
+def _cache_by_year(s: SparkSession, d: str) -> DataFrame:
+    """For each of five spans: the years fetched for it, the partitions of years that its scan read, and its rows."""
+    line, orders = src.table(s, d, "lineitem"), src.table(s, d, "orders")
+
+    def of(df: DataFrame, day: str):
+        return lambda start, end: df.where(F.to_date(day).between(start, end))
+
+    tables = {"lines": of(line, "l_shipdate"), "orders": of(orders, "o_orderdate")}
+    cache, out = years.YearCache(s, shared_folder(s, "years"), tables, {"lines": "l_shipdate", "orders": "o_orderdate"}), []
+    for start, end in SPANS:
+        before = len(cache.fetched)
+        for name, df in cache.load(start, end).items():
+            rows, parts = years.scanned(df)
+            out.append((start, end, name, ",".join(map(str, cache.fetched[before:])), parts, rows))
+    return s.createDataFrame(out, "start string, end string, name string, fetched string, partitions long, rows long")
+
+
+BY_YEAR_SQL = (
+    f"with s as (select * from (values {', '.join(f'({i}, {a!r}, {b!r})' for i, (a, b) in enumerate(SPANS))}) t(i, a, b)), y as (select i, unnest(range(year(a::date), year(b::date) + 1)) as y from s), "
+    "f as (select s.i, coalesce(string_agg(y::varchar, ',' order by y), '') as fetched from s left join (select min(i) as i, y from y group by y) g on g.i = s.i group by s.i), "
+    "r as (select 'lines' as name, l_shipdate::date as day from lineitem union all select 'orders', o_orderdate::date from orders) "
+    'select a as start, b as "end", name, fetched, (select count(distinct year(q.day)) from r q where q.name = n.name and year(q.day) between year(a::date) and year(b::date)) as partitions, '
+    "(select count(*) from r q where q.name = n.name and q.day between a::date and b::date) as rows from s join f on f.i = s.i, (values ('lines'), ('orders')) n(name)"
+)
+
+
 def _vendor_statement(s: SparkSession, d: str) -> DataFrame:
     """A statement as a vendor sends it: dotted tickers, bookkeeping columns, undated rows, a sparse column."""
     o = src.table(s, d, "orders").select("o_orderkey", F.concat(F.lit("C."), F.col("o_custkey").cast("string")).alias("Ticker"), "o_orderdate", "o_totalprice", "o_orderstatus")
@@ -391,6 +421,7 @@ def queries() -> dict:
         "io04_statement_failure": _statement_fails,
         "io06_cache_key": _keys,
         "io07_processed_version": _processed,
+        "io07_cache_by_year": _cache_by_year,
         "io08_parquet_round_trip": _round_trip,
         "io10_schema_migration": _migration,
         "io11_bandit_state": _bandit_state,
@@ -425,6 +456,7 @@ def oracle_sql() -> dict[str, str]:
         "io04_statement_failure": "select 0::bigint as n, 'TICKER,DATE' as names, 1::bigint as warned",
         "io06_cache_key": KEYS_SQL,
         "io07_processed_version": PROCESSED_SQL,
+        "io07_cache_by_year": BY_YEAR_SQL,
         "io08_parquet_round_trip": "select p_brand, count(*) as n, round(sum(p_retailprice) + 1e-4, 2) as price from part where p_size between 10 and 20 group by p_brand",
         "io10_schema_migration": MIGRATION_SQL,
         "io11_bandit_state": BANDIT_SQL,

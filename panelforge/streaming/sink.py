@@ -13,23 +13,20 @@ until the next compaction, for readers that still have the old manifest.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.functions import manifests
+from panelforge.functions.manifests import Conflict
 from panelforge.functions.tables import delete, hadoop_path, shared_folder
 from panelforge.streaming import arrivals
 
 MOST_PARTS, MANIFESTS, TRIES = 8, 2, 10
 
 
-class Conflict(Exception):
-    """Another writer has published this manifest number."""
-
-
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], sums: list[str], latest: list[str], order: list[str], most_parts: int = MOST_PARTS):
         self.spark, self.path, self.keys, self.sums, self.latest, self.order, self.most_parts = spark, path.rstrip("/"), keys, sums, latest, order, most_parts
@@ -38,44 +35,18 @@ class KeyedTable:
 
     # manifests
 
-    def _fs(self, path: str):
-        return hadoop_path(self.spark, path)
+    @property
+    def _manifests(self) -> str:
+        return f"{self.path}/manifest"
 
     def numbers(self) -> list[int]:
-        at, fs = self._fs(f"{self.path}/manifest")
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0].isdigit())
+        return manifests.numbers(self.spark, self._manifests)
 
     def manifest(self) -> dict:
-        found = self.numbers()
-        if not found:
-            return {"number": 0, "ledger": {}, "parts": [], "retired": []}
-        at, fs = self._fs(f"{self.path}/manifest/{found[-1]:012d}.json")
-        stream = fs.open(at)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return manifests.newest(self.spark, self._manifests) or {"number": 0, "ledger": {}, "parts": [], "retired": []}
 
     def publish(self, manifest: dict) -> None:
-        """Write the manifest under its number, or raise Conflict if the number is taken."""
-        temp, fs = self._fs(f"{self.path}/manifest/_{uuid.uuid4().hex}")
-        stream = fs.create(temp, True)
-        stream.write(bytearray(json.dumps(manifest), "utf-8"))
-        stream.close()
-        to, _ = self._fs(f"{self.path}/manifest/{manifest['number']:012d}.json")
-        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        none = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(context.makeQualified(temp), context.makeQualified(to), none)
-        except Exception as e:
-            fs.delete(temp, False)
-            if "FileAlreadyExists" in str(e):
-                raise Conflict(manifest["number"]) from e
-            raise
+        manifests.publish(self.spark, self._manifests, manifest)
 
     # rows
 
@@ -139,7 +110,7 @@ class KeyedTable:
     def vacuum(self) -> list[str]:
         """Remove parts that no manifest names. Call it when no writer is at work."""
         now = self.manifest()
-        at, fs = self._fs(f"{self.path}/data")
+        at, fs = hadoop_path(self.spark, f"{self.path}/data")
         found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
         lost = sorted(set(found) - {*now["parts"], *now["retired"]})
         for name in lost:
