@@ -12,7 +12,7 @@ from panelforge.operators import memory as me
 from panelforge.operators import segments, sketches
 from panelforge.plans import compiler
 from panelforge.queries import DIGEST, PANEL, digest, r6
-from panelforge.sources import loader, years
+from panelforge.sources import chunks, loader, years
 from panelforge.sources import panel as src
 
 # sources
@@ -57,6 +57,31 @@ def _cached_load(s: SparkSession, d: str) -> DataFrame:
 CACHED_SQL = "select step, fetched, (select count(*) from lineitem where cast(l_shipdate as date) between date '1995-01-01' and date '1996-12-31') as prices, (select count(*) from supplier) as universe from (values ('first', 4), ('cached', 0), ('one missing', 4), ('no cache', 4)) t(step, fetched)"
 
 
+def _delivered(s: SparkSession, d: str) -> DataFrame:
+    """Daily prices of suppliers, delivered in three lots of years: read whole, by tickers and days, and as a stream; the months' sums of each."""
+    day = F.to_date("l_shipdate").alias("date")
+    line = src.table(s, d, "lineitem").groupBy(day, F.lpad((F.col("l_suppkey") % 1000).cast("string"), 4, "0").alias("ticker"))
+    prices = line.agg(F.max(F.when(F.col("l_quantity") > 3, F.col("l_extendedprice"))).alias("close"), F.sum(F.when(F.col("l_linenumber") < 7, F.col("l_quantity"))).alias("volume"))
+    at = shared_folder(s, "prices")
+    for first, last in ((1900, 1993), (1994, 1995), (1996, 2100)):
+        chunks.deliver(prices.where(F.year("date").between(first, last)), f"{at}/in", 250)
+    q = chunks.stream(s, f"{at}/in").writeStream.format("parquet").option("checkpointLocation", f"{at}/mark").option("path", f"{at}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    wanted = [f"{i:04d}" for i in range(0, 1000, 3)]
+    some = chunks.read(s, f"{at}/in", wanted, "1993-05-01", "1996-02-15")
+    parts = {"whole": chunks.read(s, f"{at}/in"), "some": some, "stream": s.read.schema(chunks.SCHEMA).parquet(f"{at}/out")}
+    out = None
+    for name, df in parts.items():
+        x = df.groupBy(F.lit(name).alias("way"), F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("tickers"), F.round(F.sum("close") + 1e-4, 2).alias("close"), F.sum("volume").alias("volume"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+DELIVERED_SQL = (
+    "with p as (select l_shipdate::date as date, lpad((l_suppkey % 1000)::varchar, 4, '0') as ticker, max(case when l_quantity > 3 then l_extendedprice end)::double as close, sum(case when l_linenumber < 7 then l_quantity end)::double as volume from lineitem group by 1, 2), "
+    "g as (select * from p where close is not null and volume is not null), a as (select 'whole' as way, * from g union all select 'stream', * from g union all select 'some', * from g where ticker::int % 3 = 0 and date between date '1993-05-01' and date '1996-02-15') "
+    "select way, strftime(date, '%Y-%m') as month, count(*) as n, count(distinct ticker) as tickers, round(sum(close) + 1e-4, 2) as close, sum(volume) as volume from a group by 1, 2"
+)
 #: Spans that are loaded one after the other.
 SPANS = [("1994-03-01", "1995-06-30"), ("1994-01-01", "1995-12-31"), ("1993-05-01", "1997-02-01"), ("1992-01-01", "1998-12-31"), ("1995-06-01", "1995-08-31")]
 
@@ -417,6 +442,7 @@ def queries() -> dict:
     return {
         "io01_cached_load": _cached_load,
         "io02_universe": _universe,
+        "io03_delivered_prices": _delivered,
         "io04_statement_source": _statement,
         "io04_statement_failure": _statement_fails,
         "io06_cache_key": _keys,
@@ -452,6 +478,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "io01_cached_load": CACHED_SQL,
         "io02_universe": UNIVERSE_SQL,
+        "io03_delivered_prices": DELIVERED_SQL,
         "io04_statement_source": STATEMENT_SQL,
         "io04_statement_failure": "select 0::bigint as n, 'TICKER,DATE' as names, 1::bigint as warned",
         "io06_cache_key": KEYS_SQL,
