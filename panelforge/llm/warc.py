@@ -227,22 +227,13 @@ def url_of(header: dict) -> str | None:
     return json.loads(header["x-given-url"]) if "x-given-url" in header else header.get("warc-target-uri")
 
 
-class WarcReader(DataSourceReader):
+class HeaderReader(DataSourceReader):
+    """Reads the records that the read's own predicates (option ``only``: column to values) leave."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.payload = options.get("payload", "full")
-        self.tests: list = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = _ATTRIBUTES.get(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if name and isinstance(f, EqualTo):
-                self.tests.append((name, {str(f.value)}))
-            elif name and isinstance(f, In):
-                self.tests.append((name, {str(v) for v in f.value}))
-            elif name and isinstance(f, IsNotNull):
-                self.tests.append((name, None))
-            yield f  # Spark checks again: a header may hold more than the column
+        self.tests: list = [(_ATTRIBUTES[c], {str(v) for v in values}) for c, values in json.loads(options.get("only", "{}")).items()]
 
     def partitions(self):
         fs, root = filesystem(self.path)
@@ -296,8 +287,24 @@ def batch_of(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+class WarcReader(HeaderReader):
+    """Takes Spark's filters as well. The frame of such a read must be used once: it keeps the filters of the use that was planned last."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = _ATTRIBUTES.get(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if name and isinstance(f, EqualTo):
+                self.tests.append((name, {str(f.value)}))
+            elif name and isinstance(f, In):
+                self.tests.append((name, {str(v) for v in f.value}))
+            elif name and isinstance(f, IsNotNull):
+                self.tests.append((name, None))
+            yield f  # Spark checks again: a header may hold more than the column
+
+
 class WarcSource(DataSource):
-    """format("warc"): options path and payload (full; verify: inflate and check, return none; skip: headers only)."""
+    """format("warc"): options path, payload (full; verify: inflate and check, return none; skip: headers only), only (a JSON object of
+    column to values: record_type, page_id, url, payload_digest, refers_to) and pushdown (spark: Spark's filters too, for one use)."""
 
     @classmethod
     def name(cls) -> str:
@@ -306,8 +313,8 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+    def reader(self, schema) -> HeaderReader:
+        return (WarcReader if self.options.get("pushdown") == "spark" else HeaderReader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], overwrite)
@@ -315,7 +322,6 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
@@ -342,16 +348,25 @@ def write(pages: DataFrame, path: str, least: int = MIN_DEDUP_BYTES) -> None:
     plan(pages, least).write.format("warc").mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
+def read(spark: SparkSession, path: str, payload: str = "full", only: dict[str, list] | None = None, pushdown: bool = False) -> DataFrame:
+    """The archive's records. only (column to values) is judged on the headers: payloads of other records are stepped over.
+
+    pushdown lets Spark hand its own filters to the source as well. Such a frame is for one use in one plan: Spark keeps one reader a
+    frame, so of two uses with different filters one would get the other's rows. Without it a frame can be used in any way.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", payload).load(path)
+    options = {"payload": payload, "only": json.dumps(only or {})}
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        options["pushdown"] = "spark"
+    return spark.read.format("warc").options(**options).load(path)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Archives written, then read twice: responses with their payloads, revisits by their headers alone. Both tests are pushed down."""
     path = Scratch(spark).path("warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = read(spark, path, "verify").where("record_type = 'response'").union(read(spark, path, "skip").where("record_type = 'revisit'"))
+    found = read(spark, path, "verify", pushdown=True).where("record_type = 'response'").union(read(spark, path, "skip", pushdown=True).where("record_type = 'revisit'"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
