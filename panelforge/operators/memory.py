@@ -222,10 +222,19 @@ def rings(records: DataFrame) -> DataFrame:
 
 
 def layout(ringed: DataFrame) -> DataFrame:
-    w = Window.partitionBy("ring")
-    angle = 2 * math.pi * (F.row_number().over(w.orderBy("timestamp", "alpha_id")) - 1) / F.count(F.lit(1)).over(w)
+    """Places on the rings, by (timestamp, alpha_id). A ring's records are numbered range by range, and ranges by the counts before them, so
+    that a ring with most of the records is not one task's."""
+    spark = ringed.sparkSession
+    ranged = ringed.select("alpha_id", "ring", "timestamp").repartitionByRange("ring", "timestamp", "alpha_id").withColumn("_range", F.spark_partition_id())
+    placed = kept(ranged, shared_folder(spark, "layout"))
+    by_range = Window.partitionBy("ring").orderBy("_range")
+    sizes = placed.groupBy("ring", "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each ring and range that meet
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(by_range) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy("ring"))}).drop("_n")
+    local = F.row_number().over(Window.partitionBy("ring", "_range").orderBy("timestamp", "alpha_id"))
+    numbered = placed.withColumn("_i", local).join(small(sizes), ["ring", "_range"])
+    angle = 2 * math.pi * (F.col("_before") + F.col("_i") - 1) / F.col("_all")
     radius = 100 + 160 * F.col("ring")
-    return ringed.select("alpha_id", "ring", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+    return numbered.select("alpha_id", "ring", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
 
 
 #: Soft and hard limits that node details warn at (fixed values): a value at or below the soft limit is "warn", at or below the hard one "bad".
