@@ -28,6 +28,8 @@ from panelforge.operators import robustness, scoring, screening, similarity
 
 STATUSES = ["completed", "duplicate", "validation_failed", "backtest_error"]
 BATCH = 2000
+#: Rounds after which a folder's batches are merged.
+COMPACT = 16
 CONFIG = {
     "alpha_id": "string", "parent_id": "string", "batch_id": "string", "timestamp": "string", "hypothesis": "string", "formula": "string",
     "features": "array<string>", "mutation": "string", "universe": "string", "start_date": "string", "end_date": "string", "rebalance": "string",
@@ -250,6 +252,10 @@ class Research:
         self.refused.upsert(turned_down, number)
         priors = self.spark.createDataFrame([(k, *v) for k, v in known.items()], "arm_id string, alpha double, beta double")
         self.arms.upsert(me.replay(x.select("arm_id", "reward"), priors).select("arm_id", "alpha", "beta"), number)
+        if number % COMPACT == 0:
+            for of in (self.store, self.arms, self.refused):
+                if exists(self.spark, of.path):
+                    of.compact()
         return x.withColumn("batch_id", F.lit(batch)).select("batch_id", "action", "arm_id", "alpha_id", "status", "error", "effective", "reward")
 
     def loop(self, rounds: int, width: int = 1, most_failures: int = 3) -> list[list]:
