@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from panelforge.functions.tables import kept, shared_folder
+
 FORMAT = "price_chunks"
 SCHEMA = "date date, ticker string, close double, volume double"
 ARROW = pa.schema([("date", pa.date32()), ("ticker", pa.string()), ("close", pa.float64()), ("volume", pa.float64())])
@@ -55,6 +57,7 @@ def deliver(prices: DataFrame, path: str, tickers_a_chunk: int = 100) -> int:
     # ranges of the sort, cut again by the place in each
     placed = names.repartitionByRange("ticker").sortWithinPartitions("ticker").withColumn("_p", F.spark_partition_id())
     placed = placed.withColumn("_chunk", F.concat_ws("-", F.lpad(F.col("_p").cast("string"), 6, "0"), F.lpad(F.floor((F.row_number().over(Window.partitionBy("_p").orderBy("ticker")) - 1) / tickers_a_chunk).cast("string"), 6, "0"))).select("ticker", "_chunk")
+    placed = kept(placed, shared_folder(prices.sparkSession, "chunks"))  # a task that runs again must not cut the ranges elsewhere
     fs.create_dir(f"{root}/chunks", recursive=True)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
