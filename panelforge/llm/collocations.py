@@ -7,10 +7,11 @@ ends a piece, so no word is one).
    sketches before show that its words and its pairs may be frequent enough. A task counts to ``at_least`` at most, which
    leaves "at least that many" exact; owners of slices add up and keep one bit a cell. A bit can only overrate a phrase, so
    every frequent phrase is a candidate.
-2. Candidates' strings are collected by a shuffle and cut into automata of at most ``AUTOMATON`` phrases. Each pattern is
-   guarded by the spaces around it, so it matches at word ends only, and neighbours may share a guard.
-3. Every text is scanned by every automaton; matches overlap and are all counted. Sums over tasks are exact and only then
-   meet the threshold. Phrases' parts are candidates themselves, as they are at least as frequent.
+2. Texts are taken in blocks of at most about ``BLOCK`` bytes. The candidates that occur in a block go into automata of at
+   most ``AUTOMATON`` phrases, and a block ends when they fill one. Each pattern is guarded by the spaces around it, so it
+   matches at word ends only, and neighbours may share a guard.
+3. A block's texts are scanned by its own automata; matches overlap and are all counted. Sums over blocks are exact and
+   only then meet the threshold. Phrases' parts are candidates themselves, as they are at least as frequent.
 4. The cut of the lowest score counts; products are decimals of 38 digits. A candidate goes if a longer one that contains
    it is as frequent; it is enough to look at those of one word more.
 
@@ -22,7 +23,6 @@ doc_id and all other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from operator import itemgetter
@@ -43,6 +43,9 @@ SLICE = 1 << 14
 BYTES_A_CELL, LEAST_BITS, MOST_BITS = 256, 14, 24
 TASK_BYTES_A_CELL = 16
 WINDOW = 1 << 20
+BLOCK = 32 << 20
+#: Automata whose phrases' counts a task holds before it sends them.
+HELD = 4
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FORM = bytes(ord(".") if i in _BREAKS else ord(" ") if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -150,8 +153,8 @@ def texts_of(batches):
         yield from zip(batch.column("lang").to_pylist(), map(normal, batch.column("text").to_pylist()), strict=True)
 
 
-def runs(batches):
-    """(lang, run of normal texts of about WINDOW bytes)."""
+def groups(batches):
+    """(lang, normal texts of about WINDOW bytes)."""
     held: dict[str, list] = {}
     size: Counter = Counter()
     for lang, raw in texts_of(batches):
@@ -159,10 +162,18 @@ def runs(batches):
         size[lang] += len(raw)
         if size[lang] >= WINDOW:
             size[lang] = 0
-            for part in windows(b".".join(held.pop(lang))):
-                yield lang, part
-    for lang, parts in held.items():
-        for part in windows(b".".join(parts)):
+            yield lang, held.pop(lang)
+    yield from held.items()
+
+
+def runs_of(texts: list[bytes]):
+    return windows(b".".join(texts))
+
+
+def runs(batches):
+    """(lang, run of normal texts of about WINDOW bytes)."""
+    for lang, texts in groups(batches):
+        for part in runs_of(texts):
             yield lang, part
 
 
@@ -216,58 +227,90 @@ def sketch(rows: DataFrame, lengths: tuple[int, ...], known: list[Bits], bits: i
     return Bits(bits, packed)
 
 
+class Named:
+    """The phrases of 1 to LONGEST words that the sketches do not rule out, once each, as runs of texts are added."""
+
+    def __init__(self, known: list[Bits]):
+        self.known = known
+        self.seen: dict[int, np.ndarray] = {k: np.zeros(0, np.uint64) for k in range(1, LONGEST + 1)}
+
+    def new(self, lang: str, raw: bytes) -> list[str]:
+        out = []
+        for k, p, at, h in fine_phrases(lang, raw, self.known, tuple(range(1, LONGEST + 1))):
+            good = self.known[min(k, 3) - 1].has(h)
+            h, first = np.unique(h[good], return_index=True)
+            new = ~np.isin(h, self.seen[k], assume_unique=True)
+            self.seen[k] = np.union1d(self.seen[k], h[new])
+            out += [p.text(i, k) for i in at[good][first[new]]]
+        return out
+
+
 def candidates(rows: DataFrame, known: list[Bits]) -> DataFrame:
     """lang, phrase: every phrase of 1 to LONGEST words that the sketches do not rule out, from a task once each."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def name(batches):
-        seen: dict[int, np.ndarray] = {k: np.zeros(0, np.uint64) for k in range(1, LONGEST + 1)}
+        named = Named(shared.value)
         for lang, raw in runs(batches):
-            out = []
-            for k, p, at, h in fine_phrases(lang, raw, shared.value, tuple(range(1, LONGEST + 1))):
-                good = shared.value[min(k, 3) - 1].has(h)
-                h, first = np.unique(h[good], return_index=True)
-                new = ~np.isin(h, seen[k], assume_unique=True)
-                seen[k] = np.union1d(seen[k], h[new])
-                out += [p.text(i, k) for i in at[good][first[new]]]
+            out = named.new(lang, raw)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.string())], ["lang", "phrase"])
 
     return rows.mapInArrow(name, "lang string, phrase string").distinct()
 
 
-_built: dict[str, dict[str, ahocorasick.Automaton]] = {}
+def occurrences(phrases: list[str], texts: list[bytes]) -> Counter:
+    """How often each phrase occurs in normal texts, overlaps included, by automata of at most AUTOMATON phrases."""
+    found: Counter = Counter()
+    for a in range(0, len(phrases), AUTOMATON):
+        machine = ahocorasick.Automaton()
+        for phrase in phrases[a : a + AUTOMATON]:
+            machine.add_word(f" {phrase} ", phrase)
+        machine.make_automaton()
+        for raw in texts:
+            found.update(map(itemgetter(1), machine.iter(raw.decode())))
+    return found
 
 
-def automata(name: str, phrases: dict[str, list[str]]) -> dict[str, ahocorasick.Automaton]:
-    """An automaton for each language, kept by the worker until it is given another list."""
-    if name not in _built:
-        _built.clear()
-        made = {}
-        for lang, found in phrases.items():
-            made[lang] = ahocorasick.Automaton()
-            for i, phrase in enumerate(found):
-                made[lang].add_word(f" {phrase} ", i)
-            made[lang].make_automaton()
-        _built[name] = made
-    return _built[name]
+def scan(rows: DataFrame, known: list[Bits]) -> DataFrame:
+    """lang, phrase, f: how often each candidate occurs, overlaps included; a null phrase holds the language's words.
 
-
-def scan(rows: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
-    """lang, phrase, f: how often each phrase occurs, overlaps included; a null phrase holds the language's words."""
-    name = uuid.uuid4().hex
-    shared = rows.sparkSession.sparkContext.broadcast(phrases)
+    A block of texts is scanned by automata of the candidates that it holds itself, and ends once these fill an automaton;
+    so a text meets a bounded number of automata, however many candidates there are.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def count(batches):
+        phrases: dict[str, list[str]] = {}
+        texts: dict[str, list[bytes]] = {}
         found: dict[str, Counter] = {}
         words: Counter = Counter()
-        for lang, raw in texts_of(batches):
-            words[lang] += n_words(raw)
-            machine = automata(name, shared.value).get(lang)
-            if machine is not None:
-                found.setdefault(lang, Counter()).update(map(itemgetter(1), machine.iter(raw.decode())))
-        for lang, n in words.items():
-            at = found.get(lang, {})
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([None, *(shared.value[lang][i] for i in at)], pa.string()), pa.array([n, *at.values()], pa.int64())], ["lang", "phrase", "f"])
+        named, size, n = Named(shared.value), 0, 0
+
+        def block_done():
+            for lang, held in texts.items():
+                found.setdefault(lang, Counter()).update(occurrences(phrases[lang], held))
+                words[lang] += sum(map(n_words, held))
+
+        def sums():
+            for lang, at in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([None, *at], pa.string()), pa.array([words[lang], *at.values()], pa.int64())], ["lang", "phrase", "f"])
+
+        for lang, group in groups(batches):
+            texts.setdefault(lang, []).extend(group)
+            for raw in runs_of(group):
+                new = named.new(lang, raw)
+                phrases.setdefault(lang, []).extend(new)
+                n += len(new)
+            size += sum(map(len, group))
+            if n >= AUTOMATON or size >= BLOCK:
+                block_done()
+                phrases, texts = {}, {}
+                named, size, n = Named(shared.value), 0, 0
+            if sum(map(len, found.values())) >= HELD * AUTOMATON:
+                yield from sums()
+                found, words = {}, Counter()
+        block_done()
+        yield from sums()
 
     return rows.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -285,16 +328,8 @@ def mine(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP) -> DataFrame
     known: list[Bits] = []
     for lengths in ((1,), (2,), tuple(range(3, LONGEST + 1))):
         known.append(sketch(rows, lengths, known, bits, at_least))
-    named = scratch.table(candidates(rows, known), "candidates")
-    shards = max(1, -(-named.count() // AUTOMATON))
-    counted = None
-    for shard in range(shards):
-        part_of = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == shard)
-        phrases: dict[str, list[str]] = {}
-        for r in part_of.toLocalIterator():
-            phrases.setdefault(r.lang, []).append(r.phrase)
-        part = scratch.table(scan(rows, phrases), f"counts-{shard}")
-        counted = part if counted is None else counted.unionByName(part.where("phrase is not null"))
+    # a phrase's parts are as frequent as itself, so rarer candidates end here
+    counted = scratch.table(scan(rows, known).where((F.col("f") >= at_least) | F.col("phrase").isNull()), "counts")
     return ranked(counted, at_least, top)
 
 

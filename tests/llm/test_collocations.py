@@ -94,3 +94,27 @@ def test_windows_lose_no_phrase():
         want = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
         got = {b" ".join(w[i : i + 5]) for p in parts for w in [p.split()] for i in range(len(w) - 4)}
         assert want == got
+
+
+def test_a_text_meets_few_automata_however_many_phrases_there_are(spark, tmp_path, monkeypatch):
+    """Blocks of texts that share nothing: with more of them each is still scanned by its own phrases only."""
+    monkeypatch.setattr(collocations, "AUTOMATON", 60)
+    monkeypatch.setattr(collocations, "WINDOW", 500)
+
+    def scanned(n):
+        at = tmp_path / str(n)
+        at.mkdir()
+        whole = collocations.occurrences
+
+        def counted(phrases, texts):
+            with open(at / "scans", "a") as f:
+                f.write(f"{-(-len(phrases) // collocations.AUTOMATON) * sum(map(len, texts))}\n")
+            return whole(phrases, texts)
+
+        monkeypatch.setattr(collocations, "occurrences", counted)
+        docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j % 9}" for j in range(120)), "en", "p", 1) for i in range(n)], SCHEMA).coalesce(1)
+        assert collocations.mine(docs, at_least=12, top=5).count() == 5
+        monkeypatch.setattr(collocations, "occurrences", whole)
+        return sum(map(int, (at / "scans").read_text().split()))
+
+    assert scanned(80) < 6 * scanned(20)
