@@ -6,6 +6,7 @@ subperiod_stability, placebo_score and regime_sharpe (a map).
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,8 +25,13 @@ def clip01(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
 
 
+def width(lo: float, hi: float) -> float:
+    """hi - lo of the anchors as written: 0.1, where a difference of doubles may end on another last digit and move a score over a gate."""
+    return float(Decimal(str(hi)) - Decimal(str(lo)))
+
+
 def ramp(x: Column, lo: float, hi: float) -> Column:
-    return clip01((x - lo) / (hi - lo))
+    return clip01((x - lo) / width(lo, hi))
 
 
 def ramp2(x: Column, lo: float, mid: float, hi: float) -> Column:
