@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.registry import OPERATORS
+from panelforge.functions.tables import once_each
 from panelforge.plans.compiler import RAW_COLUMNS
 
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -19,6 +20,8 @@ MAX_DEPTH = 5
 UNIVERSES = {"sp500"}
 INLINE = set("shift rolling diff pct_change mean std clip abs sum min max float nan np".split())
 DUPLICATE = 0.95
+#: Digits to which similarities are compared, so that the order of a sum breaks no tie.
+DIGITS = 9
 #: Keys that a configuration must have (fixed values).
 REQUIRED = ["alpha_id", "formula", "universe", "start_date", "end_date"]
 
@@ -137,7 +140,12 @@ def map_jaccard(a: Column, b: Column) -> Column:
 
 
 def described(df: DataFrame, formula: str = "formula") -> DataFrame:
-    """df with canonical, shape (map), cols and complexity of each formula."""
+    """df with canonical, shape (map), cols and complexity of each formula; equal formulas are parsed once."""
+    x = once_each(df, [formula], lambda values: _described(values, formula))
+    return x.select(*df.columns, "_of.canonical", "_of.shape", "_of.cols", "_of.complexity")
+
+
+def _described(df: DataFrame, formula: str) -> DataFrame:
 
     @F.pandas_udf("canonical string, shape map<string,int>, cols array<string>, complexity int")
     def describe(s: pd.Series) -> pd.DataFrame:
@@ -147,9 +155,19 @@ def described(df: DataFrame, formula: str = "formula") -> DataFrame:
 
 
 def search(store: DataFrame, formula: str, features: list[str] | None = None) -> DataFrame:
-    """The store's formulas with structural, column, feature and combined similarity to one formula."""
+    """The store's formulas with structural, column, feature and combined similarity to one formula; equal formulas are compared once."""
+    x = once_each(store, ["formula"], lambda values: _compared(_described(values, "formula"), formula))
+    d = x.select(*store.columns, *[f"_of.{c}" for c in ("canonical", "shape", "cols", "complexity", "structural", "column_similarity", "exact")])
+    feats = F.array(*[F.lit(t) for t in features or []]).cast("array<string>")
+    has = (F.size(feats) > 0) & (F.size("features") > 0)
+    d = d.withColumn("feature_similarity", F.when(has, array_jaccard(F.col("features"), feats)).otherwise(0.0))
+    combined = F.when(has, 0.4 * F.col("feature_similarity") + 0.4 * F.col("structural") + 0.2 * F.col("column_similarity")).otherwise((0.4 * F.col("structural") + 0.2 * F.col("column_similarity")) / 0.6)
+    return d.withColumn("combined", combined)
+
+
+def _compared(d: DataFrame, formula: str) -> DataFrame:
+    """Described formulas with structural, column_similarity and exact to one formula."""
     mine, own = shape(formula), canonical(formula)
-    d = described(store)
     if mine:
         mine_map = F.create_map(*[F.lit(x) for kv in mine.items() for x in kv])
         struct = F.when(F.col("canonical") == F.lit(own), F.lit(1.0)).otherwise(map_jaccard(F.col("shape"), mine_map))
@@ -158,17 +176,15 @@ def search(store: DataFrame, formula: str, features: list[str] | None = None) ->
     theirs_tokens = F.array_distinct(F.regexp_extract_all("formula", F.lit(f"({TOKEN})"), F.lit(1)))
     struct = F.coalesce(struct, array_jaccard(theirs_tokens, F.array(*[F.lit(t) for t in sorted(tokens(formula))]).cast("array<string>")))
     cols = array_jaccard(F.col("cols"), F.array(*[F.lit(t) for t in sorted(columns(formula))]).cast("array<string>"))
-    feats = F.array(*[F.lit(t) for t in features or []]).cast("array<string>")
-    has = (F.size(feats) > 0) & (F.size("features") > 0)
-    d = d.withColumns({"structural": struct, "column_similarity": cols, "feature_similarity": F.when(has, array_jaccard(F.col("features"), feats)).otherwise(0.0), "exact": F.coalesce(F.col("canonical") == F.lit(own), F.lit(False))})
-    combined = F.when(has, 0.4 * F.col("feature_similarity") + 0.4 * F.col("structural") + 0.2 * F.col("column_similarity")).otherwise((0.4 * F.col("structural") + 0.2 * F.col("column_similarity")) / 0.6)
-    return d.withColumn("combined", combined)
+    return d.withColumns({"structural": struct, "column_similarity": cols, "exact": F.coalesce(F.col("canonical") == F.lit(own), F.lit(False))})
 
 
 def most_similar(found: DataFrame, order: str = "timestamp", threshold: float = DUPLICATE) -> DataFrame:
-    """One row: the most similar experiment (the earliest on ties), and whether the formula is a duplicate."""
+    """One row: the most similar experiment (the earliest on ties, then the smallest id), and whether the formula is a duplicate."""
+    found = found.withColumn("combined", F.round("combined", DIGITS))
     top = found.agg(F.max("structural").alias("s"), F.max("combined").alias("c"), F.max("exact").alias("any_exact"))
-    first = found.join(F.broadcast(top)).agg(F.min_by("alpha_id", F.when(F.col("structural") == F.col("s"), F.col(order))).alias("sid"), F.min_by("alpha_id", F.when(F.col("combined") == F.col("c"), F.col(order))).alias("cid"), F.first("s").alias("structural_similarity"), F.first("c").alias("similarity_score"), F.first("any_exact").alias("is_exact_duplicate"))
+    earliest = F.struct(order, "alpha_id")
+    first = found.join(F.broadcast(top)).agg(F.min_by("alpha_id", F.when(F.col("structural") == F.col("s"), earliest)).alias("sid"), F.min_by("alpha_id", F.when(F.col("combined") == F.col("c"), earliest)).alias("cid"), F.first("s").alias("structural_similarity"), F.first("c").alias("similarity_score"), F.first("any_exact").alias("is_exact_duplicate"))
     unique = ~(F.col("is_exact_duplicate") | (F.col("structural_similarity") >= threshold))
     percent = lambda c: F.format_string("%d%%", F.round(100 * F.col(c)).cast("int"))
     reason = (

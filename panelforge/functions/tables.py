@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; beyond it a shuffle join does the same work.
 SMALL_ROWS = 500_000
+#: Distinct values whose results may be broadcast: results such as shapes are large.
+FEW_VALUES = 20_000
 
 _local: str | None = None
 _made: list[tuple[SparkSession, str]] = []
@@ -68,3 +72,14 @@ def kept(df: DataFrame, at: str) -> DataFrame:
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """With a broadcast hint if a count shows it small, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def once_each(df: DataFrame, keys: list[str], of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with a struct ``_of`` of the columns that ``of`` adds to a table of its distinct keys: copies of a value are worked on once."""
+    values = kept(df.select(*keys).distinct(), shared_folder(df.sparkSession, "values"))
+    found = of(values)
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*[c for c in found.columns if c not in keys]).alias("_of"))
+    if values.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        found = F.broadcast(found)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(found, same, "left").drop(*[f"_{k}" for k in keys])

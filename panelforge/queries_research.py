@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import formulas
 from panelforge.functions.registry import OPERATORS
-from panelforge.functions.tables import shared_folder
+from panelforge.functions.tables import once_each, shared_folder
 from panelforge.operators import backtest as bt
 from panelforge.operators import memory as me
 from panelforge.operators import similarity
@@ -160,19 +160,23 @@ def _sign_blind(s: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("zscore("), a, F.lit(" / "), b, F.lit(")"))
     text = F.element_at(F.array(*[F.lit(t) for t in SIGNS]), (k % len(SIGNS) + 1).cast("int"))
     p = src.table(s, d, "part").select(k.alias("alpha_id"), base.alias("base"), F.replace(text, F.lit("{0}"), base).alias("formula"))
-    x = formulas.described(p)
-    plain = formulas.described(p.select("alpha_id", "base"), "base").select("alpha_id", F.col("canonical").alias("own"))
-    return x.join(plain, "alpha_id").select("alpha_id", (F.col("canonical") == F.col("own")).alias("same"))
+    x = formulas.described(p).select("alpha_id", "base", F.col("canonical").alias("signed"))
+    return formulas.described(x, "base").select("alpha_id", (F.col("signed") == F.col("canonical")).alias("same"))
 
 
 def _structural(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     a, b = _two(k)
     p = src.table(s, d, "part").select(k.alias("alpha_id"), _filled([x for x, _, _ in PAIRS_BY_HAND], k, a, b).alias("left"), _filled([y for _, y, _ in PAIRS_BY_HAND], k, a, b).alias("right"))
-    x = formulas.described(p, "left").withColumnsRenamed({"shape": "left_shape"}).select("alpha_id", "left", "right", "left_shape")
-    x = formulas.described(x, "right")
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"({formulas.TOKEN})"), F.lit(1)))
-    return x.select("alpha_id", F.round(F.coalesce(formulas.map_jaccard(F.col("left_shape"), F.col("shape")), formulas.array_jaccard(words(F.col("left")), words(F.col("right")))), 6).alias("similarity"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        x = formulas.described(pairs, "left").select("left", "right", F.col("shape").alias("left_shape"))
+        x = formulas.described(x, "right")
+        similarity = F.coalesce(formulas.map_jaccard(F.col("left_shape"), F.col("shape")), formulas.array_jaccard(words(F.col("left")), words(F.col("right"))))
+        return x.select("left", "right", F.round(similarity, 6).alias("similarity"))
+
+    return once_each(p, ["left", "right"], compared).select("alpha_id", "_of.similarity")
 
 
 STORE = ["rank({0})", "-1 * rank({0})", "rank({0} / {1})", "rank({0}"]

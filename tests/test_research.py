@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge import queries
 from panelforge.functions import formulas
@@ -226,3 +227,31 @@ def test_scores_at_a_gate_equal_the_sql(spark, tmp_path):
         found = con.execute(queries.oracle_sql()[name])
         names = [d[0] for d in found.description]
         assert sorted(map(tuple, df.select(names).collect())) == sorted(found.fetchall()), name
+
+
+def test_equal_formulas_are_parsed_once(spark, tmp_path):
+    """The parser's work follows the distinct formulas, not the rows; nulls and copies keep their rows."""
+    store = spark.createDataFrame([(i, [None, "rank(CFO_LTM)", "rank(CFO_LTM", "-rank(DA_LTM)"][i % 4], ["A"], i) for i in range(400)], "alpha_id long, formula string, features array<string>, timestamp long")
+    seen = spark.sparkContext.accumulator(0)
+    whole = formulas.complexity
+
+    def counted(f):
+        seen.add(1)
+        return whole(f)
+
+    formulas.complexity = counted
+    try:
+        got = formulas.described(store).select("alpha_id", "canonical", "complexity").collect()
+    finally:
+        formulas.complexity = whole
+    assert len(got) == 400 and seen.value <= 8
+    assert all(r.canonical == formulas.canonical(store_f or "") and r.complexity == whole(store_f or "") for r in got for store_f in [[None, "rank(CFO_LTM)", "rank(CFO_LTM", "-rank(DA_LTM)"][r.alpha_id % 4]])
+
+
+def test_most_similar_on_ties_of_time_is_the_smallest_id(spark):
+    """Also where records with and without features reach the same mean, which sums in two orders."""
+    store = spark.createDataFrame([(i, "rank(CFO_LTM)", [[], ["A", "B"]][i % 2], 7) for i in (9, 5, 4, 3, 8)], "alpha_id long, formula string, features array<string>, timestamp long").coalesce(1)
+    r = formulas.most_similar(formulas.search(store, "rank(CFO_LTM)", ["A", "B"])).first()
+    assert (r.most_similar_id, r.similarity_score, r.is_exact_duplicate) == (3, 1.0, True)
+    r = formulas.most_similar(formulas.search(store, "rank(CFO_LTM)", ["A", "B"]).withColumns({"exact": F.lit(False), "structural": F.lit(0.5)})).first()
+    assert (r.most_similar_id, r.is_unique) == (3, True)
