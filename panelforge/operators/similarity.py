@@ -34,6 +34,11 @@ def prepared(df: DataFrame, key: str, extra: list[str] | None = None) -> DataFra
     return fm.described(df).select(F.col(key), *(extra or []), "canonical", "shape", "cols", tokens.alias("tokens"), features.alias("features"))
 
 
+def _normal(df: DataFrame, key: str, extra: list[str] | None = None) -> DataFrame:
+    """key, formula and features, which are a set."""
+    return df.select(key, *(extra or []), "formula", F.array_sort(F.array_distinct(F.coalesce("features", F.array().cast(_EMPTY)))).alias("features"))
+
+
 def elements(d: DataFrame, key: str, store: bool) -> DataFrame:
     """key, kind, element and size (of the kind) of each formula.
 
@@ -99,11 +104,18 @@ def closest(candidates: DataFrame, store: DataFrame, key: str = "candidate_id",
     """The verdict of each candidate, and the pairs that were compared.
 
     Verdict: key, is_unique, is_exact_duplicate, most_similar_id, similarity_score, structural_similarity. Candidates have formula and
-    features; the store has them too, and an order without ties. Keys name one row each.
+    features; the store has them too, and an order, whose ties go to the smaller key. Keys name one row each.
+
+    Rows of equal formula and features form a class. Classes are compared, a class of the store by its earliest record, and
+    every candidate gets the verdict of its class; so the pairs are those of classes' first members.
     """
     at = shared_folder(store.sparkSession, "similarity")
-    cand = kept(prepared(candidates, key), f"{at}/candidates")
-    rec = kept(prepared(store, record_key, [order]), f"{at}/records")
+    members = kept(_normal(candidates, key), f"{at}/members")
+    classes = kept(members.groupBy("formula", "features").agg(F.min(key).alias("class_id")), f"{at}/classes")
+    cand = kept(prepared(classes.withColumnRenamed("class_id", key), key), f"{at}/candidates")
+    firsts = _normal(store, record_key, [order]).groupBy("formula", "features").agg(F.min(F.struct(F.col(order).alias("o"), F.col(record_key).alias("k"))).alias("first"))
+    firsts = firsts.select("formula", "features", F.col("first.o").alias(order), F.col("first.k").alias(record_key))
+    rec = kept(prepared(firsts, record_key, [order]), f"{at}/records")
     index = kept(elements(rec, record_key, True).withColumnRenamed(record_key, "r_id").withColumnRenamed("size", "r_size"), f"{at}/index")
     often = index.groupBy("kind", "element").agg(F.count(F.lit(1)).alias("df"))
     asked = elements(cand, key, False).withColumnRenamed(key, "c_id").join(often, ["kind", "element"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -115,7 +127,7 @@ def closest(candidates: DataFrame, store: DataFrame, key: str = "candidate_id",
     some = Window.partitionBy("kind", "element").orderBy("r_id")
     heads = index.join(small(seeds.select("kind", "element").distinct()), ["kind", "element"], "left_semi").withColumn("n", F.row_number().over(some)).where(F.col("n") <= SEED_RECORDS)
     first = seeds.select("c_id", "kind", "element").join(heads, ["kind", "element"]).select("c_id", "r_id")
-    same = cand.select(F.col(key).alias("c_id"), "canonical").where("canonical is not null").join(rec.select(F.col(record_key).alias("r_id"), F.col(order).alias("o"), "canonical").groupBy("canonical").agg(F.min_by("r_id", "o").alias("r_id")), "canonical").select("c_id", "r_id")
+    same = cand.select(F.col(key).alias("c_id"), "canonical").where("canonical is not null").join(rec.select(F.col(record_key).alias("r_id"), F.col(order).alias("o"), "canonical").groupBy("canonical").agg(F.min_by("r_id", F.struct("o", "r_id")).alias("r_id")), "canonical").select("c_id", "r_id")
     seeded = kept(_verified(first.unionByName(same), cand, rec, key, record_key, order), f"{at}/seeded")
     bound = seeded.groupBy("c_id").agg(F.max("structural").alias("t"), F.max("combined").alias("u"))
 
@@ -128,16 +140,20 @@ def closest(candidates: DataFrame, store: DataFrame, key: str = "candidate_id",
     rest = _possible(met, cand, rec, bound, key, record_key)
     compared = kept(seeded.unionByName(_verified(rest, cand, rec, key, record_key, order)), f"{at}/compared")
 
+    compared = compared.withColumn("combined", F.round("combined", fm.DIGITS))
+    earliest_of = lambda c, best: F.min_by("r_id", F.when(F.col(c) == F.col(best), F.struct("r_order", "r_id")))
     top = compared.groupBy("c_id").agg(F.max("structural").alias("s"), F.max("combined").alias("c"), F.max("exact").alias("any_exact"))
     best = compared.join(top, "c_id").groupBy("c_id").agg(
         F.first("s").alias("s"), F.first("c").alias("c"), F.first("any_exact").alias("any_exact"),
-        F.min_by("r_id", F.when(F.col("structural") == F.col("s"), F.col("r_order"))).alias("sid"),
-        F.min_by("r_id", F.when(F.col("combined") == F.col("c"), F.col("r_order"))).alias("cid"),
+        earliest_of("structural", "s").alias("sid"), earliest_of("combined", "c").alias("cid"),
     )
-    earliest = rec.agg(F.min_by(record_key, order).alias("earliest"))  # one row
+    earliest = rec.agg(F.min_by(record_key, F.struct(order, record_key)).alias("earliest"))  # one row
     out = cand.select(F.col(key)).join(best, F.col(key) == F.col("c_id"), "left").crossJoin(F.broadcast(earliest))
     out = out.withColumns({"s": F.coalesce("s", F.lit(0.0)), "c": F.coalesce("c", F.lit(0.0)), "any_exact": F.coalesce("any_exact", F.lit(False))})
     out = out.withColumns({"sid": F.when(F.col("s") > 0, F.col("sid")).otherwise(F.col("earliest")), "cid": F.when(F.col("c") > 0, F.col("cid")).otherwise(F.col("earliest"))})
     unique = ~(F.col("any_exact") | (F.col("s") >= threshold))
     verdict = out.select(key, unique.alias("is_unique"), F.col("any_exact").alias("is_exact_duplicate"), F.when(unique, F.col("cid")).otherwise(F.col("sid")).alias("most_similar_id"), F.round("c", 4).alias("similarity_score"), F.round("s", 4).alias("structural_similarity"))
+    same = F.col("m.formula").eqNullSafe(F.col("k.formula")) & (F.col("m.features") == F.col("k.features"))
+    belongs = members.alias("m").join(small(classes).alias("k"), same).select(F.col(f"m.{key}").alias(key), "class_id")
+    verdict = belongs.join(small(verdict.withColumnRenamed(key, "class_id")), "class_id").drop("class_id")
     return verdict, compared

@@ -84,3 +84,16 @@ def test_empty_store_and_no_candidates(spark):
     assert [tuple(r) for r in verdict.collect()] == [(1, True, False, None, 0.0, 0.0)]
     verdict, _ = similarity.closest(one.limit(0), one.withColumnRenamed("candidate_id", "alpha_id"))
     assert verdict.collect() == []
+
+
+def test_copies_are_compared_once(spark):
+    """Pairs follow the different formulas, not the rows; of copies the earliest record is the answer of every copy of a candidate."""
+    rng = random.Random(8)
+    kinds = list({f: (f, feats) for _, f, feats, _ in rows(rng, 12, [])}.values())
+    store = [(i, *kinds[i % len(kinds)], f"t{(997 * i) % 600:04d}") for i in range(600)]
+    candidates = [(i, f, feats[::-1] if feats else feats, "t") for i in range(150) for f, feats in [kinds[i % len(kinds)]]]
+    verdict, compared = similarity.closest(spark.createDataFrame(candidates, SCHEMA.format("candidate_id")), spark.createDataFrame(store, SCHEMA.format("alpha_id")).repartition(3))
+    got = sorted(tuple(r) for r in verdict.collect())
+    for g, w in zip(got, brute(candidates, store), strict=True):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=1.1e-4), (g, w)
+    assert compared.count() <= len(kinds) ** 2
