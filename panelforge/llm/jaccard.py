@@ -4,7 +4,8 @@
    exact, this one keeps common passages out of prefixes.
 2. Each document's set, in that order, has a prefix of n - ceil(3n/4) + 1 shingles; linked sets share one of them.
    Documents with equal sets form a class; documents with equal prefix and size form a group, and only groups are posted:
-   a task posts a group once however many copies it holds. Postings travel as packed arrays to owners of hash ranges.
+   a task posts a group once however many copies it holds. Postings travel as packed arrays to owners of hash ranges, in
+   8 bytes each at most however many owners there are. Groups whose 32-bit numbers clash meet as candidates and no more.
    Shingles that the sketch shows to be in more than ``HOT`` documents go as rows instead and meet in partial sums.
 3. An owner keeps the shingles which two groups post. Their member lists ("runs", equal lists once) are all that remains
    of the table; groups are then expanded to classes, and a group of several classes is a run too.
@@ -13,7 +14,8 @@
    components. What is then still outside is compared with its whole run in blocks of at most about two times ``BLOCK``
    classes, overlapping runs together, on parity bitmaps, and only pairs that may link leave a block. So no link between components is lost, and a
    run of m near copies costs about m pairs, not m squared.
-5. A pair is tested on parity bitmaps first, which can only overrate a pair, then on whole sets.
+5. A pair is tested on parity bitmaps first, which can only overrate a pair, then on whole sets. Bitmaps are all that is kept
+   of candidates, who become nearly all documents as the corpus grows; whole sets are made anew for pairs that may link.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing (component_id is their own
 doc_id). Repeated rows share a class. A null doc_id takes part but names no component: the smallest other doc_id does,
@@ -32,12 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import LOWER_SQL, WORDS_SQL, Scratch, checked_broadcast, id_parts, salt_of, ship
+from panelforge.llm.common import BROADCAST_ROWS, LOWER_SQL, WORDS_SQL, Scratch, checked_broadcast, id_parts, salt_of, ship
 
 K = 5
 SKETCH_BITS = 21
-CHUNK = 65_536
+CHUNK = 16_384
 OWNER_POSTINGS = 1_000_000
+GROUP_BITS = 32
 HOT = 200_000
 SHORT = 8
 ROUNDS = 2
@@ -45,6 +48,8 @@ BLOCK = 2_000
 BLOCK_SHINGLES = 8_000_000
 CLUMP = 16
 NEEDED = 200_000
+#: Bits of the map of wanted rows that stands in for a broadcast of many row ids.
+MAP_BITS = 1 << 26
 ONE_TASK_EDGES = 200_000
 _P = np.array([pow(0x9E3779B97F4A7C15, K - 1 - i, 1 << 64) for i in range(K)], np.uint64)
 
@@ -144,38 +149,39 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
             for c in range(0, len(total), CHUNK):
                 yield pd.DataFrame({"chunk": [c // CHUNK], "counts": [np.minimum(total[c : c + CHUNK], 65535).astype("<u2").tobytes()]})
 
-    parts = docs.select("text").mapInPandas(count, "chunk int, counts binary").withColumn("part", F.spark_partition_id() % 64)
-    # two levels, so that no task adds up more than a share of the input's partitions
-    some = parts.groupBy("chunk", "part").applyInPandas(_add("<u2"), "chunk int, counts binary")
-    rows = some.groupBy("chunk").applyInPandas(_add("<u8"), "chunk int, counts binary").collect()  # 2**SKETCH_BITS numbers in all
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for chunk, x in zip(pdf["chunk"].tolist(), pdf["counts"], strict=True):
+                if chunk not in sums:
+                    sums[chunk] = np.zeros(CHUNK, np.uint64)
+                sums[chunk] += np.frombuffer(x, "<u2")
+        for chunk, x in sums.items():
+            yield pd.DataFrame({"chunk": [chunk], "counts": [x.astype("<u8").tobytes()]})
+
+    # a chunk's counts pass through its task in small batches, however many tasks have counted
+    parts = docs.select("text").mapInPandas(count, "chunk int, counts binary").repartition("chunk")
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for r in rows:
+    for r in parts.mapInPandas(add, "chunk int, counts binary").collect():  # 2**SKETCH_BITS numbers in all
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<u8")
     return out, int(out.sum())
 
 
-def _add(kind: str):
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(CHUNK, np.uint64)
-        for x in pdf["counts"]:
-            out += np.frombuffer(x, kind)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [out.astype("<u8").tobytes()]})
-
-    return add
-
-
-def _pack(tokens: np.ndarray, at: np.ndarray, gids: np.ndarray, sizes: np.ndarray) -> bytes:
-    used, local = np.unique(at, return_inverse=True)
-    kind = "<u2" if len(used) < 65536 else "<u4"
-    return struct.pack("<II", len(tokens), len(used)) + gids[used].astype("<i8").tobytes() + sizes[used].astype("<i4").tobytes() + tokens.astype("<u4").tobytes() + local.astype(kind).tobytes()
+def _pack(tokens: np.ndarray, at: np.ndarray, gids: np.ndarray) -> bytes:
+    """Postings by group (at, ascending): gids, their numbers of tokens (or else a gid for each token), tokens; 8 bytes each at most."""
+    used, n = np.unique(at, return_counts=True)
+    by_group = 2 * len(used) < len(tokens)
+    head = gids[used].astype("<u4").tobytes() + n.astype("<u4").tobytes() if by_group else gids[at].astype("<u4").tobytes()
+    return struct.pack("<I", len(used) * by_group) + head + tokens.astype("<u4").tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, g = struct.unpack_from("<II", data)
-    gids, sizes = np.frombuffer(data, "<i8", g, 8), np.frombuffer(data, "<i4", g, 8 + 8 * g)
-    tokens = np.frombuffer(data, "<u4", n, 8 + 12 * g)
-    local = np.frombuffer(data, "<u2" if g < 65536 else "<u4", n, 8 + 12 * g + 4 * n)
-    return tokens, gids[local], sizes[local]
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (g,) = struct.unpack_from("<I", data)
+    if not g:
+        n = (len(data) - 4) // 8
+        return np.frombuffer(data, "<u4", n, 4 + 4 * n), np.frombuffer(data, "<u4", n, 4)
+    gids, n = np.frombuffer(data, "<u4", g, 4), np.frombuffer(data, "<u4", g, 4 + 4 * g)
+    return np.frombuffer(data, "<u4", offset=4 + 8 * g), np.repeat(gids, n)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
@@ -183,7 +189,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
     import xxhash
 
     level = np.minimum(np.round(10 * np.log2(1 + counts.astype(float))), 255).astype(np.uint64)
-    hot = counts > HOT
+    hot, mask = counts > HOT, (1 << GROUP_BITS) - 1
     shared = docs.sparkSession.sparkContext.broadcast((level.astype(np.uint8), np.packbits(hot)))  # 2**SKETCH_BITS bytes
 
     def run(batches):
@@ -191,7 +197,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
         seen: set[int] = set()
         width = np.uint64((1 << 64) // owners + 1)
         for pdf in batches:
-            rows, tokens, at, gids, sizes, hots = [], [], [], [], [], []
+            rows, tokens, at, gids, hots = [], [], [], [], []
             for doc_id, no_id, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"], strict=True):
                 doc_id = None if no_id else doc_id
                 s = shingles(text)
@@ -203,11 +209,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 size = prefix_length(n)
                 order = (level[slot].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 head = np.sort(s[np.argpartition(order, size - 1)[:size]])
-                gid = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(head.tobytes(), seed=n)).view(np.int64)))
+                group = xxhash.xxh3_64_intdigest(head.tobytes(), seed=n)
+                gid = group & mask
                 rows.append((doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), gid, hashlib.md5(text.encode()).digest()))
-                if gid in seen:
+                if group in seen:
                     continue
-                seen.add(gid)
+                seen.add(group)
                 if len(seen) > 500_000:
                     seen.clear()
                 warm = hot[(head >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -216,7 +223,6 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 tokens.append(head)
                 at.append(np.full(len(head), len(gids), np.int64))
                 gids.append(gid)
-                sizes.append(n)
             ids, ns, classes, of, digests = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": ns, "cls": classes, "gid": pd.array(of, "Int64"), "blob": digests})  # never through floats
             yield out.assign(kind=0, owner=0, token=pd.NA)[COLUMNS]
@@ -224,19 +230,19 @@ def prefixes(docs: DataFrame, counts: np.ndarray, owners: int) -> DataFrame:
                 hot_rows = pd.DataFrame(hots, columns=["token", "gid", "n"])
                 yield hot_rows.assign(kind=2, owner=0, doc_id=pd.array([None] * len(hots), "Int64"), cls=None, blob=None)[COLUMNS]
             if gids:
-                t, a, g, z = np.concatenate(tokens), np.concatenate(at), np.array(gids, np.int64), np.array(sizes, np.int32)
+                t, a, g = np.concatenate(tokens), np.concatenate(at), np.array(gids, np.uint32)
                 own = (t // width).astype(np.int64)
                 order = np.argsort(own, kind="stable")
                 cuts = np.searchsorted(own[order], np.arange(owners + 1))
                 full = [o for o in range(owners) if cuts[o] < cuts[o + 1]]
-                blobs = [_pack(t[i] & np.uint64(0xFFFFFFFF), a[i], g, z) for o in full for i in [order[cuts[o] : cuts[o + 1]]]]
+                blobs = [_pack(t[i] & np.uint64(0xFFFFFFFF), a[i], g) for o in full for i in [order[cuts[o] : cuts[o + 1]]]]
                 none = pd.array([None] * len(full), "Int64")
                 yield pd.DataFrame({"kind": 1, "doc_id": none, "n": 0, "cls": None, "gid": none, "owner": full, "token": none, "blob": blobs})[COLUMNS]
 
     return docs.select(*id_parts(F.col("doc_id")), "text").mapInPandas(run, "kind int, doc_id long, n int, cls binary, gid long, owner int, token long, blob binary")
 
 
-SETS = ["cls", "members", "n", "bits"]
+SETS = ["cls", "rep", "n", "bits"]
 COLUMNS = ["kind", "doc_id", "n", "cls", "gid", "owner", "token", "blob"]
 
 
@@ -258,11 +264,11 @@ def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
     if not len(starts):
         return pd.DataFrame({"run": [], "gid": []}).astype("int64")
     lengths = np.diff(np.r_[starts, len(token)])
-    signature = _mix(np.add.reduceat(_mix(gid.view(np.uint64)), starts) + lengths.astype(np.uint64))
+    signature = _mix(np.add.reduceat(_mix(gid.astype(np.uint64)), starts) + lengths.astype(np.uint64))
     _, pick = np.unique(signature, return_index=True)
     pick = pick[lengths[pick] > 1]
     rows = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in pick]) if len(pick) else np.zeros(0, int)
-    return pd.DataFrame({"run": np.repeat(signature[pick].view(np.int64), lengths[pick]), "gid": gid[rows]})
+    return pd.DataFrame({"run": np.repeat(signature[pick].view(np.int64), lengths[pick]), "gid": gid[rows].astype(np.int64)})
 
 
 def _verify(batches):
@@ -272,7 +278,22 @@ def _verify(batches):
 
 
 def _sets(batches):
-    """Each text's class, whole set, size and parity bitmap (2 to 4 bits a shingle)."""
+    """Each text's class, row id, size of the set and parity bitmap (2 to 4 bits a shingle)."""
+    import xxhash
+
+    for pdf in batches:
+        rows: list = []
+        for rep, text in zip(pdf["rep"].tolist(), pdf["text"], strict=True):
+            s = shingles(text)
+            if len(s):
+                bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+                parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), rep, len(s), np.packbits(parity.astype(np.uint8)).tobytes()))
+        yield pd.DataFrame(rows, columns=SETS)
+
+
+def _whole(batches):
+    """Each text's class and whole set."""
     import xxhash
 
     rows: list = []
@@ -281,15 +302,41 @@ def _sets(batches):
         for text in pdf["text"]:
             s = shingles(text)
             if len(s):
-                bits = 1 << max(6, (2 * len(s) - 1).bit_length())
-                parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                rows.append((xxhash.xxh3_128_digest(s.tobytes()), s.astype("<u8").tobytes(), len(s), np.packbits(parity.astype(np.uint8)).tobytes()))
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), s.astype("<u8").tobytes()))
                 size += len(s)
             if size >= 500_000:
-                yield pd.DataFrame(rows, columns=SETS)
+                yield pd.DataFrame(rows, columns=["cls", "members"])
                 rows, size = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=SETS)
+        yield pd.DataFrame(rows, columns=["cls", "members"])
+
+
+def rep_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(-(2**63)))
+
+
+def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, text of the rows that reps names; if those are many, of some more, so that no text is ever shuffled.
+
+    Many row ids become a map of ``MAP_BITS`` bits, and a row stays if its id's bit is set.
+    """
+    texts = docs.select(rep_of(F.col("doc_id")).alias("rep"), "text")
+    few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        return texts.join(F.broadcast(reps.distinct()), "rep", "left_semi")
+    bit = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
+    parts = reps.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    found = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts.collect():  # MAP_BITS bits in all
+        found[(r.part - 1) * 4096 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)[: len(found) - (r.part - 1) * 4096]
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches):
+        for pdf in batches:
+            bit = pdf["bit"].to_numpy()
+            yield pdf.loc[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool), ["rep", "text"]]
+
+    return texts.withColumn("bit", bit).mapInPandas(run, "rep long, text string")
 
 
 def _union(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -351,22 +398,30 @@ def side(pairs: DataFrame, sets: DataFrame, k: str, *columns: str) -> DataFrame:
     return sets.join(needed, "cls", "left_semi").select(F.col("cls").alias(k), *[F.col(c).alias(c[0] + k) for c in columns])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b), read from a table, that link by their whole sets."""
-    both = pairs.join(side(pairs, sets, "a", "members"), "a").join(side(pairs, sets, "b", "members"), "b")
-    return both.select("a", "b", F.col("ma").alias("sa"), F.col("mb").alias("sb")).mapInPandas(_verify, "a binary, b binary")
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b), read from a table, that link by their whole sets, which are made anew of the texts of these classes only."""
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    asked = scratch.table(sets.join(checked_broadcast(asked, NEEDED), "cls", "left_semi").select("cls", "rep"), f"{name}-asked")
+    found = texts_of(asked.select("rep"), docs).mapInPandas(_whole, "cls binary, members binary")
+    found = found.join(checked_broadcast(asked.select("cls"), NEEDED), "cls", "left_semi")
+    whole = scratch.table(found.dropDuplicates(["cls"]), f"{name}-whole")
+    both = pairs.join(side(pairs, whole, "a", "members"), "a").join(side(pairs, whole, "b", "members"), "b")
+    out = both.select("a", "b", F.col("ma").alias("sa"), F.col("mb").alias("sb")).mapInPandas(_verify, "a binary, b binary")
+    out = scratch.table(out, name)
+    scratch.drop(f"{name}-whole")
+    return out
 
 
-def checked(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that link: by bitmap first, then by whole sets."""
     pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
     maps = pairs.join(side(pairs, sets, "a", "bits", "n"), "a").join(side(pairs, sets, "b", "bits", "n"), "b").select("a", "b", "ba", "bb", "na", "nb")
     near = scratch.table(maps.mapInPandas(_may_link, "a binary, b binary"), f"{name}-near")
-    return scratch.table(verified(near, sets), name)
+    return verified(near, sets, docs, scratch, name)
 
 
-def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(cls, comp) of the classes that have links. members: run, cls, n."""
+def links(members: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(cls, comp) of the classes that have links. members: run, cls, n; docs: the rows that classes were made of."""
     sizes = members.groupBy("run").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     sized = scratch.table(members.join(sizes, "run").select("run", "cls", "n", "m"), "sized")
     short, long = sized.where(F.col("m") <= SHORT), sized.where(F.col("m") > SHORT)
@@ -375,7 +430,7 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame |
         return f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})"
 
     pairs = short.alias("x").join(short.alias("y"), "run").where("x.cls < y.cls and " + fits("x.n", "y.n"))
-    edges = checked(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets, scratch, "links-short")
+    edges = checked(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), sets, docs, scratch, "links-short")
     comp, news = None, bool(edges.limit(1).count())
     for turn in range(ROUNDS + 1):
         if news:
@@ -392,12 +447,12 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame |
             break
         lead = now.where("comp = top").groupBy("run").agg(F.min(F.struct(F.xxhash64("cls", "run", F.lit(turn)).alias("rank"), "cls", "n")).alias("lead"))
         pairs = now.where("comp != top").join(checked_broadcast(lead, NEEDED), "run").where(fits("n", "lead.n"))
-        found = checked(pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")), sets, scratch, f"links-{turn}")
+        found = checked(pairs.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")), sets, docs, scratch, f"links-{turn}")
         news = bool(found.limit(1).count())
         edges = edges.union(found) if news else edges
     # leaders link no more, or took their rounds: what is outside meets its runs in blocks, which pass on only pairs that may link
     near = scratch.table(in_blocks(now, sets, scratch).distinct(), "near-rest")
-    found = scratch.table(verified(near, sets), "links-rest")
+    found = verified(near, sets, docs, scratch, "links-rest")
     if found.limit(1).count():
         comp = connected(edges.union(found), scratch, "comp-all").select(F.col("v").alias("cls"), F.col("l").alias("comp"))
     return comp
@@ -477,18 +532,16 @@ def named_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     cool = posted.where("kind = 1").select("owner", "blob").groupBy("owner").applyInPandas(_runs, "run long, gid long")
     hot = posted.where("kind = 2").select(F.col("token").alias("run"), "gid").distinct()
     runs = cool.union(hot).distinct()
-    classes = named.groupBy("cls", "gid", "n", "salt").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("rep")).groupBy("cls", "gid", "n").agg(F.min("rep").alias("rep"))
+    classes = named.groupBy("cls", "gid", "n", "salt").agg(F.min(rep_of(F.col("doc_id"))).alias("rep")).groupBy("cls", "gid", "n").agg(F.min("rep").alias("rep"))
     inner = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gid", F.col("gid").alias("run"))
     runs = runs.union(inner.select("run", "gid"))
     members = scratch.table(runs.join(classes, "gid").select("run", "cls", "n", "rep"), "members")
     scratch.drop("posted")
 
-    wanted = checked_broadcast(members.select("rep").distinct())
-    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "rep", "left_semi")
-    found = texts.select("text").mapInPandas(_sets, "cls binary, members binary, n int, bits binary")
+    found = texts_of(members.select("rep"), docs).mapInPandas(_sets, "cls binary, rep long, n int, bits binary")
     needed = members.select("cls").distinct()
     sets = scratch.table(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    comp = links(members.select("run", "cls", "n"), sets, scratch)
+    comp = links(members.select("run", "cls", "n"), sets, docs, scratch)
 
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     part = named.groupBy("cls", "salt").agg(F.min(key).alias("first"))
