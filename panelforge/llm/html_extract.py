@@ -6,7 +6,8 @@ DOM tree is aligned with a pivot tree by simple tree matching, with runs of like
 slot's text that most pages repeat is template, but for running text in an article; all other text outside marked page
 furniture is content, wherever it stands. Names mark furniture if beside a mark they hold neutral words only.
 Article and main elements are a hint only: where template would take more than half of their text, the body itself is
-repeated and they stay whole. Tags are found in one pass and trees walked without recursion, so time follows the page's size.
+repeated and they stay whole. Tags are found in one pass and trees walked without recursion, so time follows the page's size;
+two lists of siblings are aligned exactly at any length, in time that follows their length times what differs in them.
 
 Defined results: null, empty and text-less html give "" and 0; html without tags is its own text; unclosed or stray tags,
 comments and quotes do no harm; repeated rows are worked on like others and give equal answers up to their batch. Copies of
@@ -19,9 +20,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ HEAVY = 2_000
 PART_BYTES = 32 << 20
 CONSTANT_SHARE = 0.8
 MIN_PAGES = 3
-#: Sibling slots times sibling slots beyond which two lists are aligned by their labels alone, from left to right.
-WIDE = 250_000
+#: Cells of two lists' table beyond which its rows are worked on as arrays, and cells held at once; neither changes a result.
+SMALL, CELLS = 4_096, 1 << 20
+#: Remembered scores of a batch; beyond that they are made anew for the next page.
+SCORES = 100_000
 
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[^\s/>]+")
@@ -183,61 +186,182 @@ def fold(node: Node) -> list[tuple[str, list[Node]]]:
     return node.folded
 
 
-def aligned(x: list, y: list, memo: dict) -> tuple[int, list]:
-    """The best order-keeping match of two lists of slots: its size and the matched places."""
-    if len(x) * len(y) > WIDE:
-        places: dict[str, list[int]] = {}
-        for j, (label, _) in enumerate(y):
-            places.setdefault(label, []).append(j)
-        pairs, free = [], 0
-        for i, (label, _) in enumerate(x):
-            there = places.get(label, [])
-            k = bisect_left(there, free)
-            if k < len(there):
-                pairs.append((i, there[k]))
-                free = there[k] + 1
-        return len(pairs), pairs
+class Shapes:
+    """Numbers for shapes of trees: the label and the shapes of the slots' first nodes. Scores are between shapes, so like trees are matched once."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.known: dict[int, int] = {}  # by the id of a node, which the caller keeps alive
+        self.label, self.below, self.size = [], [], []
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def of(self, node: Node) -> int:
+        stack = [node]
+        while stack:
+            x = stack[-1]
+            if id(x) not in self.known:
+                todo = [held[0] for _, held in fold(x) if id(held[0]) not in self.known]
+                if todo:
+                    stack += todo
+                    continue
+                below = tuple(self.known[id(held[0])] for _, held in fold(x))
+                number = self.numbers.setdefault((x.label, below), len(self.label))
+                if number == len(self.label):
+                    self.label.append(x.label)
+                    self.below.append(below)
+                    self.size.append(1 + sum(self.size[c] for c in below))
+                self.known[id(x)] = number
+            stack.pop()
+        return self.known[id(node)]
+
+    def score(self, s: int, t: int) -> int:
+        if s == t:
+            return self.size[s]
+        if self.label[s] != self.label[t]:
+            return 0
+        return self.scores[s, t] if self.below[s] and self.below[t] else 1
+
+    def missing(self, s: int, t: int):
+        """Pairs of shapes below whose score must be found first."""
+        by: dict[str, list[int]] = {}
+        for v in dict.fromkeys(self.below[t]):
+            if self.below[v]:
+                by.setdefault(self.label[v], []).append(v)
+        for u in dict.fromkeys(self.below[s]):
+            if self.below[u]:
+                for v in by.get(self.label[u], ()):
+                    if u != v and (u, v) not in self.scores:
+                        yield u, v
+
+    def solve(self, s: int, t: int) -> int:
+        """The size of the largest order-keeping match of two trees; the scores below it are then known."""
+        stack = [(s, t, self.missing(s, t))]
+        while stack:
+            p, q, todo = stack[-1]
+            pair = next(todo, None)
+            if pair is not None:
+                stack.append((*pair, self.missing(*pair)))
+                continue
+            stack.pop()
+            if p != q and self.label[p] == self.label[q]:
+                self.scores[p, q] = 1 + aligned(self.below[p], self.below[q], self, False)[0]
+        return self.score(s, t)
+
+
+def aligned(x: tuple[int, ...], y: tuple[int, ...], shapes: Shapes, traced: bool = True) -> tuple[int, list]:
+    """The best order-keeping match of two lists of shapes: its size and, if traced, the matched places; of equal ones that of the earliest places.
+
+    A common beginning is matched as it stands: no other partner of a shape is worth more than an equal one.
+    """
+    k = 0
+    while k < len(x) and k < len(y) and x[k] == y[k]:
+        k += 1
+    head, pairs = sum(shapes.size[s] for s in x[:k]), [(i, i) for i in range(k)] if traced else []
+    x, y = x[k:], y[k:]
+    if not x or not y:
+        return head, pairs
+    if len(x) * len(y) > SMALL:
+        size, rest = _wide(np.array(x), np.array(y), shapes, traced)
+        return head + size, pairs + [(i + k, j + k) for i, j in rest]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, (label, held) in enumerate(x, 1):
+    for i, s in enumerate(x, 1):
         above, row = best[i - 1], best[i]
-        for j, (other, there) in enumerate(y, 1):
-            score = above[j - 1] + memo[id(held[0]), id(there[0])][0] if label == other else 0
-            row[j] = max(above[j], row[j - 1], score)
-    i, j, pairs = len(x), len(y), []
-    while i and j:
+        for j, t in enumerate(y, 1):
+            row[j] = max(above[j], row[j - 1], above[j - 1] + shapes.score(s, t))
+    i, j, rest = len(x), len(y), []
+    while traced and i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
         elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return best[len(x)][len(y)], pairs[::-1]
+            rest.append((i + k, j + k))
+    return head + best[len(x)][len(y)], pairs + rest[::-1]
+
+
+def _wide(x: np.ndarray, y: np.ndarray, shapes: Shapes, traced: bool) -> tuple[int, list]:
+    """The same table, a row at a time and in memory that follows the lists.
+
+    A way through the table that skips more than ``slack`` of the smaller list's weight cannot reach a match of all but
+    ``slack`` of it. So only the band that such ways leave is filled; it is widened until the match found proves it wide enough.
+    """
+    size = np.array(shapes.size)
+    kinds, kind = np.unique(y, return_inverse=True)
+    worth: dict[int, np.ndarray] = {}
+    sx, sy = np.r_[0, np.cumsum(size[x])], np.r_[0, np.cumsum(size[y])]
+    least, slack = min(int(sx[-1]), int(sy[-1])), 64
+
+    def step(row: np.ndarray, i: int) -> None:
+        """Row i - 1 becomes row i."""
+        s, a, b = int(x[i - 1]), max(int(lo[i]), 1), int(hi[i]) + 1
+        if b <= a:
+            return
+        w = worth.get(s)
+        if w is None:
+            w = np.array([shapes.score(s, int(t)) for t in kinds], np.int64)
+            if (len(worth) + 1) * len(kinds) <= CELLS:
+                worth[s] = w
+        now = np.maximum(row[a:b], row[a - 1 : b - 1] + w[kind[a - 1 : b - 1]])
+        now[0] = max(now[0], row[a - 1])
+        np.maximum.accumulate(now, out=row[a:b])
+
+    while True:
+        goal = max(least - slack, 0)
+        lo, hi = np.searchsorted(sy, sx - (sx[-1] - goal)), np.searchsorted(sy, sx + (sy[-1] - goal), "right") - 1
+        row = np.zeros(len(y) + 1, np.int64)
+        for i in range(1, len(x) + 1):
+            step(row, i)
+        total = int(row[-1])
+        if total >= goal:
+            break
+        slack *= 4
+    pairs: list[tuple[int, int]] = []
+
+    def back(a: int, b: int, row: np.ndarray, j: int) -> int:
+        """Traces from place j of row b to row a, whose values are given; returns the place there."""
+        first, end = max(int(lo[a]) - 1, 0), int(hi[b]) + 1
+        if (b - a) * (end - first) <= CELLS or b - a == 1:
+            held = [row[first:end].copy()]
+            for i in range(a + 1, b + 1):
+                step(row, i)
+                held.append(row[first:end].copy())
+            i = b
+            while i > a and j:
+                now, above = held[i - a], held[i - a - 1]
+                if now[j - first] == above[j - first]:
+                    i -= 1
+                elif now[j - first] == now[j - 1 - first]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((i, j))
+            return j
+        cuts = [a + (b - a) * c // 16 for c in range(17)]
+        parts = []
+        for c, d in zip(cuts, cuts[1:], strict=False):
+            if c < d:
+                parts.append((c, d, row.copy()))
+                for i in range(c + 1, d + 1) if d < b else ():
+                    step(row, i)
+        while parts and j:
+            c, d, start = parts.pop()
+            j = back(c, d, start, j)
+        return j
+
+    if traced:
+        back(0, len(x), np.zeros(len(y) + 1, np.int64), len(y))
+    return total, pairs[::-1]
 
 
 def match(a: Node, b: Node, memo: dict) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees, and the matched slots below."""
-    stack = [(a, b)]
-    while stack:
-        p, q = stack[-1]
-        if (id(p), id(q)) in memo:
-            stack.pop()
-            continue
-        if p.label != q.label:
-            memo[id(p), id(q)] = 0, []
-            continue
-        x, y = fold(p), fold(q)
-        if len(x) * len(y) <= WIDE:
-            by: dict[str, list[Node]] = {}
-            for label, held in y:
-                by.setdefault(label, []).append(held[0])
-            todo = [(held[0], other) for label, held in x for other in by.get(label, ()) if (id(held[0]), id(other)) not in memo]
-            if todo:
-                stack += todo
-                continue
-        size, pairs = aligned(x, y, memo)
-        memo[id(p), id(q)] = 1 + size, pairs
-    return memo[id(a), id(b)]
+    """Simple tree matching: the size of the largest order-keeping match of two trees, and the matched slots below. memo keeps what is found."""
+    shapes = memo.setdefault("shapes", Shapes())
+    if a.label != b.label:
+        return 0, []
+    s, t = shapes.of(a), shapes.of(b)
+    size = shapes.size[s] if s == t else shapes.scores.get((s, t)) or shapes.solve(s, t)
+    return size, aligned(shapes.below[s], shapes.below[t], shapes)[1]
 
 
 def blocks(node: Node, skip=frozenset()) -> list[str]:
@@ -302,7 +426,8 @@ def induce(pages: list[Node]) -> list[str]:
     # the pivot: the page with the most slots
     pivot = max(pages, key=lambda p: sum(1 for _ in walk(p)))
     slots: dict[tuple[int, int], int] = {}
-    found = [align(pivot, p, slots) for p in pages]  # for each page: pivot slot -> the page's nodes
+    memo: dict = {}
+    found = [align(pivot, p, slots, memo) for p in pages]  # for each page: pivot slot -> the page's nodes
     filled: Counter = Counter()
     common: Counter = Counter()
     for a in found:
@@ -344,10 +469,11 @@ def walk(node: Node):
         stack.extend(n for _, slot in fold(x) for n in slot[:1])
 
 
-def align(pivot: Node, page: Node, slots: dict[tuple[int, int], int]) -> dict[int, list[Node]]:
+def align(pivot: Node, page: Node, slots: dict[tuple[int, int], int], memo: dict) -> dict[int, list[Node]]:
     """Nodes of a page by the pivot slot that they match. slots numbers (slot above, place in it), from 1; the page is 0."""
     out: dict[int, list[Node]] = {}
-    memo: dict = {}
+    if "shapes" in memo and len(memo["shapes"].scores) > SCORES:
+        memo["shapes"].scores.clear()
     stack = [(0, pivot, page)]
     while stack:
         above, a, b = stack.pop()
