@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -72,9 +73,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers_of(n: int) -> list[np.ndarray]:
-    """_ODD and its inverse to the powers 0 to n - 1, as arrays of at least that length."""
+    """_ODD and its inverse to the powers 0 to n - 1, as arrays of at least that length and twice that at most."""
     if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, WINDOW) - 1, x)]) for x in (_ODD, _UNODD)]
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full((1 << n.bit_length()) - 1, x)]) for x in (_ODD, _UNODD)]
     return _powers
 
 
@@ -315,15 +316,17 @@ def rep_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(-(2**63)))
 
 
-def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, text of the rows that reps names; if those are many, of some more, so that no text is ever shuffled.
+def texts_of(reps: DataFrame, docs: DataFrame, make: Callable | None = None, schema: str = "rep long, text string") -> DataFrame:
+    """rep, text of the rows that reps names, or what ``make`` makes of batches of them; if those are many, of some more, so that no text is ever shuffled.
 
-    Many row ids become a map of ``MAP_BITS`` bits, and a row stays if its id's bit is set.
+    Many row ids become a map of ``MAP_BITS`` bits, and a row stays if its id's bit is set. The worker that looks there runs
+    ``make`` too: a second worker for each task would be that much more of an executor's memory.
     """
     texts = docs.select(rep_of(F.col("doc_id")).alias("rep"), "text")
     few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
-        return texts.join(F.broadcast(reps.distinct()), "rep", "left_semi")
+        found = texts.join(F.broadcast(reps.distinct()), "rep", "left_semi")
+        return found.mapInPandas(make, schema) if make else found
     bit = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
     parts = reps.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     found = np.zeros(MAP_BITS // 8, np.uint8)
@@ -331,12 +334,12 @@ def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
         found[(r.part - 1) * 4096 :][: len(r.bits)] = np.frombuffer(r.bits, np.uint8)[: len(found) - (r.part - 1) * 4096]
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
-    def run(batches):
+    def pick(batches):
         for pdf in batches:
             bit = pdf["bit"].to_numpy()
             yield pdf.loc[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool), ["rep", "text"]]
 
-    return texts.withColumn("bit", bit).mapInPandas(run, "rep long, text string")
+    return texts.withColumn("bit", bit).mapInPandas((lambda batches: make(pick(batches))) if make else pick, schema)
 
 
 def _union(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -402,7 +405,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratc
     """The pairs (a, b), read from a table, that link by their whole sets, which are made anew of the texts of these classes only."""
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     asked = scratch.table(sets.join(checked_broadcast(asked, NEEDED), "cls", "left_semi").select("cls", "rep"), f"{name}-asked")
-    found = texts_of(asked.select("rep"), docs).mapInPandas(_whole, "cls binary, members binary")
+    found = texts_of(asked.select("rep"), docs, _whole, "cls binary, members binary")
     found = found.join(checked_broadcast(asked.select("cls"), NEEDED), "cls", "left_semi")
     whole = scratch.table(found.dropDuplicates(["cls"]), f"{name}-whole")
     both = pairs.join(side(pairs, whole, "a", "members"), "a").join(side(pairs, whole, "b", "members"), "b")
@@ -538,7 +541,7 @@ def named_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     members = scratch.table(runs.join(classes, "gid").select("run", "cls", "n", "rep"), "members")
     scratch.drop("posted")
 
-    found = texts_of(members.select("rep"), docs).mapInPandas(_sets, "cls binary, rep long, n int, bits binary")
+    found = texts_of(members.select("rep"), docs, _sets, "cls binary, rep long, n int, bits binary")
     needed = members.select("cls").distinct()
     sets = scratch.table(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     comp = links(members.select("run", "cls", "n"), sets, docs, scratch)

@@ -66,3 +66,19 @@ def test_groups_whose_numbers_clash_lose_no_link(spark, candidates, monkeypatch,
     monkeypatch.setattr(jaccard, "GROUP_BITS", bits)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, candidates)).collect()), key=str)
     assert got == brute_components(candidates)
+
+
+def test_wanted_rows_and_their_sets_take_one_worker_a_task(spark, candidates, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    docs = frame(spark, candidates)
+    wanted = spark.createDataFrame([(3,), (77,)], "rep long")
+    made = jaccard.texts_of(wanted, docs, jaccard._sets, "cls binary, rep long, n int, bits binary")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert {r.rep: r.n for r in made.collect()}[3] == len(jaccard.shingles(candidates[3][1]))
+
+
+def test_powers_follow_the_texts(monkeypatch):
+    monkeypatch.setattr(jaccard, "_powers", [])
+    for n in (0, 5, 3000, 900):
+        assert all(len(x) >= n for x in jaccard._powers_of(n))
+    assert all(len(x) <= 6000 for x in jaccard._powers)
