@@ -34,6 +34,7 @@ VOCABULARY = 65_536
 SORTED = 100_000
 COMMON = 0.05
 WIDTH = 128
+TOGETHER, BLOCK = 3_000, 256
 SAMPLE_LEAF, SAMPLE_LEAST = 16, 4_000
 
 
@@ -116,8 +117,9 @@ class Tree:
 class Index:
     """BM25 over the documents of a shard; retrieve() ranks those not yet used.
 
-    A score is the sum over all terms of the seed. Terms of at least ``COMMON`` of the documents have a row of weights, of
-    which a seed's are added at once; the others have postings.
+    A score is the sum over all terms of the seed. Terms of at least ``COMMON`` of the documents have a row of weights; a
+    block of documents, most of which become seeds, is multiplied by them at once. The others have postings. A shard of
+    more than ``TOGETHER`` documents adds a seed's rows alone.
     """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
@@ -137,9 +139,21 @@ class Index:
         self.starts = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
         self.counts = np.diff(self.starts)
         self.used = np.zeros(len(ids), bool)
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def _common(self, seed: int) -> np.ndarray:
+        if len(self.used) > TOGETHER:
+            return self.rows[self.common[seed]].sum(0)
+        k = seed // BLOCK
+        if k not in self.blocks:
+            held = self.common[k * BLOCK : (k + 1) * BLOCK]
+            asks = np.zeros((len(held), len(self.rows)), np.float32)
+            asks[np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate(held)] = 1
+            self.blocks[k] = asks @ self.rows
+        return self.blocks[k][seed - k * BLOCK]
 
     def scores(self, seed: int) -> np.ndarray:
-        out = self.rows[self.common[seed]].sum(0)
+        out = self._common(seed).copy()
         first, n = self.starts[self.rare[seed]], self.counts[self.rare[seed]]
         ends = np.cumsum(n)
         if len(ends) and ends[-1]:

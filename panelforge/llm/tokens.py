@@ -12,7 +12,7 @@ them their ids instead, by the library alone.
 from __future__ import annotations
 
 import re
-from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,7 @@ _PLAIN = bytes([*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)])
 _BLANK = bytes(32 if b in range(9, 14) else b for b in range(256))
 _RUN = re.compile(r"\s{1000}")
 WORD_END, BETWEEN = "</w>", "\x1e"
+NEVER = "\x1d\x1e\x1d"
 #: Classes of bytes: 0 white space (and BETWEEN), 1 letters, 2 other marks, 3 digits; a word ends between unlike ones, and after a digit.
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[*range(9, 14), 32, ord(BETWEEN)]] = 0
@@ -77,7 +78,12 @@ class Encoder:
         for name, i in self.library.get_vocab(with_added_tokens=False).items():
             stem = name if keeps_space else name.removesuffix(WORD_END)
             ranks[bytes(byte[c] for c in stem) + b" " * (stem != name)] = i
-        engine = lambda cut: tiktoken.Encoding(path, pat_str=cut, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def engine(cut: str) -> Callable[[str], bytes]:
+            """Ids come as a buffer, not as a list of Python's numbers. That takes a special token, which is never allowed: its string is ordinary text."""
+            made = tiktoken.Encoding(path, pat_str=cut, mergeable_ranks=ranks, special_tokens={NEVER: 1 << 16})
+            return lambda text: made.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
         self.engine = engine(CUT if keeps_space else "[^ ]+ ")
         self.single = engine(CUT_SINGLE) if keeps_space else self.engine
 
@@ -88,10 +94,10 @@ class Encoder:
         raw = text.encode()
         blank = raw.translate(_BLANK)
         if not raw.translate(None, _PLAIN) and b"  " not in blank.rstrip():
-            return array("H", self.single(text)).tobytes()
+            return self.single(text)
         # the engine's search gives up on very long runs of white space
         long = b" " * 1000 in blank if text.isascii() else _RUN.search(text)
-        return self.whole([text])[0] if long else array("H", self.engine(text)).tobytes()
+        return self.whole([text])[0] if long else self.engine(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.special:
@@ -108,10 +114,10 @@ class Encoder:
                 out[i] = self.whole([text])[0]
             else:
                 words = (_ASCII_MARKS if text.isascii() else _LATIN_MARKS).sub(r" \g<0> ", text.lower()).split()
-                out[i] = array("H", self.engine(" ".join(words) + " ") if words else []).tobytes()
+                out[i] = self.engine(" ".join(words) + " ") if words else b""
         if plain:
             for i, words in zip(plain, _plain_words([texts[i] for i in plain]), strict=True):
-                out[i] = array("H", self.engine(words + " ")).tobytes()
+                out[i] = self.engine(words + " ")
         return out
 
 
