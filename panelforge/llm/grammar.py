@@ -53,19 +53,23 @@ def _round(seq: np.ndarray, first: int, room: int, least: int) -> tuple[np.ndarr
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
     slots = _slots(keys)
     places = np.flatnonzero((np.bincount(slots, minlength=1 << 20) >= least)[slots])
-    found, n = np.unique(keys[places], return_counts=True)
+    keys, slots = keys[places], slots[places]
+    found, n = np.unique(keys, return_counts=True)
     found, n = found[n >= least], n[n >= least]
     pairs = found[np.lexsort((found, -n))[:room]]
     if not len(pairs):
         return seq, pairs
-    held = np.zeros(1 << 20, bool)
-    held[_slots(pairs)] = True
-    places = places[held[slots[places]]]
+    table = np.full(1 << 20, -1, np.int32)
+    table[_slots(pairs)] = np.arange(len(pairs))
+    rank = table[slots]
+    held = np.flatnonzero(rank >= 0)
+    places, keys, rank = places[held], keys[held], rank[held].astype(np.intp)
+    other = np.flatnonzero(pairs[rank] != keys)  # not chosen, or chosen with another pair of the same slot
     order = np.argsort(pairs)
-    at = np.searchsorted(pairs[order], keys[places])
+    at = np.searchsorted(pairs[order], keys[other])
     at[at == len(pairs)] = 0
-    rank = order[at]
-    same = pairs[rank] == keys[places]
+    rank[other] = order[at]
+    same = pairs[rank] == keys
     hit, rank = places[same], rank[same]
     starts = np.r_[True, np.diff(hit) > 1]  # of neighbouring hits, every other one from the first
     run = hit[np.flatnonzero(starts)][np.cumsum(starts) - 1]

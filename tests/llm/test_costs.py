@@ -45,3 +45,17 @@ def test_every_id_is_packed_once(monkeypatch, together):
     for doc, start, n, *_ in pieces:
         seen[doc][start : start + n] += 1
     assert all((x == 1).all() for x in seen)
+
+
+def test_chosen_pairs_of_one_slot_are_all_replaced():
+    """A slot tells one chosen pair only; keys that are not that pair are looked up among all."""
+    from panelforge.llm import grammar
+
+    ids = np.random.default_rng(4).integers(0, 700, 300_000).astype(np.uint32)
+    seq, pairs = grammar._round(ids, grammar.FIRST_RULE, 60_000, 1)
+    assert len(np.unique(grammar._slots(pairs))) < len(pairs)
+    rules = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    assert (grammar.expand(seq, rules) == ids).all()
+    keys = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
+    chosen, left = np.isin(keys, pairs), (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    assert chosen.sum() > 100_000 and not np.isin(left, pairs).any()
